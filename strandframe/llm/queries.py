@@ -1,9 +1,11 @@
 """The corpus operators' queries, and SQL for those that SQL can express."""
 
-from strandframe.llm import mixing, token_counts, url_filter
+from strandframe.llm import byte_bpe, language_id, mixing, token_counts, url_filter
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_byte_bpe": byte_bpe.op4_byte_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
 }

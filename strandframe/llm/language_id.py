@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, crc_mod, table
+from strandframe.llm.common import by_bytes, crc_mod, stash, table
 
 ORDER = 3
 BLOCK = 4 << 20
@@ -184,13 +184,17 @@ def count_windows(docs: DataFrame, lang_col: str, text_col: str, order: int) ->
 def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_windows: int = MAX_WINDOWS) -> Model:
     """Context trees of all languages of the documents, from all their texts.
 
-    Of a language's windows the ``max_windows`` / languages most frequent stay (ties: the smaller
-    window), so the model's size has a bound; what falls away is coded by escapes.
+    Of a language's windows the ``max_windows`` / languages most frequent stay (of equal counts
+    all or none), so the model's size has a bound; what falls away is coded by escapes.
     """
     counts = count_windows(docs, lang_col, text_col, order)
     langs = max(1, docs.select(F.col(lang_col).cast("string").alias("l")).filter("l is not null").distinct().limit(max_windows).count())
     share = max(256, max_windows // langs)
-    top = counts.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("k") <= share).select("lang", "gram", "n").toArrow()
+    counts = stash(counts, "windows")
+    # how many windows have each count: a few thousand rows a language
+    shape = counts.groupBy("lang", F.col("n").alias("m")).agg(F.count("*").alias("c")).withColumn("at_least", F.sum("c").over(W.partitionBy("lang").orderBy(F.desc("m"))))
+    least = shape.filter(F.col("at_least") <= share).groupBy(F.col("lang").alias("of")).agg(F.min("m").alias("m"))
+    top = counts.join(F.broadcast(least), (F.col("lang") == F.col("of")) & (F.col("n") >= F.col("m"))).select("lang", "gram", "n").toArrow()
     lang, gram, n = np.array(top.column("lang").to_pylist(), dtype=object), top.column("gram").to_numpy(), top.column("n").to_numpy()
     trees = {}
     for name in sorted(set(lang)):

@@ -1,8 +1,9 @@
 """The corpus operators' queries, and SQL for those that SQL can express."""
 
-from strandframe.llm import byte_bpe, language_id, mixing, token_counts, url_filter
+from strandframe.llm import byte_bpe, language_id, mixing, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_language_id": language_id.op3_language_id,
     "op4_byte_bpe": byte_bpe.op4_byte_bpe,

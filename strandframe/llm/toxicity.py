@@ -3,11 +3,9 @@
 Learning. Of labelled near copies (equal least hash of eight-word shingles, equal label) one is
 taken, so that a much copied document counts once. A word's evidence is its log-odds of occurring in toxic against clean labelled
 documents, each count smoothed by an informative Dirichlet prior: the word's share of all
-documents of the corpus, times ``prior`` of the labelled ones. Words are
-also counted by their first five and four characters, since a rare inflected form says little by
-itself. Tokens (words or beginnings) whose log-odds stand ``min_z`` standard deviations above zero
-make the lexicon. A word scores the log-odds of its most specific token there; every other word
-scores a small negative drift, so that the mean score over the corpus is negative.
+documents of the corpus, times ``prior`` of the labelled ones. Words whose log-odds stand
+``min_z`` standard deviations above zero make the lexicon; they score their log-odds, every other
+word scores a small negative drift, so that the mean score over the corpus is negative.
 
 Search. One linear scan (Ruzzo and Tompa) finds all disjoint maximal-scoring segments of a text.
 Under the corpus' word frequencies the scores of random segments follow an extreme-value
@@ -29,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +59,6 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
     yield start, text[start:]
 
 
-def tokens(word: str) -> tuple[str, ...]:
-    """A word and its beginnings, the most specific first."""
-    return (word, f"{word[:5]}*", f"{word[:4]}*") if len(word) > 5 else (word, f"{word[:4]}*") if len(word) == 5 else (word,)
-
-
 class Memo(dict):
     """What ``of`` makes of a word, remembered for up to MEMO words."""
 
@@ -97,31 +91,23 @@ class Lexicon:
     offset: float = 0.0
     max_e: float = 0.05
 
-    def __post_init__(self):
-        self.memo = Memo(self.of)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "memo"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.memo = Memo(self.of)
-
-    def of(self, word: str) -> float | None:
-        return next((s for t in tokens(word) if (s := self.scores.get(t)) is not None), None)
+    @cached_property
+    def words(self) -> frozenset[str]:
+        return frozenset(self.scores)
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, float]], list[tuple[int, float]]]:
         """(words of the text, (number of the word, score) of those in the lexicon, the same
         without a word's later occurrences)."""
-        n, found, once, seen, get = 0, [], [], set(), self.memo.__getitem__
+        n, found, once, seen = 0, [], [], set()
         for _, part in blocks(text.lower()):
             words = WORD.findall(part)
-            for i, s in enumerate(map(get, words)):
-                if s is not None:
-                    found.append((n + i, s))
-                    if words[i] not in seen:
-                        seen.add(words[i])
-                        once.append(found[-1])
+            if there := self.words.intersection(words):
+                for i, w in enumerate(words):
+                    if w in there:
+                        found.append((n + i, self.scores[w]))
+                        if w not in seen:
+                            seen.add(w)
+                            once.append(found[-1])
             n += len(words)
         return n, found, once
 
@@ -218,7 +204,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): in how many texts of the task each token occurs."""
+    """(word, n): in how many texts of the task each word occurs."""
     held: Counter[str] = Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -229,37 +215,35 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            held.update({t for w in {w for _, part in blocks(text.lower()) for w in WORD.findall(part)} for t in tokens(w)})
+            held.update({w for _, part in blocks(text.lower()) for w in WORD.findall(part)})
             if len(held) > 500_000:
                 yield from flush()
     yield from flush()
 
 
 def _counts(candidates) -> object:
-    """(word, documents, occurrences, toxic, clean): for candidate tokens; for the whole under a null one."""
+    """(word, n, toxic, clean): in how many texts a candidate word occurs; under a null word the
+    numbers of texts, and under an empty one n is the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = candidates.value
-        memo = Memo(lambda w: tuple(t for t in tokens(w) if t in known)).__getitem__
-        total = np.zeros(4, np.int64)
-        occur, docs, by = Counter(), Counter(), (Counter(), Counter())
+        total, size = np.zeros(3, np.int64), 0
+        texts, by = Counter(), (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own: Counter[str] = Counter()
+                own: set[str] = set()
                 for _, part in blocks((text or "").lower()):
                     words = WORD.findall(part)
-                    total[1] += len(words)
-                    for found in filter(None, map(memo, words)):
-                        own.update(found)
+                    size += len(words)
+                    own |= known.intersection(words)
+                texts.update(own)
                 total[0] += 1
-                occur.update(own)
-                docs.update(own.keys())
                 if label is not None:
-                    total[3 - label] += 1
-                    by[label].update(own.keys())
-        words = list(docs)
-        cols = [[None, *words], [total[0], *(docs[w] for w in words)], [total[1], *(occur[w] for w in words)], [total[2], *(by[1][w] for w in words)], [total[3], *(by[0][w] for w in words)]]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["word", "documents", "occurrences", "toxic", "clean"])
+                    total[2 - label] += 1
+                    by[label].update(own)
+        words = list(texts)
+        cols = [[None, "", *words], [total[0], size, *(texts[w] for w in words)], [total[1], 0, *(by[1][w] for w in words)], [total[2], 0, *(by[0][w] for w in words)]]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["word", "n", "toxic", "clean"])
 
     return run
 
@@ -296,9 +280,10 @@ def train(
     sample = F.broadcast(marks)
     toxic = texts.filter("text is not null").join(sample.filter("label = 1"), "__id", "left_semi")
     found = toxic.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_texts)
-    candidates = {r["word"] for r in found.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()}
-    rows = texts.join(sample, "__id", "left").select("text", "label").mapInArrow(_counts(spark.sparkContext.broadcast(candidates)), "word string, documents long, occurrences long, toxic long, clean long")
-    counts = rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("documents", "occurrences", "toxic", "clean")]).collect()
+    candidates = frozenset(r["word"] for r in found.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect())
+    rows = texts.join(sample, "__id", "left").select("text", "label").mapInArrow(_counts(spark.sparkContext.broadcast(candidates)), "word string, n long, toxic long, clean long")
+    counts = rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).collect()
+    words = next((r["n"] for r in counts if r["word"] == ""), 0)
     whole = next((r for r in counts if r["word"] is None), None)
     lexicon = Lexicon({}, 1.0, 1.0, max_e=max_e)
     if whole is None or not whole["toxic"] or not whole["clean"]:
@@ -308,14 +293,14 @@ def train(
     a0 = prior * (whole["toxic"] + whole["clean"])
     share = {}
     for r in counts:
-        if r["word"] is None:
+        if not r["word"]:
             continue
-        a = a0 * r["documents"] / whole["documents"]
+        a = a0 * r["n"] / whole["n"]
         t, c = r["toxic"] + a, r["clean"] + a
         odds = math.log(t / (whole["toxic"] + a0 - t + 1e-9)) - math.log(c / (whole["clean"] + a0 - c + 1e-9))
         if odds >= min_odds and odds >= min_z * math.sqrt(1 / t + 1 / c):
             lexicon.scores[r["word"]] = odds
-            share[r["word"]] = r["occurrences"] / max(1, whole["occurrences"])
+            share[r["word"]] = r["n"] / max(1, words)
     p = np.array([share[w] for w in lexicon.scores])
     s = np.array(list(lexicon.scores.values()))
     if len(s):

@@ -1,6 +1,6 @@
 """The corpus operators' queries, and SQL for those that SQL can express."""
 
-from strandframe.llm import byte_bpe, language_id, minhash, mixing, token_counts, topk, toxicity, url_filter, warc
+from strandframe.llm import audio, byte_bpe, language_id, minhash, mixing, token_counts, topk, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_warc": warc.op8_warc,
+    "op9_audio_fingerprint": audio.op9_audio_fingerprint,
     "op10_minhash_dedup": minhash.op10_minhash_dedup,
 }
 

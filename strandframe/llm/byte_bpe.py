@@ -187,29 +187,30 @@ def bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
-    """One row per input row: the id and ``ids`` (little-endian unsigned 32-bit integers), with
-    ``decode`` also ``decoded``, the bytes that these ids stand for.
+def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), decode: bool = False, batch_bytes: int = 4 << 20) -> DataFrame:
+    """One row per input row: the id, the columns named in ``keep``, and ``ids`` (little-endian
+    unsigned 32-bit integers), with ``decode`` also ``decoded``, the bytes that these ids stand for.
 
     ranks: path of a rank file, the same on every executor. Null and empty texts have no ids.
     Repeated rows and null ids are rows like others; other columns are not read. Each task holds
     about ``batch_bytes`` of text and its ids at a time, or one text where that is longer.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "ids", *["decoded"] * decode]
+    base = docs.select(F.col(text_col).alias("__text"), F.col(id_col), *[F.col(f"`{c}`") for c in keep])
+    names = [id_col, *keep, "ids", *["decoded"] * decode]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe(ranks, pattern)
         for batch in batches:
-            text = pc.fill_null(batch.column(1), "")
+            text = pc.fill_null(batch.column(0), "")
             for a, b in by_bytes(pc.binary_length(text).to_pylist(), batch_bytes):
                 ids = enc.encode(text.slice(a, b - a).to_pylist())
-                cols = [batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())]
+                cols = [*batch.slice(a, b - a).columns[1:], pa.array(ids, pa.binary())]
                 if decode:
                     cols.append(pa.array([enc.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids binary" + ", decoded binary" * decode)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields[1:])
+    return base.mapInArrow(run, schema + "ids binary" + ", decoded binary" * decode)
 
 
 def decode(encoded: DataFrame, ranks: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

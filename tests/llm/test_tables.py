@@ -1,0 +1,240 @@
+"""Mixing, URL filters, top-k, WARC and audio: against plain Python, with odd rows."""
+
+import base64
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandframe.llm import audio, common, mixing, topk, url_filter, warc
+
+
+def test_mix_equals_poisson_inversion(spark):
+    rows = [(i, f"t{i}", "hot" if i % 3 else ("b" if i % 2 else None), 5) for i in range(900)] + [(None, None, "hot", 5), (3, "t3", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int")
+    got = mixing.mix(docs, seed=7).collect()
+    sizes = {s: sum(r[2] == s for r in rows) for s in ("hot", "b", None)}
+    w = {s: math.sqrt(n) for s, n in sizes.items()}
+    want = {}
+    for i, t, s, _ in rows:
+        rate = w[s] / sum(w.values()) * len(rows) / sizes[s]
+        u = int(hashlib.md5(f"7:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        n, p = 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            n += 1
+            p *= rate / n
+            c += p
+        want[i, s] = max(want.get((i, s), 0), n)
+    count = {}
+    for r in got:
+        count.setdefault((r.doc_id, r.source), []).append(r["copy"])
+    assert {k: len(v) for k, v in count.items()} == {k: n for k, n in want.items() if n}
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in count.values()) and set(got[0].asDict()) == set(docs.columns)
+    assert abs(len(got) - len(rows)) < 150
+    order = [r.doc_id for r in got]
+    assert order != sorted(order, key=lambda x: -1 if x is None else x)
+
+
+def test_mix_weights_and_empty(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(400)], "doc_id long, source string")
+    got = mixing.mix(docs, weights={"a": 3, "c": 1}).groupBy("source").count().collect()
+    assert [r.source for r in got] == ["a"] and 320 < got[0]["count"] < 480
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs, weights={}).count() == 0
+
+
+def test_mix_joins_many_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 7}") for i in range(300)], "doc_id long, source string")
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "SOURCES_AT_ONCE", 3)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want
+
+
+def plain_verdict(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)])
+        host, path = rest[:cut], rest[cut:].split("?")[0].split("#")[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), h.count("."), h + p, a) for a, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[2], best[3] if best else "allow"
+
+
+def test_url_verdicts(spark):
+    rng = random.Random(8)
+    hosts = ["com", "example.com", "a.example.com", "b.a.example.com", "net", "x.net", "org", "co.uk", "b.co.uk", "EXAMPLE.com", "", "a..com"]
+    paths = ["", "/", "/en/", "/en/7", "/en/7/x", "/de", "/de/8?q=1", "/en/7#f", "?x=/en/", "/é/ü"]
+    urls = [f"http{rng.choice(['', 's'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(500)] + [None, "", "nothing", "://", "mailto:a@b", "http://a.com/x://b/", "http://h:80/en/"] + ["https://hot.example.com/en/7"] * 200
+    rules = sorted({(rng.choice(["allow", "block"]), h.lower(), p) for h in hosts for p in ("", "/", "/en/", "/en/7", "/de/", "/é") if h and rng.random() < 0.6 for _ in [0]})
+    pages = spark.createDataFrame([(i if i % 50 else None, u, "h", "r") for i, u in enumerate(urls)] + [(1, urls[1], "h", "r")] * 2, "page_id long, url string, host string, rule string")
+    frame = spark.createDataFrame(rules, "action string, host string, path string")
+    rows = [(i if i % 50 else None, u) for i, u in enumerate(urls)] + [(1, urls[1])] * 2
+    want = sorted(((-1 if i is None else i, *plain_verdict(u, rules)) for i, u in rows), key=str)
+    for per in (20_000, 5):  # one range, and many
+        got = url_filter.url_verdicts(pages, frame, rules_per_range=per, points_per_task=50).collect()
+        assert sorted(((-1 if r.page_id is None else r.page_id, r.host, r.path, r.rule, r.verdict) for r in got), key=str) == want
+    none = url_filter.url_verdicts(pages, frame.limit(0)).collect()
+    assert len(none) == len(rows) and {r.verdict for r in none} == {"allow"}
+    assert url_filter.url_verdicts(pages.limit(0), frame).count() == 0
+
+
+def test_url_filter_runs_no_python(spark):
+    plan = url_filter.op6_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def plain_top(rows, asked, k):
+    ints = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            ints.setdefault(i, [math.floor(64 * float(np.float32(x))) for x in v])
+    out = []
+    for q in ints:
+        if asked(q):
+            scores = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shape", ["normal", "unit", "skewed", "ties"])
+def test_top_k(spark, monkeypatch, shape):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(topk, "VECTORS", 40)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "SEED", 30)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    if shape == "unit":
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) * 20
+    elif shape == "skewed":
+        x = x * rng.pareto(1.0, size=(300, 1)).astype(np.float32)
+    elif shape == "ties":
+        x = np.round(x[:5][rng.integers(0, 5, 300)])
+    rows = [(i, [float(v) for v in x[i]]) for i in range(300)]
+    rows += [(400, None), (420, [1.0, None]), (440, [float("nan")] * 6), (460, [float("inf")] * 6), (480, []), (500, [3.0]), (520, [0.0] * 6), (None, [1.0] * 6), (40, rows[40][1])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, score int")
+    got = topk.top_k(frame, F.col("id") % 20 == 0, k=7).collect()
+    assert sorted(map(tuple, got)) == plain_top(rows, lambda i: i % 20 == 0, 7)
+
+
+def test_top_k_of_few_and_large(spark):
+    frame = spark.createDataFrame([(0, [1e30, -1e30]), (1, [1e30, 1e30]), (2, [1e10, 3e9])], "vec_id long, embedding array<float>")
+    got = topk.top_k(frame, F.col("id") % 20 == 0).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2), (2, 1)]
+    assert topk.top_k(frame.limit(0), F.col("id") % 20 == 0).count() == 0
+    assert topk.top_k(frame.filter("vec_id = 0"), F.col("id") % 20 == 0).count() == 0
+
+
+def test_coordinates_keep_all_near(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(500, 8)) * 50).astype(np.int64)
+    norms = np.sqrt((x**2).sum(1))
+    order = np.argsort(-norms)
+    bucket = topk.Bucket(np.arange(500), x[order], norms[order])
+    for t in (0.8, 0.9, 0.99):
+        for i in range(40):
+            q = x[i] / np.linalg.norm(x[i])
+            near = set(np.flatnonzero(bucket.data @ q / bucket.norms >= t).tolist())
+            assert near <= set(bucket.by_coordinates(q, t).tolist())
+
+
+def pages_frame(spark, rows):
+    return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+
+
+def test_warc_round_trip(spark, tmp_path):
+    same = "<p>same</p>" * 50
+    rows = [(i, f"http://h/{i}", same if i % 3 == 0 else f"<p>{i} é</p>" * (i % 40)) for i in range(1, 300)]
+    rows += [(300, None, None), (301, "http://h/\r\nX: y", ""), (302, "http://h/", "x" * 300_000), (None, "http://n/", same), (None, "http://n/", "only nulls"), (5, "http://h/5", rows[4][2])]
+    for least in (0, 200):
+        manifest = warc.write_archives(pages_frame(spark, rows), str(tmp_path / f"w{least}"), min_bytes=least, max_bytes=2000, sample_bytes=4000)
+        back = warc.read_archives(spark, manifest).collect()
+        assert len(back) == len(rows) == sum(r.records for r in manifest.collect()) and manifest.count() > 4
+        first = {}
+        for i, _, h in rows:
+            if i is not None:
+                first[h or ""] = min(first.get(h or "", i), i)
+        want = []
+        for i, u, h in rows:
+            data = (h or "").encode()
+            again = len(data) >= least and (h or "") in first and i != first[h or ""]
+            want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if again else "response", first[h or ""] if again else None, None if again else data))
+        key = lambda r: str(r)
+        assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in back), key=key) == sorted(want, key=key)
+        assert {r.url for r in back if r.page_id == 300} == {None} and {r.url for r in back if r.page_id == 301} == {"http://h/%0D%0AX: y"}
+
+
+def test_warc_frames_stand_alone(spark, tmp_path):
+    """The archive starts with the dictionary's frame, and each record can be opened by itself."""
+    import zstandard
+
+    own = warc.Archives(str(tmp_path), 0, 3, 50_000, 4096, 1 << 30)
+    for i in range(400):
+        own.add(warc.page_record(i, "http://h/", f"<html><body>page {i} of many similar pages {i * i}</body></html>".encode() * 5, "D", 1, None, "2000-01-01T00:00:00Z"))
+    (path, size, n), = own.close()
+    data = open(path, "rb").read()
+    assert n == 400 and len(data) == size and data[:4] == b"\x5d\x2a\x4d\x18"
+    at = 8 + int.from_bytes(data[4:8], "little")
+    press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8:at]))
+    assert at > 8 and press.decompress(data[at:], max_output_size=10_000).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    assert len(list(warc.read_archive(path))) == 401
+
+
+def test_warc_of_nothing(spark, tmp_path):
+    empty = pages_frame(spark, [(1, "u", "h")]).limit(0)
+    manifest = warc.write_archives(empty, str(tmp_path / "none"))
+    assert manifest.count() == 0 and warc.read_archives(spark, manifest).count() == 0
+
+
+def song(seed, seconds=8, shift=0.0):
+    rng = np.random.default_rng(seed)
+    t = np.arange(int(audio.RATE * seconds)) / audio.RATE
+    notes = rng.integers(0, 24, 400)
+    x = np.sin(2 * np.pi * 220 * 2 ** (notes[((t + shift) * 3).astype(int)] / 12) * t) + 0.5 * np.sin(2 * np.pi * 440 * 2 ** (notes[((t + shift) * 2).astype(int) + 200] / 12) * t)
+    return audio.write_wav(0.3 * x, audio.RATE)
+
+
+def test_audio_alignment(spark):
+    hop = audio.HOP / audio.RATE
+    rows = [(100, song(1)), (101, song(1)), (102, song(1, shift=4 * hop)), (103, song(2)), (104, song(3)), (105, None), (106, b"no sound"), (107, audio.write_wav(np.zeros(audio.RATE * 5), audio.RATE)), (108, song(4, 0.2)), (None, song(5))]
+    media = spark.createDataFrame([(i, bytearray(a) if a is not None else None, 1) for i, a in rows], "id long, audio binary, ints int")
+    prints = audio.fingerprints(media, id_col="id", audio_col="audio")
+    ints = {r["id"]: r.ints for r in prints.collect()}
+    assert ints[105] == ints[106] == ints[107] == ints[108] == [] and ints[100] == ints[101] and len(ints[100]) > 30
+    classes, matches = audio.align(prints, F.col("id") % 100 == 0)
+    assert {r.class_id for r in classes.collect()} == {100, 102, 103, 104}
+    (m,) = matches.collect()
+    assert (m["query"], m.other, m["shift"]) == (100, 102, -4) and m.errors < 0.1
+    assert audio.fingerprints(media.limit(0), id_col="id", audio_col="audio").count() == 0
+
+
+def test_packed_integers_equal_plain_sums():
+    rng = np.random.default_rng(3)
+    image = rng.random((30, 12))
+    got = audio.packed(image).view(np.uint32)
+    for t in (0, 7, len(got) - 1):
+        word = 0
+        for kind, y, h, w in audio.FILTERS:
+            a = image[t : t + w, y : y + h]
+            part = {0: a[:, : h // 2].sum(), 1: a[: w // 2].sum(), 2: a[: w // 2, : h // 2].sum() + a[w // 2 :, h // 2 :].sum(), 3: a[:, h // 4 : h - h // 4].sum(), 4: a[w // 4 : w - w // 4].sum()}[kind]
+            v = (2 * part - a.sum()) / a.sum()
+            word = word << 2 | [0, 1, 3, 2][int(v > -audio.STEP) + int(v > 0) + int(v > audio.STEP)]
+        assert word == int(got[t])
+
+
+def test_wav_kinds():
+    for bits, dtype, top in ((8, "u1", 255), (16, "<i2", 32767), (32, "<i4", 2**31 - 1)):
+        body = np.array([[top, 0]] * 10).astype(dtype).tobytes()
+        head = b"RIFF\0\0\0\0WAVEfmt " + b"\x10\0\0\0\x01\0\x02\0" + (8000).to_bytes(4, "little") + b"\0\0\0\0\0\0" + bits.to_bytes(2, "little") + b"data" + len(body).to_bytes(4, "little")
+        samples, rate = audio.read_wav(head + body)
+        assert rate == 8000 and len(samples) == 10
+    assert audio.read_wav(b"RIFF") is None and len(audio.pitch_classes(np.zeros(3, np.float32), 44_100)) == 0
+
+
+def test_shared_dir_is_the_sessions(spark):
+    assert common.scratch_path(spark, "x").startswith(common.shared_dir(spark))

@@ -153,7 +153,9 @@ class BaiReader(DataSourceReader):
 
         return [InputPartition(p) for p in list_files(self.path, ".bai")]
 
-    def read(self, partition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition) -> Iterator[tuple]:
+        if partition is None:
+            return
         index = Index.load(partition.value)
         rows = []
         for r, (bins, linear, stats) in enumerate(index.references if index else ()):

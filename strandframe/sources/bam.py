@@ -3,7 +3,7 @@
 Reading. Each file's header is read once on the driver. With an index (option ``index``, default the
 file's name and .bai) a file is cut at known record starts into up to ``splits`` partitions, and
 with ``region`` (``name:beg-end``, 0-based, half open) only the chunks that may overlap it are
-read, as they are for pushed comparisons of ref_name, ref_id and pos. Without an index a file is
+read; with ``pushdown`` this also goes for comparisons of ref_name, ref_id and pos. Without an index a file is
 one partition. Columns that the user's schema leaves out are not decoded: ``read_bam(columns=...)``.
 
 Writing. A task writes one file, with its own header blocks, and its index if its rows come sorted.
@@ -71,8 +71,7 @@ def header_bytes(text: str, references: list[tuple[str, int]]) -> bytes:
 @dataclass
 class Split(InputPartition):
     path: str
-    start: int
-    end: int  # -1: the file's end
+    ranges: list  # of (start, end) virtual offsets; an end of -1 is the file's
     references: list
 
 
@@ -123,32 +122,38 @@ class BamReader(DataSourceReader):
         if ref is not None and ref == -2:
             return []
         if index is not None and ref is not None and ref >= 0:
-            return [Split(path, a, b, references) for a, b in index.chunks(ref, self.beg, self.end)]
-        starts = [first, *(s for s in (index.starts() if index else ()) if s > first)]
-        step = max(1, -(-len(starts) // int(self.options.get("splits", "16"))))
-        cuts = starts[::step]
-        return [Split(path, a, b, references) for a, b in zip(cuts, [*cuts[1:], -1])]
-
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
+            ranges = index.chunks(ref, self.beg, self.end)
+        else:
+            starts = [first, *(s for s in (index.starts() if index else ()) if s > first)]
+            ranges = list(zip(starts, [*starts[1:], -1]))
+        step = max(1, -(-len(ranges) // int(self.options.get("splits", "16"))))
+        return [Split(path, ranges[i : i + step], references) for i in range(0, len(ranges), step)]
+
+    def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there was no split
+            return
         arrow, want = to_arrow_schema(self.schema), set(self.schema.names)
-        f, rows = BgzfReader(partition.path, partition.start), []
+        f, rows = BgzfReader(partition.path), []
         try:
-            for row in self._records(f, partition, want):
-                rows.append(row)
-                if len(rows) == BATCH:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
-                    rows = []
+            for start, end in partition.ranges:
+                if f.tell() != start:
+                    f.seek(start)
+                for row in self._records(f, partition, end, want):
+                    rows.append(row)
+                    if len(rows) == BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        rows = []
         finally:
             f.close()
         if rows:
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    def _records(self, f: BgzfReader, p: Split, want: set[str]) -> Iterator[dict]:
+    def _records(self, f: BgzfReader, p: Split, end: int, want: set[str]) -> Iterator[dict]:
         need = want | {"cigar"} if self.bounded else want
         ref = next((i for i, r in enumerate(p.references) if r[0] == self.name), -2) if self.name is not None else self.ref_id
         while True:
             at = f.tell()
-            if p.end >= 0 and at >= p.end:
+            if 0 <= end <= at:
                 return
             try:
                 head = f.read(4)
@@ -175,7 +180,12 @@ class BamReader(DataSourceReader):
 
 
 class PushingReader(BamReader):
-    """Prunes by pushed comparisons. All of them go back to Spark, which tests every row again."""
+    """Prunes by pushed comparisons. All of them go back to Spark, which tests every row again.
+
+    Spark 4.1 keeps the pruned plan with the loaded relation, so a second query over the same
+    DataFrame would see the first one's partitions only. Hence the option ``pushdown`` is off
+    unless asked for, and then the DataFrame serves one query.
+    """
 
     def pushFilters(self, filters):
         for x in filters:
@@ -292,7 +302,9 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read_bam(spark: SparkSession, path: str, *, columns: list[str] | None = None, region: tuple[str, int, int] | None = None, pushdown: bool = True, **options: str) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, *, columns: list[str] | None = None, region: tuple[str, int, int] | None = None, pushdown: bool = False, **options: str) -> DataFrame:
+    """columns: those to decode. region: (name, beg, end), 0-based, half open: only what may overlap it
+    is read, and only overlapping records come out. pushdown: see PushingReader."""
     register(spark)
     reader = spark.read.format("bam").option("pushdown", str(pushdown).lower()).options(**options)
     if columns:

@@ -41,6 +41,8 @@ class FastaReader(DataSourceReader):
         return [InputPartition(path)]
 
     def read(self, partition) -> Iterator[tuple]:
+        if partition is None:
+            return
         name, at = None, 0
         with open(partition.value, "rb") as f:
             for k, line in enumerate(f):

@@ -20,16 +20,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, crc_mod, stash, table
+from strandframe.llm.common import by_bytes, crc_mod, stash, table, tidy
 
 ORDER = 3
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Distinct windows that a model may have over all its languages: the bound of what is broadcast.
 MAX_WINDOWS = 2_000_000
-DENSE = 1 << 23
+DENSE = 1 << 22
 UND = "und"
 
 
@@ -178,23 +177,37 @@ def count_windows(docs: DataFrame, lang_col: str, text_col: str, order: int) ->
         yield from flush()
 
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    return known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return known.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_windows: int = MAX_WINDOWS) -> Model:
     """Context trees of all languages of the documents, from all their texts.
 
-    Of a language's windows the ``max_windows`` / languages most frequent stay (of equal counts
-    all or none), so the model's size has a bound; what falls away is coded by escapes.
+    Of a language's windows the ``max_windows`` / languages most frequent stay (of one level of
+    frequency, a 16th of an octave, all or none), so the model's size has a bound; what falls away is coded by escapes.
     """
+    spark = docs.sparkSession
     counts = count_windows(docs, lang_col, text_col, order)
     langs = max(1, docs.select(F.col(lang_col).cast("string").alias("l")).filter("l is not null").distinct().limit(max_windows).count())
     share = max(256, max_windows // langs)
     counts = stash(counts, "windows")
-    # how many windows have each count: a few thousand rows a language
-    shape = counts.groupBy("lang", F.col("n").alias("m")).agg(F.count("*").alias("c")).withColumn("at_least", F.sum("c").over(W.partitionBy("lang").orderBy(F.desc("m"))))
-    least = shape.filter(F.col("at_least") <= share).groupBy(F.col("lang").alias("of")).agg(F.min("m").alias("m"))
-    top = counts.join(F.broadcast(least), (F.col("lang") == F.col("of")) & (F.col("n") >= F.col("m"))).select("lang", "gram", "n").toArrow()
+    # how many windows are at each level of frequency: at most 1024 levels a language
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    shape: dict[str, list] = {}
+    for r in counts.groupBy("lang", level.alias("level")).agg(F.count("*").alias("c")).collect():
+        shape.setdefault(r["lang"], []).append((r["level"], r["c"]))
+    least = []
+    for name, own in shape.items():
+        held, at = 0, None
+        for lv, c in sorted(own, reverse=True):
+            held += c
+            if held > share:
+                break
+            at = lv
+        if at is not None:
+            least.append((name, at))
+    bounds = spark.createDataFrame(least, "of string, low int")
+    top = counts.join(F.broadcast(bounds), (F.col("lang") == F.col("of")) & (level >= F.col("low"))).select("lang", "gram", "n").toArrow()
     lang, gram, n = np.array(top.column("lang").to_pylist(), dtype=object), top.column("gram").to_numpy(), top.column("n").to_numpy()
     trees = {}
     for name in sorted(set(lang)):
@@ -227,7 +240,7 @@ def predict_language(docs: DataFrame, model: Model, *, text_col: str = "text", b
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "lang_pred string", "score double", "bits_per_byte double"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, crc_mod, stash, table
+from strandframe.llm.common import by_bytes, crc_mod, stash, table, tidy
 
 WORD = re.compile(r"\w+")
 BREAK = re.compile(r"\W")
@@ -62,7 +62,7 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
 class Memo(dict):
     """What ``of`` makes of a word, remembered for up to MEMO words."""
 
-    MEMO = 400_000
+    MEMO = 100_000
 
     def __init__(self, of):
         self.of = of
@@ -275,13 +275,13 @@ def train(
     # at most MAX_LABELS rows of a long and an int: this side may be sent to every task
     labelled = texts.filter("text is not null").join(F.broadcast(bounded(marks, "__id", MAX_LABELS, 1)), "__id")
     kind = docs.schema[id_col].dataType.simpleString()
-    sketched = labelled.select("__id", "text", "label").mapInArrow(_sketches, f"__id {kind}, sketch long, label int")
+    sketched = labelled.select("__id", "text", "label").mapInArrow(tidy(_sketches), f"__id {kind}, sketch long, label int")
     marks = stash(sketched.groupBy("sketch", "label").agg(F.min("__id").alias("__id")).select("__id", "label"), "labelled")
     sample = F.broadcast(marks)
     toxic = texts.filter("text is not null").join(sample.filter("label = 1"), "__id", "left_semi")
-    found = toxic.select("text").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_texts)
+    found = toxic.select("text").mapInArrow(tidy(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_texts)
     candidates = frozenset(r["word"] for r in found.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect())
-    rows = texts.join(sample, "__id", "left").select("text", "label").mapInArrow(_counts(spark.sparkContext.broadcast(candidates)), "word string, n long, toxic long, clean long")
+    rows = texts.join(sample, "__id", "left").select("text", "label").mapInArrow(tidy(_counts(spark.sparkContext.broadcast(candidates))), "word string, n long, toxic long, clean long")
     counts = rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).collect()
     words = next((r["n"] for r in counts if r["word"] == ""), 0)
     whole = next((r for r in counts if r["word"] is None), None)
@@ -327,7 +327,7 @@ def _calibrate(lexicon: Lexicon, texts: DataFrame, marks: DataFrame) -> None:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), batch.column(1)], names=["words", "scores", "label"])
 
     some = F.broadcast(bounded(marks, "__id", MAX_CALIBRATION, 2))
-    rows = texts.join(some, "__id").select("text", "label").mapInArrow(run, "words long, scores array<double>, label int").collect()
+    rows = texts.join(some, "__id").select("text", "label").mapInArrow(tidy(run), "words long, scores array<double>, label int").collect()
     clean = [r for r in rows if r["label"] == 0]
     tail = sum(max(r["words"], 1) * math.exp(-lexicon.rate * (r["scores"][0] if r["scores"] else 0.0)) for r in clean)
     lexicon.k = max(1, sum(1 for r in clean if r["scores"])) / max(tail, 1.0)
@@ -378,7 +378,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), spans], names=names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "score double", "predicted int", f"passages {PASSAGES}"])
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -8,12 +8,14 @@ are recognised (the position's current rank differs) and skipped. The cost is li
 bytes but for sorting inside a bucket, so a pre-token of a megabyte is no harder per byte than
 a word, and many pre-tokens go through one queue together.
 
-Pre-tokens repeat, so their packed ids are remembered, up to about ``MEMO`` of them in a worker.
+Pre-tokens repeat, so their packed ids are remembered: MEMO or more of those met lately, and as
+many of those before; a pre-token of the older half that comes up again moves to the newer one.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from struct import Struct
@@ -24,9 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, table
+from strandframe.llm.common import by_bytes, table, tidy
 
-MEMO, MEMO_CHARS = 600_000, 64
+MEMO, MEMO_CHARS = 250_000, 64
+#: Positions from which a bucket is merged with array operations.
+AT_ONCE = 48
 
 
 class RankQueue:
@@ -54,7 +58,7 @@ class RankQueue:
         self.words[w] |= 1 << (rank & 255)
 
     def pop(self) -> tuple[int, list[int]]:
-        """The least rank and its positions in order, or (-1, [])."""
+        """The least rank and its positions, or (-1, [])."""
         top = self.top
         if not top:
             return -1, []
@@ -65,9 +69,24 @@ class RankQueue:
         self.words[w] = word
         if not word:
             self.top = top & (top - 1)
-        held = self.buckets.pop(rank)
-        held.sort()
-        return rank, held
+        return rank, self.buckets.pop(rank)
+
+
+def ascii_pattern(pattern: str) -> str:
+    """The pattern for ASCII texts: letters and numbers there are ranges, which the standard library
+    matches faster."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        part = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        if part in ("\\p", "\\P") and pattern[i : i + 5] in ("\\p{L}", "\\p{N}"):
+            part = pattern[i : i + 5]
+            ranges = "A-Za-z" if part[3] == "L" else "0-9"
+            out.append(ranges if inside else f"[{ranges}]")
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+        i += len(part)
+    return "".join(out)
 
 
 class ByteBpe:
@@ -77,96 +96,156 @@ class ByteBpe:
         import regex
 
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.split_any = regex.compile(pattern).findall
+        self.split_ascii = re.compile(ascii_pattern(pattern), re.ASCII).findall
         self.tokens = {i: t for t, i in ranks.items()}
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        self.pairs = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], dtype=np.int64)
+        # (left id, right id) of every pair of tokens that together are a token
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        table = np.array(sorted(pairs) or [(-1, -1)], dtype=np.int64)
+        self.pair_keys, self.pair_ranks = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1])
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """The packed ids of each pre-token; none is empty."""
+        """The packed ids of each pre-token; none is empty.
+
+        All pre-tokens lie one after another in arrays over their bytes. A bucket with many
+        positions is merged at once, the first position of each pre-token, and the others go
+        back to the bucket, as a lower rank may have come up in theirs; one with few positions,
+        or with many in the same pre-token, is merged position by position.
+        """
         if not pieces:
             return []
         get, queue, data = self.ranks.get, self.queue, b"".join(pieces)
-        buckets, mark, n = queue.buckets, queue.mark, len(data)
+        n = len(data)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(size)
-        u = np.frombuffer(data, np.uint8).astype(np.int64)
-        alive = bytearray(b"\1") * n
+        owner = np.repeat(np.arange(len(pieces)), size)
+        token = self.bytes[np.frombuffer(data, np.uint8)]
+        alive = np.ones(n, np.uint8)
         first = np.zeros(n + 1, np.uint8)  # 1 where a pre-token starts, and at the end
         first[ends - size] = first[n] = 1
-        ranks = np.full(n, -1)
-        ranks[:-1] = self.pairs[u[:-1] << 8 | u[1:]]
-        ranks[ends - 1] = -1
-        for k, piece in enumerate(pieces):  # a pre-token that is a token needs no merge
-            whole = get(piece)
-            if whole is not None:
-                ranks[ends[k] - size[k] : ends[k]] = -1
-                size[k] = -whole - 1
-        order = np.argsort(ranks, kind="stable")
-        order = order[np.searchsorted(ranks[order], 0) :]
-        there, starts = np.unique(ranks[order], return_index=True)
-        for r, held in zip(there.tolist(), np.split(order, starts[1:]) if len(there) else ()):
-            queue.push(r, held.tolist())
-        token, at, first = self.bytes[u].tolist(), ranks.tolist(), first.tobytes()
-        after, before = list(range(1, n + 1)), list(range(-1, n))
-        owner = np.repeat(np.arange(len(pieces)), np.diff(ends, prepend=0)).tolist()
+        at = np.full(n, -1)  # the rank of the merge that starts at a position
+        at[:-1] = self.pair_rank(token[:-1], token[1:])
+        at[ends - 1] = -1
+        wholes = [get(piece, -1) for piece in pieces]  # a pre-token that is a token needs no merge
+        at[np.repeat(np.array(wholes) >= 0, size)] = -1
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        there = np.flatnonzero(at >= 0)
+        self._push(at[there], there)
+        views = tuple(map(memoryview, (at, after, before, token, alive, first, owner)))
         while True:
             rank, held = queue.pop()
             if rank < 0:
                 break
-            blocked, later = -1, []
-            for i in held:
-                if at[i] != rank:
-                    continue
-                if owner[i] == blocked:  # a lower rank has come up in this pre-token
-                    later.append(i)
-                    continue
-                gone = after[i]
-                k = after[i] = after[gone]
-                at[gone] = -1
-                alive[gone] = 0
-                token[i] = rank
-                if first[k]:
-                    at[i] = -1
-                else:
-                    before[k] = i
-                    at[i] = r = get(data[i : after[k]], -1)
-                    if r >= 0:
-                        if r in buckets:
-                            buckets[r].append(i)
-                        else:
-                            buckets[r] = [i]
-                            mark(r)
-                        if r < rank:
-                            blocked = owner[i]
-                if not first[i]:
-                    p = before[i]
-                    at[p] = r = get(data[p:k], -1)
-                    if r >= 0:
-                        if r in buckets:
-                            buckets[r].append(p)
-                        else:
-                            buckets[r] = [p]
-                            mark(r)
-                        if r < rank:
-                            blocked = owner[i]
-            if later:
-                queue.push(rank, later)
-        live = np.frombuffer(alive, np.uint8).astype(bool)
-        packed = np.array(token)[live].astype("<u4").tobytes()
+            if len(held) < AT_ONCE:
+                held.sort()
+                self._one_by_one(rank, held, data, *views)
+                continue
+            every = np.array(held)
+            every = every[at[every] == rank]
+            every.sort()
+            if not len(every):
+                continue
+            own = owner[every]
+            lead = np.ones(len(every), bool)
+            lead[1:] = own[1:] != own[:-1]
+            i, rest = every[lead], every[~lead]
+            if len(rest) > len(i):
+                self._one_by_one(rank, every.tolist(), data, *views)
+                continue
+            if len(rest):
+                queue.push(rank, rest.tolist())
+            gone = after[i]
+            k = after[gone]
+            at[gone], alive[gone], token[i], after[i], before[k] = -1, 0, rank, k, i
+            right = np.full(len(i), -1)
+            inner = first[k] == 0
+            right[inner] = self.pair_rank(token[i[inner]], token[k[inner]])
+            at[i] = right
+            p = before[i[first[i] == 0]]
+            left = self.pair_rank(token[p], np.full(len(p), rank))
+            at[p] = left
+            ranks, spots = np.concatenate([right, left]), np.concatenate([i, p])
+            new = ranks >= 0
+            self._push(ranks[new], spots[new])
+        live = alive.astype(bool)
+        packed = token[live].astype("<u4").tobytes()
         to = (4 * np.cumsum(live))[ends - 1].tolist()
         pack = Struct("<I").pack
-        return [pack(-k - 1) if k < 0 else packed[a:b] for k, a, b in zip(size.tolist(), [0, *to], to)]
+        return [pack(w) if w >= 0 else packed[a:b] for w, a, b in zip(wholes, [0, *to], to)]
+
+    def _push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, spots = ranks[order], positions[order].tolist()
+        starts = np.flatnonzero(np.diff(ranks, prepend=-1))
+        push = self.queue.push
+        for r, a, b in zip(ranks[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(spots)]):
+            push(r, spots[a:b])
+
+    def _one_by_one(self, rank: int, held: list[int], data: bytes, at, after, before, token, alive, first, owner) -> None:
+        """Merges at the positions of one bucket, in order. Once a lower rank comes up in a
+        pre-token, its later positions go back to the bucket."""
+        get, buckets, mark = self.ranks.get, self.queue.buckets, self.queue.mark
+        blocked, later = -1, []
+        for i in held:
+            if at[i] != rank:
+                continue
+            if owner[i] == blocked:
+                later.append(i)
+                continue
+            gone = after[i]
+            k = after[gone]
+            after[i] = k
+            at[gone] = -1
+            alive[gone] = 0
+            token[i] = rank
+            if first[k]:
+                at[i] = -1
+            else:
+                before[k] = i
+                at[i] = r = get(data[i : after[k]], -1)
+                if r >= 0:
+                    if r in buckets:
+                        buckets[r].append(i)
+                    else:
+                        buckets[r] = [i]
+                        mark(r)
+                    if r < rank:
+                        blocked = owner[i]
+            if not first[i]:
+                p = before[i]
+                at[p] = r = get(data[p:k], -1)
+                if r >= 0:
+                    if r in buckets:
+                        buckets[r].append(p)
+                    else:
+                        buckets[r] = [p]
+                        mark(r)
+                    if r < rank:
+                        blocked = owner[i]
+        if later:
+            self.queue.push(rank, later)
+
+    def split(self, text: str) -> list[str]:
+        return self.split_ascii(text) if text.isascii() else self.split_any(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        memo, parts = self.memo, [self.split(t) for t in texts]
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(set().union(*parts).difference(memo))
-        long = []
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        memo, older, parts = self.memo, self.older, [self.split(t) for t in texts]
+        unseen = set().union(*parts).difference(memo)
+        again = unseen.intersection(older)
+        memo.update((w, older[w]) for w in again)
+        new, long = list(unseen - again), []
         for word, ids in zip(new, self.merge([w.encode() for w in new])):
             memo[word] = ids
             if len(word) > MEMO_CHARS:
@@ -210,7 +289,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields[1:])
-    return base.mapInArrow(run, schema + "ids binary" + ", decoded binary" * decode)
+    return base.mapInArrow(tidy(run), schema + "ids binary" + ", decoded binary" * decode)
 
 
 def decode(encoded: DataFrame, ranks: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -223,7 +302,7 @@ def decode(encoded: DataFrame, ranks: str, *, id_col: str = "doc_id", ids_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([enc.decode(x or b"") for x in batch.column(1).to_pylist()], pa.binary())], names=[id_col, "decoded"])
 
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
+    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(tidy(run), f"`{id_col}` {kind}, decoded binary")
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

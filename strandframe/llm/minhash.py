@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, stash, table
+from strandframe.llm.common import by_bytes, stash, table, tidy
 
 SHINGLE = 5
 #: Hashes of a signature for verification, one byte each, and how many are compared at a time.
@@ -43,7 +44,7 @@ MEMBERS, OTHERS = 1024, 8192
 class _Words(dict):
     """64-bit hashes of words, for up to SIZE words."""
 
-    SIZE = 400_000
+    SIZE = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.SIZE:
@@ -105,11 +106,12 @@ def signature(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key per band; its lowest six bits are the band's number."""
     parts = sig[: bands * rows].reshape(bands, rows).astype(np.uint64)
     total = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i, f in enumerate(_factors(rows)):
         total = total + parts[:, i] * f
-    return _mix(total).astype(np.int64)
+    return (_mix(total) & ~np.uint64(63) | np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def band_shape(threshold: float, miss: float = 1e-6, most: int = 40) -> tuple[int, int]:
@@ -168,8 +170,8 @@ def _sketch(bands: int, rows: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, k)
+            for text in batch.column(1):
+                s = shingles(text.as_py(), k)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
@@ -178,21 +180,46 @@ def _sketch(bands: int, rows: int, k: int):
     return run
 
 
-def _profile(bands: int, rows: int, k: int):
-    """(id, n, sig, keys, text) of candidate documents: what verification compares."""
+#: Bits of the largest filter by which documents that are no candidates are left out early.
+FILTER_BITS = 1 << 26
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter (two bits an id) of the distinct ids as 64-bit words, FILTER_BITS bits at most
+    whatever their number; where there are very many, it just lets more rows pass."""
+    n = ids.count()
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * max(n, 1) - 1).bit_length()))
+    spots = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)])).alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))
+    words = spots.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _profile(found, bands: int, rows: int, k: int):
+    """(id, n, sig, keys, text) of the documents that the filter lets pass: what verification compares.
+    Texts are compressed, as they travel several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = found.value
         for batch in batches:
-            for a, b in by_bytes([x or 0 for x in pa.compute.binary_length(batch.column(1)).to_pylist()], 8 << 20):
-                part = batch.slice(a, b - a)
-                sizes, sigs, keys = [], [], []
-                for text in part.column(1).to_pylist():
+            here = np.ones(batch.num_rows, bool)
+            for c in ("h1", "h2"):
+                spot = batch.column(c).to_numpy() % (64 * len(words))
+                here &= words[spot >> 6] >> (spot & 63) & 1 == 1
+            kept = batch.take(pa.array(np.flatnonzero(here)))
+            for a, b in by_bytes([x or 0 for x in pa.compute.binary_length(kept.column("text")).to_pylist()], 4 << 20):
+                part = kept.slice(a, b - a)
+                sizes, sigs, keys, packed = [], [], [], []
+                for text in part.column("text").to_pylist():
+                    packed.append(zstandard.compress((text or "").encode()))
                     s = shingles(text, k)
                     sig = signature(s, max(HASHES, bands * rows)) if len(s) else np.zeros(HASHES, np.uint32)
                     sizes.append(len(s))
                     keys.append(band_keys(signature(s, bands * rows), bands, rows).tobytes() if len(s) else b"")
                     sigs.append(sig[:HASHES].astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary()), part.column(1)], names=["id", "n", "sig", "keys", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["id", "n", "sig", "keys", "text"])
 
     return run
 
@@ -202,33 +229,49 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1) if rows else np.zeros((0, 0), dtype)
 
 
-def _verify(percent: int, miss: float, k: int):
-    """Pairs (a, b) that are links. Rows of one b come one after another, its set is made once."""
+def _prune(percent: int, miss: float):
+    """The pairs (a, b) that signatures do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pa.array(may_link(_matrix(batch.column("a_sig"), np.uint8), _matrix(batch.column("b_sig"), np.uint8), percent / 100, miss))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+
+    return run
+
+
+def _confirm(percent: int, k: int):
+    """The pairs (a, b) that are links. Rows of one b come one after another, its set is made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
             keep = []
-            b_ids, b_text, a_text = batch.column("b"), batch.column("b_text"), batch.column("a_text")
-            for i in may_link(_matrix(batch.column("a_sig"), np.uint8), _matrix(batch.column("b_sig"), np.uint8), percent / 100, miss).tolist():
-                b = b_ids[i].as_py()
+            for i, b in enumerate(batch.column("b").to_pylist()):
                 if held is None or b != last:
-                    last, held = b, shingles(b_text[i].as_py(), k)
-                if linked(shingles(a_text[i].as_py(), k), held, percent):
+                    last, held = b, shingles(zstandard.decompress(batch.column("b_text")[i].as_py()).decode(), k)
+                if linked(shingles(zstandard.decompress(batch.column("a_text")[i].as_py()).decode(), k), held, percent):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), b_ids.take(at)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, profiles: DataFrame, percent: int, miss: float, k: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
+def _with(pairs: DataFrame, profiles: DataFrame, column: str) -> DataFrame:
+    """The pairs with a column of both sides' profiles."""
+    a, b = (profiles.select(F.col("id").alias(x), F.col(column).alias(f"{x}_{column}")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b")
+
+
+def prune(pairs: DataFrame, profiles: DataFrame, percent: int, miss: float) -> DataFrame:
+    kind = pairs.schema["a"].dataType.simpleString()
+    return _with(pairs, profiles, "sig").mapInArrow(tidy(_prune(percent, miss)), f"a {kind}, b {kind}")
+
+
+def confirm(pairs: DataFrame, profiles: DataFrame, percent: int, k: int) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
-    side = profiles.select("id", "sig", "text")
-    a = side.select(F.col("id").alias("a"), F.col("sig").alias("a_sig"), F.col("text").alias("a_text"))
-    b = side.select(F.col("id").alias("b"), F.col("sig").alias("b_sig"), F.col("text").alias("b_text"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_sig", "b_sig", "a_text", "b_text").mapInArrow(_verify(percent, miss, k), f"a {kind}, b {kind}")
+    return _with(pairs, profiles, "text").mapInArrow(tidy(_confirm(percent, k)), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,7 +375,7 @@ def near_duplicates(
     bands, rows = band_shape(percent / 100)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = stash(texts.mapInArrow(_sketch(bands, rows, k), f"id {kind}, n long, digest binary, bands array<long>"), "sketches")
+    sketches = stash(texts.mapInArrow(tidy(_sketch(bands, rows, k)), f"id {kind}, n long, digest binary, bands array<long>"), "sketches")
     classes = sketches.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
 
     # candidates: representatives that share a band
@@ -340,13 +383,18 @@ def near_duplicates(
     banded = reps.select("id", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("bucket", "hub")
     members = stash(banded.join(shared, "bucket"), "buckets")
-    wanted = members.select("id").distinct()
-    found = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    profiles = stash(found.mapInArrow(_profile(bands, rows, k), f"id {kind}, n long, sig binary, keys binary, text string"), "profiles")
+    # their texts: most others fall to a filter of bounded size before any is shuffled
+    wanted = stash(members.select("id").distinct(), "wanted")
+    found = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    hashed = texts.filter("id is not null").select("id", "text", *[F.xxhash64("id", F.lit(i)).alias(f"h{i}") for i in (1, 2)])
+    passed = hashed.mapInArrow(tidy(_profile(found, bands, rows, k)), f"id {kind}, n long, sig binary, keys binary, text binary")
+    exact = passed.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "n", "sig", "keys")).alias("p"))
+    profiles = stash(exact.select("id", "p.n", "p.sig", "p.keys", "p.text"), "profiles")
 
     stars = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stash(verify(stars, profiles, percent, miss, k), "links")
-    more = verify(_rest(members, components(links), profiles, percent, miss, bands, kind), profiles, percent, miss, k)
+    # signatures travel first; texts only for pairs that they do not rule out
+    links = stash(confirm(prune(stars, profiles, percent, miss), profiles, percent, k), "links")
+    more = confirm(_rest(members, components(links), profiles, percent, miss, bands, kind), profiles, percent, k)
     joined = components(links.union(more)).select(F.col("id").alias("rep"), "comp")
 
     named = classes.join(joined, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
@@ -359,15 +407,20 @@ def near_duplicates(
 def _rest(members: DataFrame, comps: DataFrame, profiles: DataFrame, percent: int, miss: float, bands: int, kind: str) -> DataFrame:
     """Pairs of different components that share a bucket and that signatures do not rule out."""
     placed = members.select("bucket", "id").distinct().join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    split = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", F.col("top.comp").alias("main"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("xs"), F.ceil((F.col("all") - F.col("top.c")) / OTHERS).cast("int").alias("ys"))
+    mark = [F.bit_xor(F.xxhash64("id", F.lit(k))) for k in (3, 4)]
+    sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), *[m.alias(f"m{k}") for k, m in enumerate(mark)])
+    apart = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts"), *[F.bit_xor(f"m{k}").alias(f"m{k}") for k in (0, 1)]).filter("parts > 1")
+    # near copies share many bands: of buckets with the same members the one of the first band is
+    # enough, and it is the first that any two of its members share
+    once = apart.groupBy("m0", "m1", "all").agg(F.min_by(F.struct("bucket", "top"), F.col("bucket").bitwiseAND(F.lit(63))).alias("b")).select("b.bucket", "b.top", "all")
+    split = once.select("bucket", F.col("top.comp").alias("main"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("xs"), F.ceil((F.col("all") - F.col("top.c")) / OTHERS).cast("int").alias("ys"))
     seen = placed.join(split, "bucket").withColumn("outside", F.col("comp") != F.col("main"))
     spot = F.xxhash64("id")
     inner = seen.select("bucket", F.pmod(spot, "xs").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(1).alias("role"), "id", "comp", "outside")
     outer = seen.filter("outside").select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), F.pmod(spot, "ys").cast("int").alias("y"), F.lit(0).alias("role"), "id", "comp", "outside")
     rows = outer.union(inner).join(profiles.select("id", "n", "sig", "keys"), "id")
     dealt = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "role")
-    return dealt.mapInArrow(_compare(percent, miss, bands), f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(tidy(_compare(percent, miss, bands)), f"a {kind}, b {kind}").distinct()
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:

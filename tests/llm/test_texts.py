@@ -84,10 +84,29 @@ def test_rank_queue_orders_by_rank_then_position():
         want.setdefault(r, []).append(p)
     got = []
     while (x := q.pop())[0] >= 0:
-        got.append(x)
+        got.append((x[0], sorted(x[1])))
     assert got == [(r, sorted(want[r])) for r in sorted(want)]
 
 
+def test_merges_at_once_equal_library(tokens, monkeypatch):
+    rng, enc = random.Random(9), byte_bpe.bpe(RANKS, P.PATTERN)
+    texts = ["".join(rng.choice("etaoinshr üéñ日😀\n0'!st  ") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    want = [tokens.encode_ordinary(t) for t in texts]
+    for at_once in (1, 3, 48, 10**9):
+        monkeypatch.setattr(byte_bpe, "AT_ONCE", at_once)
+        enc.memo, enc.older = {}, {}
+        assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in enc.encode(texts)] == want
+
+
+def test_ascii_pattern():
+    assert byte_bpe.ascii_pattern(P.PATTERN) == r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
+    enc = byte_bpe.bpe(RANKS, P.PATTERN)
+    for a in range(128):
+        for b in range(128):
+            text = f"a{chr(a)}{chr(b)}1 {chr(b)}{chr(a)}"
+            assert enc.split_ascii(text) == enc.split_any(text)
+
+
 def test_long_pre_token_is_linear(tokens):
     text = "".join(random.Random(1).choice("etaoin") for _ in range(200_000))
     assert list(np.frombuffer(byte_bpe.bpe(RANKS, P.PATTERN).encode([text])[0], "<u4")) == tokens.encode_ordinary(text)

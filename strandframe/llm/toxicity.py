@@ -3,9 +3,11 @@
 Learning. Of labelled near copies (equal least hash of eight-word shingles, equal label) one is
 taken, so that a much copied document counts once. A word's evidence is its log-odds of occurring in toxic against clean labelled
 documents, each count smoothed by an informative Dirichlet prior: the word's share of all
-documents of the corpus, times ``prior`` of the labelled ones. Words whose log-odds stand
-``min_z`` standard deviations above zero make the lexicon; they score their log-odds, every other
-word scores a small negative drift, so that the mean score over the corpus is negative.
+documents of the corpus, times ``prior`` of the labelled ones. Words are
+also counted by their first five and four characters, since a rare inflected form says little by
+itself. Tokens (words or beginnings) whose log-odds stand ``min_z`` standard deviations above zero
+make the lexicon. A word scores the log-odds of its most specific token there; every other word
+scores a small negative drift, so that the mean score over the corpus is negative.
 
 Search. One linear scan (Ruzzo and Tompa) finds all disjoint maximal-scoring segments of a text.
 Under the corpus' word frequencies the scores of random segments follow an extreme-value
@@ -27,7 +29,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,10 @@ BLOCK = 1 << 20
 EVIDENCE = 60.0
 
 #: Bounds of the classifier's labelled samples, in rows, and of its candidate words. Samples are
-#: drawn by a hash of the id; where there are fewer labelled rows, all of them are taken.
+#: drawn by a hash of the id; where there are fewer labelled rows, all of them are taken. Beginnings
+#: have a MAX_WORDS of their own.
 MAX_LABELS, MAX_CALIBRATION, MAX_WORDS = 200_000, 20_000, 200_000
+SEEN = 200_000
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
@@ -59,6 +62,11 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
     yield start, text[start:]
 
 
+def tokens(word: str) -> tuple[str, ...]:
+    """A word and its beginnings, the most specific first."""
+    return (word, f"{word[:5]}*", f"{word[:4]}*") if len(word) > 5 else (word, f"{word[:4]}*") if len(word) == 5 else (word,)
+
+
 class Memo(dict):
     """What ``of`` makes of a word, remembered for up to MEMO words."""
 
@@ -91,9 +99,28 @@ class Lexicon:
     offset: float = 0.0
     max_e: float = 0.05
 
-    @cached_property
-    def words(self) -> frozenset[str]:
-        return frozenset(self.scores)
+    def __post_init__(self):
+        self.seen: set[str] = set()  # words looked up so far
+        self.known: dict[str, float] = {}  # those of them that score
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "known")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def of(self, word: str) -> float | None:
+        return next((s for t in tokens(word) if (s := self.scores.get(t)) is not None), None)
+
+    def there(self, words: set[str]) -> set[str]:
+        """Those of the words that score. Each is looked up once, as long as SEEN words are held."""
+        if new := words - self.seen:
+            if len(self.seen) > SEEN:
+                self.seen, self.known, new = set(), {}, words
+            self.seen |= new
+            self.known.update((w, s) for w in new if (s := self.of(w)) is not None)
+        return self.known.keys() & words
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, float]], list[tuple[int, float]]]:
         """(words of the text, (number of the word, score) of those in the lexicon, the same
@@ -101,10 +128,10 @@ class Lexicon:
         n, found, once, seen = 0, [], [], set()
         for _, part in blocks(text.lower()):
             words = WORD.findall(part)
-            if there := self.words.intersection(words):
+            if there := self.there(set(words)):
                 for i, w in enumerate(words):
                     if w in there:
-                        found.append((n + i, self.scores[w]))
+                        found.append((n + i, self.known[w]))
                         if w not in seen:
                             seen.add(w)
                             once.append(found[-1])
@@ -204,7 +231,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): in how many texts of the task each word occurs."""
+    """(word, n): in how many texts of the task each token occurs."""
     held: Counter[str] = Counter()
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -215,27 +242,29 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            held.update({w for _, part in blocks(text.lower()) for w in WORD.findall(part)})
+            held.update({t for w in {w for _, part in blocks(text.lower()) for w in WORD.findall(part)} for t in tokens(w)})
             if len(held) > 500_000:
                 yield from flush()
     yield from flush()
 
 
 def _counts(candidates) -> object:
-    """(word, n, toxic, clean): in how many texts a candidate word occurs; under a null word the
+    """(word, n, toxic, clean): in how many texts a candidate token occurs; under a null word the
     numbers of texts, and under an empty one n is the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = candidates.value
+        whole = frozenset(t for t in candidates.value if t[-1] != "*")
+        five, four = (frozenset(t[:-1] for t in candidates.value if t[-1] == "*" and len(t) == n + 1) for n in (5, 4))
         total, size = np.zeros(3, np.int64), 0
         texts, by = Counter(), (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own: set[str] = set()
+                held: set[str] = set()
                 for _, part in blocks((text or "").lower()):
                     words = WORD.findall(part)
                     size += len(words)
-                    own |= known.intersection(words)
+                    held.update(words)
+                own = [*(whole & held), *(f"{t}*" for n, known in ((5, five), (4, four)) for t in known & {w[:n] for w in held if len(w) > max(n, 4)})]
                 texts.update(own)
                 total[0] += 1
                 if label is not None:
@@ -280,7 +309,9 @@ def train(
     sample = F.broadcast(marks)
     toxic = texts.filter("text is not null").join(sample.filter("label = 1"), "__id", "left_semi")
     found = toxic.select("text").mapInArrow(tidy(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_texts)
-    candidates = frozenset(r["word"] for r in found.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect())
+    found = stash(found, "tokens")
+    short = F.col("word").endswith("*")
+    candidates = frozenset(r["word"] for some in (found.filter(~short), found.filter(short)) for r in some.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect())
     rows = texts.join(sample, "__id", "left").select("text", "label").mapInArrow(tidy(_counts(spark.sparkContext.broadcast(candidates))), "word string, n long, toxic long, clean long")
     counts = rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).collect()
     words = next((r["n"] for r in counts if r["word"] == ""), 0)

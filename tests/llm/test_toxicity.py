@@ -72,3 +72,21 @@ def test_held_out_labels(spark):
     out = [r for r in rows if r.held_out and r.doc_id in want]
     assert len(rows) == 10_000 and sum(r.predicted == want[r.doc_id] for r in out) >= 0.97 * len(out)
     assert sum(r.predicted for r in out if want[r.doc_id]) >= 0.85 * sum(want[r.doc_id] for r in out)
+
+
+def test_rare_forms_count_by_their_beginnings(spark):
+    """Toxic words that never come twice in the same form, in held-out texts in forms never seen."""
+    rng = random.Random(11)
+    words = ["tree", "river", "stone", "cloud", "house", "green", "walk", "read", "song", "light"]
+    docs, labels = [], []
+    for i in range(300):
+        text = [rng.choice(words) + str(rng.randrange(30)) for _ in range(60)]
+        for k in range(4 if i % 5 == 0 else 0):
+            text.insert(rng.randrange(len(text)), f"{rng.choice(['vilem', 'fouln', 'réeux'])}{i}x{k}")
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(i % 5 == 0)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    lexicon = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, toxic int").filter("doc_id < 150"))
+    assert {"vilem*", "fouln*", "réeux*"} <= set(lexicon.scores)
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(frame, lexicon).collect()}
+    assert sum(got[i] for i in range(150, 300) if i % 5 == 0) >= 28 and sum(got[i] for i in range(150, 300) if i % 5) <= 1

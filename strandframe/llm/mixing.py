@@ -4,21 +4,27 @@ Each source s gets a mean repetition rate: target share x rows wanted / rows the
 copy count is the inverse of the Poisson distribution with that mean at a uniform number hashed
 from (seed, id): the same document gets the same count on every run, on any partitioning and
 after any lost executor, and no state is kept. Documents are exploded by their counts, and the
-copies are dealt to partitions and ordered by a second hash, which is the global shuffle.
+copies are dealt to partitions and ordered by a second hash, which is the global shuffle. A mean
+above LARGE is a whole number of copies of each document plus a Poisson number of mean LARGE or a
+little more, since the inverse of a larger one leaves the range of doubles.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import table
+from strandframe.llm.common import stash, table
 
 #: Rates of up to so many sources are sent to every task; beyond that they are joined by key.
 SOURCES_AT_ONCE = 10_000
 
+#: Largest mean of an inverted Poisson distribution; exp(-LARGE) is a normal double.
+LARGE = 600.0
+
 
 def hash_unit(*parts: Column) -> Column:
     """A uniform number in [0, 1) from the first 52 bits of an MD5."""
@@ -26,7 +32,7 @@ def hash_unit(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str, float] | None, alpha: float, scale: float, max_rate: float) -> DataFrame:
+def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str, float] | None, alpha: float, scale: float, max_rate: float | None) -> DataFrame:
     """(source, rate): one row per source that occurs, null included."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
@@ -37,19 +43,47 @@ def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str, float]
     total = sizes.agg(F.sum("w").alias("sw"), F.sum("n").alias("sn"))
     rate = F.when(F.col("sw") > 0, F.col("w") / F.col("sw") * F.col("sn") * F.lit(float(scale)) / F.col("n")).otherwise(F.lit(0.0))
     # total has one row
-    return sizes.join(F.broadcast(total)).select("source", F.least(rate, F.lit(float(max_rate))).alias("rate"))
-
-
-def poisson_cdf(rate: Column, max_rate: float) -> Column:
-    """P(X <= k) for k = 0, 1, ..., as far as doubles tell it from 1 at ``max_rate``."""
-    last = int(max_rate + 12 * max_rate**0.5 + 30)
+    rates = sizes.join(F.broadcast(total)).withColumn("rate", rate)
+    return rates.select("source", "rate") if max_rate is None else held_rates(stash(rates, "rates"), float(max_rate))
+
+
+def held_rates(rates: DataFrame, most: float) -> DataFrame:
+    """(source, rate) with no rate above ``most``: what a held source lacks goes to the others by
+    their weights, which may bring more of them to ``most``. A warning tells how many sources are
+    held, and the rows that no source can take."""
+    held, unit = 0, 1.0
+    while True:
+        over = F.col("rate") * F.lit(unit) > F.lit(most)
+        # rows of the held sources, rows wanted of the others, rows wanted in all
+        one = rates.agg(F.count(F.when(over, 1)).alias("held"), F.sum(F.when(over, F.col("n")).otherwise(0)).alias("rows"), F.sum(F.when(over, 0.0).otherwise(F.col("rate") * F.col("n"))).alias("free"), F.sum(F.col("rate") * F.col("n")).alias("all")).first()
+        if one["held"] == held:
+            break
+        held = one["held"]
+        left = one["all"] - most * one["rows"]
+        if not one["free"] or left <= 0:
+            break
+        unit = max(unit, left / one["free"])
+    if held:
+        lost = one["all"] - most * one["rows"] if not one["free"] else 0.0
+        warnings.warn(f"{held} sources are held at a mean repetition of {most}; other rates are multiplied by {unit}, {max(0.0, lost):.0f} rows go to no source", stacklevel=3)
+    return rates.select("source", F.least(F.col("rate") * F.lit(unit), F.lit(most)).alias("rate"))
+
+
+def whole_part(rate: Column) -> Column:
+    """Copies that each document gets for certain: none up to a rate of LARGE."""
+    return F.greatest(F.floor(rate - F.lit(LARGE)), F.lit(0).cast("long"))
+
+
+def poisson_cdf(rate: Column) -> Column:
+    """P(X <= k) for k = 0, 1, ..., as far as doubles tell it from 1."""
+    last = (rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k.cast("double")
         return F.struct(p.alias("p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + p)).alias("cdf"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(last)), start, step, lambda acc: acc["cdf"])
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
 
 
 def mix(
@@ -60,7 +94,7 @@ def mix(
     weights: Mapping[str, float] | None = None,
     alpha: float = 0.5,
     scale: float = 1.0,
-    max_rate: float = 64.0,
+    max_rate: float | None = None,
     seed: int = 42,
     copy_col: str = "copy",
 ) -> DataFrame:
@@ -68,8 +102,8 @@ def mix(
 
     weights: target weight by source (a source not named gets 0 and vanishes); without it a
     source's weight is its row count to the power ``alpha``. scale: rows wanted, as a multiple of
-    the input's. max_rate: the largest mean repetition of a document, a guard against repeating a
-    tiny source without end. All columns stay; ``copy_col`` (from 1) is added, and takes the place
+    the input's. max_rate: if given, the largest mean repetition of a document; the rows that a
+    source so held lacks go to the others by their weights, and a warning tells of it. All columns stay; ``copy_col`` (from 1) is added, and takes the place
     of a column of that name. Null sources are one source; a null id hashes as the text "null",
     and repeated rows of one id get the same count. Texts may be null or empty, they are not
     looked at. An empty table gives an empty table.
@@ -79,13 +113,14 @@ def mix(
     """
     spark = docs.sparkSession
     # the cumulative tables are made once per source, not once per row
-    rates = source_rates(docs, source_col, weights, alpha, scale, max_rate).withColumn("__cdf", poisson_cdf(F.col("rate"), max_rate)).select(F.col("source").alias("__source"), "__cdf")
+    rates = source_rates(docs, source_col, weights, alpha, scale, max_rate).withColumn("__whole", whole_part(F.col("rate")))
+    rates = rates.withColumn("__cdf", poisson_cdf(F.col("rate") - F.col("__whole"))).select(F.col("source").alias("__source"), "__whole", "__cdf")
     some = rates.limit(SOURCES_AT_ONCE + 1).collect()
     if len(some) <= SOURCES_AT_ONCE:
         rates = F.broadcast(spark.createDataFrame(some, rates.schema))
     joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("__source")), "inner")
     u = hash_unit(F.lit(seed), F.col(id_col))
-    count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    count = (F.col("__whole") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).cast("int")
     kept = [c for c in docs.columns if c != copy_col]
     copies = joined.withColumn("__u", u).withColumn("__n", count).filter("__n > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(copy_col))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy_col)).cast("binary"))

@@ -54,6 +54,20 @@ def test_mix_joins_many_sources(spark, monkeypatch):
     assert sorted(map(tuple, mixing.mix(docs).collect())) == want
 
 
+def test_mix_meets_large_rates(spark):
+    docs = spark.range(4010).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10, "small").when(F.col("id") < 1010, "mid").otherwise("big").alias("source"))
+    counts = lambda **kw: {r.source: r["count"] for r in mixing.mix(docs, **kw).groupBy("source").count().collect()}
+    for small, rate in ((0.5, 200.5), (0.9, 360.9), (3.0, 1203.0)):  # above 64; above LARGE in part whole copies
+        got = counts(weights={"small": small, "mid": 0.05, "big": max(0.0, 0.95 - small)}, scale=1.0 if small < 1 else 3.05 / 1.0)
+        assert abs(got["small"] - 10 * rate) < 6 * math.sqrt(10 * rate)
+    with pytest.warns(UserWarning, match="1 sources are held"):
+        got = counts(weights={"small": 0.5, "mid": 0.25, "big": 0.25}, max_rate=64)
+    assert abs(got["small"] - 640) < 160 and abs(got["mid"] - 1685) < 250 and abs(got["big"] - 1685) < 250
+    with pytest.warns(UserWarning, match="3 sources are held"):
+        got = counts(weights={"small": 1, "mid": 1, "big": 1}, scale=100, max_rate=2)
+    assert abs(sum(got.values()) - 8020) < 600
+
+
 def plain_verdict(url, rules):
     host = path = ""
     if url and "://" in url:

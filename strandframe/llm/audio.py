@@ -6,9 +6,11 @@ pitch class) an integral image gives any rectangle's sum in four look-ups; sixte
 compare rectangles at every time step, each comparison becomes two bits in Gray code, and the
 sixteen make one packed 32-bit integer.
 
-Recordings with equal fingerprints fall into one class, represented by its smallest id. A query
-class meets others through the integers that they share: an offset histogram (how many integers
-agree at each shift) gives the best shift, and the bit errors of the overlap there decide.
+Recordings with equal fingerprints fall into one class, represented by its smallest id. Each query
+class is held against every other class at every shift, block by block, and the shift of the
+fewest bit errors decides. At the errors allowed (a fifth of the bits) whole integers are rarely
+equal, and parts so short that some are surely equal are shared by nearly all pairs, so no index
+comes before the comparison.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, stash, table
+from strandframe.llm.common import by_bytes, shuffle_partitions, stash, table
 
 RATE, WINDOW = 5512, 2048
 HOP = WINDOW // 3
@@ -141,28 +143,79 @@ def fingerprints(media: DataFrame, *, id_col: str, audio_col: str) -> DataFrame:
     return media.select(F.col(id_col).alias("id"), F.col(audio_col)).mapInArrow(run, f"id {kind}, seconds double, ints array<int>")
 
 
-def align(prints: DataFrame, is_query: Column, *, min_hits: int = 3, min_overlap: int = 8, max_errors: float = 0.2) -> tuple[DataFrame, DataFrame]:
+def _best_shifts(query: np.ndarray, others: list[np.ndarray], min_overlap: int, max_errors: float) -> Iterator[tuple[int, int, int, float]]:
+    """(number of the other, shift, overlap, errors) of those that have a shift within the limits.
+
+    The others lie in one stream, so far apart that no place of the query shares min_overlap
+    integers with two of them; the query slides over all of it at once.
+    """
+    n = len(query)
+    gap = max(n - min_overlap, 0)
+    sizes = np.array([len(x) for x in others])
+    starts = n + np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
+    length = int(starts[-1] + sizes[-1]) + n
+    stream, there = np.zeros(length, np.uint32), np.zeros(length, np.uint8)
+    for a, x in zip(starts.tolist(), others):
+        stream[a : a + len(x)] = x
+        there[a : a + len(x)] = 255
+    places = length - n + 1
+    wrong = np.zeros(places, np.int32)
+    for i, item in enumerate(query):
+        wrong += np.bitwise_count(stream[i : i + places] ^ item) & there[i : i + places]
+    shifts = np.maximum(sizes + n - 2 * min_overlap + 1, 0) * ((sizes >= min_overlap) & (n >= min_overlap))
+    owner = np.repeat(np.arange(len(others)), shifts)
+    shift = np.arange(len(owner)) - np.repeat(np.cumsum(shifts) - shifts, shifts) + min_overlap - n
+    first = np.maximum(0, -shift)
+    overlap = np.minimum(n - first, sizes[owner] - first - shift)
+    errors = wrong[starts[owner] + shift] / (overlap * 32.0)
+    good = np.flatnonzero(errors <= max_errors)
+    good = good[np.lexsort((-shift[good], np.abs(shift[good]), errors[good], owner[good]))]
+    for k in good[np.unique(owner[good], return_index=True)[1]].tolist():
+        yield int(owner[k]), int(shift[k]), int(overlap[k]), float(errors[k])
+
+
+#: Integers of a block of classes, and of a stream of other classes with their gaps.
+BLOCK, STREAM = 1 << 15, 1 << 17
+
+
+def align(prints: DataFrame, is_query: Column, *, min_overlap: int = 8, max_errors: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """(classes, matches) of fingerprints (id, ints).
 
     classes: (class_id, ints), one per distinct fingerprint that has integers. matches: (query,
     other, shift, overlap, errors): class pairs of a class that holds a query (``is_query`` over
-    ``id``) and any other one, whose best shift (most equal integers, then the smallest) has at
-    least min_hits of them, min_overlap integers in common time and at most max_errors of their
-    bits differing.
+    ``id``) and any other one that have a shift with at least min_overlap integers in common time
+    and at most max_errors of their bits differing; of these the shift of the fewest errors, then
+    the smallest. All pairs and shifts are compared, so none is missed; the work grows with
+    queries times classes times the square of their lengths.
     """
+    spark = prints.sparkSession
+    kind = prints.schema["id"].dataType.simpleString()
     known = prints.filter("size(ints) > 0 and id is not null")
     classes = known.groupBy("ints").agg(F.min("id").alias("class_id"), F.max(is_query).alias("asked"))
     classes = stash(classes.select("class_id", "ints", "asked"), "prints")
-    index = classes.select("class_id", "asked", F.posexplode("ints").alias("at", "item"))
-    left = index.filter("asked").select(F.col("class_id").alias("query"), F.col("at").alias("q_at"), "item")
-    hits = left.join(index.select(F.col("class_id").alias("other"), "at", "item"), "item").filter("query <> other").groupBy("query", "other", (F.col("at") - F.col("q_at")).alias("shift")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_hits)
-    top = hits.groupBy("query", "other").agg(F.max(F.struct("n", (-F.abs("shift")).alias("near"), "shift"))["shift"].alias("shift"))
-    q, o = (classes.select(F.col("class_id").alias(n), F.col("ints").alias(f"{n}_ints")) for n in ("query", "other"))
-    first = F.greatest(F.lit(0), -F.col("shift"))
-    both = top.join(q, "query").join(o, "other").withColumn("overlap", F.least(F.size("query_ints") - first, F.size("other_ints") - first - F.col("shift"))).filter(F.col("overlap") >= min_overlap)
-    xor = F.zip_with(F.slice("query_ints", first + 1, F.col("overlap")), F.slice("other_ints", first + F.col("shift") + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b)).cast("int"))
-    wrong = F.aggregate(xor, F.lit(0), lambda a, x: a + x) / (F.col("overlap") * 32)
-    return classes.select("class_id", "ints"), both.select("query", "other", "shift", "overlap", wrong.alias("errors")).filter(F.col("errors") <= max_errors)
+    size = classes.agg(F.sum(F.size("ints")).alias("all"), F.sum(F.when(F.col("asked"), F.size("ints"))).alias("asked")).first()
+
+    def packs(rows: DataFrame, total: int | None, name: str, least: int) -> DataFrame:
+        n = max(least, -(-(total or 0) // BLOCK))
+        block = F.pmod(F.xxhash64("class_id"), F.lit(n))
+        return rows.select(block.alias("block"), F.struct("class_id", "ints").alias("item")).repartition(n, "block").groupBy("block").agg(F.collect_list("item").alias(name)).select(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                asked, all_ = ([(x["class_id"].as_py(), x["ints"].values.to_numpy().view(np.uint32)) for x in batch.column(c)[k]] for c in ("asked", "others"))
+                for query, ints in asked:
+                    out = []
+                    for a, b in by_bytes([len(x) + len(ints) for _, x in all_], STREAM):
+                        out += [(query, all_[a + o][0], *m) for o, *m in _best_shifts(ints, [x for _, x in all_[a:b]], min_overlap, max_errors) if all_[a + o][0] != query]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (ids, ids, pa.int32(), pa.int32(), pa.float64()))], names=["query", "other", "shift", "overlap", "errors"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ids = to_arrow_type(prints.schema["id"].dataType)
+    pairs = packs(classes, size["all"], "others", shuffle_partitions(spark)).crossJoin(packs(classes.filter("asked"), size["asked"], "asked", 1))
+    return classes.select("class_id", "ints"), pairs.mapInArrow(run, f"query {kind}, other {kind}, shift int, overlap int, errors double")
 
 
 def melodies(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", seconds: float = 4.0) -> DataFrame:

@@ -227,6 +227,29 @@ def test_audio_alignment(spark):
     assert audio.fingerprints(media.limit(0), id_col="id", audio_col="audio").count() == 0
 
 
+def test_audio_alignment_equals_brute_force(spark):
+    """Pairs whose bits differ by up to a fifth, spread over all integers, at any shift."""
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (15, 15, 40, 8, 7)]
+    rows = list(enumerate(base))
+    for i in range(60):
+        x = base[i % 5]
+        x = x[rng.integers(0, 4) :] if i % 2 else np.concatenate([rng.integers(0, 1 << 32, rng.integers(1, 4), dtype=np.uint32), x])
+        flips = (rng.random((len(x), 32)) < (0.03, 0.1, 0.17, 0.2)[i % 4]) @ (1 << np.arange(32, dtype=np.uint64))
+        rows.append((10 + i, x ^ flips.astype(np.uint32)))
+    want = {}
+    for q, a in rows:
+        for o, b in rows:
+            for s in range(8 - len(a), len(b) - 7) if q % 5 == 0 and q != o else ():
+                f = max(0, -s)
+                n = min(len(a) - f, len(b) - f - s)
+                if n >= 8 and (e := sum(int(x).bit_count() for x in a[f : f + n] ^ b[f + s : f + s + n]) / (32 * n)) <= 0.2:
+                    want[q, o] = min(want.get((q, o), (2,)), (e, abs(s), -s, n))
+    prints = spark.createDataFrame([(i, x.view(np.int32).tolist()) for i, x in rows], "id long, ints array<int>")
+    got = audio.align(prints, F.col("id") % 5 == 0)[1].collect()
+    assert len(got) == len(want) > 50 and {(r["query"], r.other): (r.errors, abs(r["shift"]), -r["shift"], r.overlap) for r in got} == want
+
+
 def test_packed_integers_equal_plain_sums():
     rng = np.random.default_rng(3)
     image = rng.random((30, 12))

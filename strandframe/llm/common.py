@@ -3,53 +3,38 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe.shared import col, cols, drop, drop_scratch, meet, scratch_path, shared_dir, stash, unused  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where it is unset (tests on one machine) a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place.rstrip("/")
-    jsc = sc._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandframe-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
+def numbered(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """These columns of ``df`` as c0, c1, ...: Arrow functions of Spark do not take all names."""
+    return df.select(*[col(n).alias(f"c{i}") for i, n in enumerate(names)])
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, under this application's own directory."""
-    return f"{shared_dir(spark)}/strandframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+def ddl(fields) -> str:
+    """The schema of some fields as text."""
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in fields)
 
 
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there, and
-    a lost executor costs no recomputation. ``drop_scratch`` removes what an application wrote."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def place(uri: str):
+    """(file system, path) of a URI or a local path, for tasks that read and write files themselves."""
+    from pyarrow import fs
 
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the application's scratch tables; call it once their results have been written."""
-    top = f"{shared_dir(spark)}/strandframe/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(top)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(uri)
 
 
 def crc_mod(col: Column, n: int) -> Column:
@@ -74,9 +59,20 @@ def by_bytes(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+_resident: dict[Any, Any] = {}
+
+
+def resident(key: Any, make: Callable[[], Any]) -> Any:
+    """A Python worker's one large object: it stays from task to task, until a task asks for another
+    one. Workers outlive operators and several share an executor's memory."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def tidy(run: Callable) -> Callable:
-    """An Arrow function that gives its freed memory back to the system when a task ends, since
-    Python workers live on and several share an executor's memory."""
+    """An Arrow function that gives its freed memory back to the system when a task ends."""
 
     def tidied(batches):
         import pyarrow as pa

@@ -1,20 +1,25 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Documents are sets of k-word shingles (64-bit hashes of them). Equal sets fall into one class, and
-a class is represented by its smallest id, so copies by the thousand cost one row each and meet
-in no pair. Representatives get min-hash bands; where two share a band they are candidates.
+Documents are sets of k-word shingles (64-bit hashes of them). Equal sets fall into one class, a node
+of the graph of links, so copies by the thousand cost one row each and meet in no pair. Nodes
+get min-hash bands; where two share a band they are candidates.
 
 Candidates are not all pairs of a band's bucket. First each member is paired with the bucket's
-hub (its smallest id), and components are formed over the links that hold. Only buckets that
+hub (its smallest node), and components are formed over the links that hold. Only buckets that
 still hold several components go on: their members outside the largest component are compared
-with all others, in blocks of signatures inside Python, and only pairs that a comparison cannot
-rule out come out as rows. No cap is set on a bucket.
+with all others, in blocks of signatures inside Python. Of the pairs that a comparison cannot
+rule out, first the likeliest of each member are confirmed and components formed anew, then
+more, until every pair left lies inside a component: all links of a group of near copies are
+never listed, and no cap is set on a bucket or a member.
 
 A pair's signatures are compared in batches. After m matches of n hashes the similarity has a
 Beta(m + 1, n - m + 1) posterior under a uniform prior; the pair is pruned as soon as the
 posterior's mass at or above the threshold falls below ``miss``. Pairs that survive all batches
 are verified on their full shingle sets, so every link is exact; what can be lost is a pair that
 shares no band (below 1e-6 at the threshold, by the choice of bands) or is pruned (``miss``).
+
+Where rows meet what an aggregate says of their key (a digest, a bucket, a star's centre, a
+component), keys with many rows are spread (``common.meet``): none of them weighs on one task.
 """
 
 from __future__ import annotations
@@ -32,19 +37,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, stash, table, tidy
+from strandframe.llm.common import by_bytes, col, drop, meet, resident, stash, table, tidy
 
 SHINGLE = 5
 #: Hashes of a signature for verification, one byte each, and how many are compared at a time.
 HASHES, BATCH = 512, 64
 #: Rows that meet at once when a bucket's blocks are compared.
-MEMBERS, OTHERS = 1024, 8192
+MEMBERS, OTHERS = 512, 4096
+#: Pairs of a document and a block that are confirmed first, the likeliest ones.
+PARTNERS = 8
 
 
 class _Words(dict):
     """64-bit hashes of words, for up to SIZE words."""
 
-    SIZE = 100_000
+    SIZE = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.SIZE:
@@ -53,9 +60,6 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
@@ -74,7 +78,7 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(resident("shingles", _Words).__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     n = len(h) - width + 1
     total = np.full(n, width, np.uint64)
@@ -116,12 +120,12 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def band_shape(threshold: float, miss: float = 1e-6, most: int = 40) -> tuple[int, int]:
     """(bands, rows): the most rows for which at most ``most`` bands miss a pair at the threshold
-    with a probability below ``miss``."""
+    with a probability below ``miss``; for low thresholds, one row and up to 64 bands."""
     for rows in range(12, 0, -1):
-        for bands in range(1, most + 1):
+        for bands in range(1, (64 if rows == 1 else most) + 1):
             if (1 - threshold**rows) ** bands < miss:
                 return bands, rows
-    return most, 1
+    raise ValueError(f"64 bands miss pairs at a threshold of {threshold} with a probability above {miss}")
 
 
 @lru_cache(maxsize=16)
@@ -146,12 +150,17 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
 
 def may_link(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> np.ndarray:
     """For signatures row by row, bytes: the pairs that no batch rules out."""
+    return surviving(a, b, threshold, miss)[0]
+
+
+def surviving(a: np.ndarray, b: np.ndarray, threshold: float, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs that no batch rules out, their matches)."""
     todo, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
     for k, least in enumerate(least_matches(threshold, miss)):
         part = slice(k * BATCH, (k + 1) * BATCH)
         matches = matches + (a[todo, part] == b[todo, part]).sum(1)
         todo, matches = todo[matches >= least], matches[matches >= least]
-    return todo
+    return todo, matches
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -164,18 +173,22 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _digest(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def _sketch(bands: int, rows: int, k: int):
-    """(id, n, digest, bands) of each text; digest and bands are null without words."""
+    """(id, text_hash, n, digest, bands) of each text; digest and bands are null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingles(text.as_py(), k)
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(_digest(s))
                 keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_hash", "n", "digest", "bands"])
 
     return run
 
@@ -198,7 +211,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _profile(found, bands: int, rows: int, k: int):
-    """(id, n, sig, keys, text) of the documents that the filter lets pass: what verification compares.
+    """(id, digest, n, sig, keys, text) of the documents that the filter lets pass: what verification compares.
     Texts are compressed, as they travel several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +224,16 @@ def _profile(found, bands: int, rows: int, k: int):
             kept = batch.take(pa.array(np.flatnonzero(here)))
             for a, b in by_bytes([x or 0 for x in pa.compute.binary_length(kept.column("text")).to_pylist()], 4 << 20):
                 part = kept.slice(a, b - a)
-                sizes, sigs, keys, packed = [], [], [], []
+                digests, sizes, sigs, keys, packed = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     packed.append(zstandard.compress((text or "").encode()))
                     s = shingles(text, k)
                     sig = signature(s, max(HASHES, bands * rows)) if len(s) else np.zeros(HASHES, np.uint32)
+                    digests.append(_digest(s))
                     sizes.append(len(s))
                     keys.append(band_keys(signature(s, bands * rows), bands, rows).tobytes() if len(s) else b"")
                     sigs.append(sig[:HASHES].astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["id", "n", "sig", "keys", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["id", "digest", "n", "sig", "keys", "text"])
 
     return run
 
@@ -274,26 +288,40 @@ def confirm(pairs: DataFrame, profiles: DataFrame, percent: int, k: int) -> Data
     return _with(pairs, profiles, "text").mapInArrow(tidy(_confirm(percent, k)), f"a {kind}, b {kind}")
 
 
+#: Edges up to which a node's edges may all meet in one task, as they fit there.
+FEW_EDGES = 1_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): each id of an edge (a, b) with the least id that it is connected with.
 
     Alternating large and small stars: every node hands its neighbours to the least of them, until
-    all edges lead to a component's least node. Each round is written to the shared folder.
+    all edges lead to a component's least node. Each round is written to the shared folder, and
+    the one before is deleted.
     """
-    edges = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+
+    def told(rows: DataFrame, least: DataFrame, few: bool) -> DataFrame:
+        """The edges (a, b) with the m of their a."""
+        if few:
+            return rows.join(least.drop("n"), "a")
+        return meet(rows, stash(least, "least"), ["a"], "n", spread=F.col("b"))
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
         return tuple(r)
 
+    edges = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(edges)
     while before[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, F.col("a") == F.col("c")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
-        small = large.join(down, F.col("a") == F.col("c")).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = stash(small.filter("a <> b").distinct(), "edges")
+        few = before[0] <= FEW_EDGES
+        back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        least = edges.union(back).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")).filter("n > 0")
+        large = told(back, least, few).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = large if few else stash(large, "edges")
+        small = told(large, large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), few)
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        last, edges = edges, stash(small.filter("a <> b").distinct(), "edges")
+        drop(last, *([] if few else [large]))
         after = mark(edges)
         if after == before:
             break
@@ -301,16 +329,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(edges.select("b", "b").distinct())
 
 
-def _compare(percent: int, miss: float, bands: int):
-    """Block comparison inside buckets. Rows of one (bucket, blocks) come together, outsiders first."""
+def _compare(percent: int, miss: float, bands: int, skip: int, most: int):
+    """Block comparison inside buckets: pairs (a, b) and more, whether this block has others of a that
+    were not named. Rows of one (bucket, blocks) come together, outsiders first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, outer = None, []
         for batch in batches:
             where = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y", "role"))))
-            ids, comp, n, outside = batch.column("id"), np.array(batch.column("comp").to_pylist(), dtype=object), batch.column("n").to_numpy(), batch.column("outside").to_numpy(zero_copy_only=False)
+            ids, comp, n, outside = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "n", "outside"))
             sig, keys = _matrix(batch.column("sig"), np.uint8), _matrix(batch.column("keys"), np.int64)
-            names = np.array(ids.to_pylist(), dtype=object)
             out: list[tuple] = []
             start = 0
             while start < len(where):
@@ -318,35 +346,37 @@ def _compare(percent: int, miss: float, bands: int):
                 while end < len(where) and where[end] == where[start]:
                     end += 1
                 rows = slice(start, end)
-                block = (names[rows], comp[rows], n[rows], outside[rows], sig[rows], keys[rows])
+                block = (ids[rows], comp[rows], n[rows], outside[rows], sig[rows], keys[rows])
                 if where[start][:3] != key:
                     key, outer = where[start][:3], []
                 if where[start][3] == 0:
                     outer.append(block)
                 else:
                     for o in outer:
-                        out += _block_pairs(o, block, key[0], percent, miss)
+                        out += _block_pairs(o, block, key[0], percent, miss, skip, most)
                 start = end
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], ids.type), pa.array([p[1] for p in out], ids.type)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "more"])
 
     return run
 
 
-def _block_pairs(o: tuple, m: tuple, bucket: int, percent: int, miss: float) -> list[tuple]:
-    """Pairs of an outsider and a member that can be links; each comes up in its first common
-    bucket only, and two outsiders once."""
+def _block_pairs(o: tuple, m: tuple, bucket: int, percent: int, miss: float, skip: int, most: int) -> list[tuple]:
+    """Pairs of an outsider and a member that can be links, of each outsider the likeliest from number
+    ``skip`` to ``most``; each comes up in its first common bucket only, and two outsiders once."""
     out = []
-    names, comp, n, outside, sig, keys = m
+    ids, comp, n, outside, sig, keys = m
     for i in range(len(o[0])):
-        near = (np.minimum(n, o[2][i]) * 100 >= percent * np.maximum(n, o[2][i])) & (comp != o[1][i])
+        near = (np.minimum(n, o[2][i]) * 100 >= percent * np.maximum(n, o[2][i])) & (comp != o[1][i]) & ~(outside & (ids < o[0][i]))
         at = np.flatnonzero(near)
         if not len(at):
             continue
-        at = at[may_link(np.broadcast_to(o[4][i], (len(at), o[4].shape[1])), sig[at], percent / 100, miss)]
-        for j in at.tolist():
-            same = o[5][i] == keys[j]
-            if o[5][i][same.argmax()] == bucket and not (outside[j] and names[j] < o[0][i]):
-                out.append((o[0][i], names[j]))
+        left, matches = surviving(np.broadcast_to(o[4][i], (len(at), o[4].shape[1])), sig[at], percent / 100, miss)
+        at = at[left]
+        same = keys[at] == o[5][i]
+        first = o[5][i][same.argmax(1)] == bucket
+        at, matches = at[first], matches[first]
+        best = at[np.lexsort((ids[at], -matches))[skip:most]]
+        out += [(int(o[0][i]), int(j), len(at) > most) for j in ids[best]]
     return out
 
 
@@ -359,54 +389,87 @@ def near_duplicates(
     k: int = SHINGLE,
     miss: float = 1e-6,
 ) -> DataFrame:
-    """One row per input row: the id, n_shingles, component_id, kept (the id is its component's).
+    """One row per input row: the id, n_shingles, component_id, kept (the id is its component's),
+    set_digest (of the shingle set, null without words) and text_hash (xxhash64 of the text).
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a set holds the distinct
     k-word shingles, or all words as one shingle where there are fewer than k. Two documents are
     linked if 100 * intersection >= 100 * threshold * union of their sets; component_id is the
     smallest id reachable over links. Null and empty texts and those without words have no
-    shingle and stay alone. Rows of one id are one document and come out as often as they went in;
-    rows with a null id link with nothing, have a null component_id and are kept. Whole texts are
-    used, other columns are not read, an empty table gives an empty table.
+    shingle and stay alone. Rows of one id with equal sets are one document, with different sets
+    each set is a document of that id; all come out as often as they went in. Rows with a null id
+    link with nothing, have a null component_id and are kept. Whole texts are used, other columns
+    are not read, an empty table gives an empty table.
 
-    threshold: of a whole per cent.
+    threshold: of a whole per cent, at least 0.2 (else ValueError: bands cannot serve it).
     """
     percent = round(100 * threshold)
     bands, rows = band_shape(percent / 100)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = stash(texts.mapInArrow(tidy(_sketch(bands, rows, k)), f"id {kind}, n long, digest binary, bands array<long>"), "sketches")
-    classes = sketches.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-
-    # candidates: representatives that share a band
-    reps = sketches.join(classes, "digest").filter("id = rep").select("id", "bands")
-    banded = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub <> last").select("bucket", "hub")
-    members = stash(banded.join(shared, "bucket"), "buckets")
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    sketch = texts.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(tidy(_sketch(bands, rows, k)), f"id {kind}, text_hash long, n long, digest binary, bands array<long>")
+    sketches = stash(sketch, "sketches")
+    # copies combine in their tasks: a class's bands travel once a task. Nodes are numbered when written
+    own = sketches.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = stash(own.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    # candidates: nodes that share a band
+    banded = classes.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("rows")).filter("rows > 1")
+    members = stash(meet(banded, stash(shared, "shared"), ["bucket"], "rows", spread=F.col("id")).filter("hub is not null"), "buckets")
     # their texts: most others fall to a filter of bounded size before any is shuffled
-    wanted = stash(members.select("id").distinct(), "wanted")
-    found = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    nodes = classes.select("node", F.col("rep").alias("id"), "digest")
+    wanted = stash(nodes.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "wanted")
+    found = docs.sparkSession.sparkContext.broadcast(id_filter(wanted.select("id")))
     hashed = texts.filter("id is not null").select("id", "text", *[F.xxhash64("id", F.lit(i)).alias(f"h{i}") for i in (1, 2)])
-    passed = hashed.mapInArrow(tidy(_profile(found, bands, rows, k)), f"id {kind}, n long, sig binary, keys binary, text binary")
-    exact = passed.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("text", "n", "sig", "keys")).alias("p"))
-    profiles = stash(exact.select("id", "p.n", "p.sig", "p.keys", "p.text"), "profiles")
+    passed = hashed.mapInArrow(tidy(_profile(found, bands, rows, k)), f"id {kind}, digest binary, n long, sig binary, keys binary, text binary")
+    exact = passed.join(wanted, ["id", "digest"]).groupBy("id", "digest", "node").agg(F.first(F.struct("n", "sig", "keys", "text")).alias("p"))
+    profiles = stash(exact.select(F.col("node").alias("id"), "p.n", "p.sig", "p.keys", "p.text"), "profiles")
+    found.destroy()
 
     stars = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     # signatures travel first; texts only for pairs that they do not rule out
     links = stash(confirm(prune(stars, profiles, percent, miss), profiles, percent, k), "links")
-    more = confirm(_rest(members, components(links), profiles, percent, miss, bands, kind), profiles, percent, k)
-    joined = components(links.union(more)).select(F.col("id").alias("rep"), "comp")
-
-    named = classes.join(joined, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    # a digest may have a third of all rows: a skewed equi-join, whose large side Spark splits
-    out = sketches.select("id", "n", "digest").join(named, "digest", "left")
+    joined = components(_closed(links, members, profiles, percent, miss, bands, k))
+    drop(members, wanted, profiles)
+
+    linked = stash(joined.join(classes.select(F.col("node").alias("id"), "rep"), "id"), "linked")
+    least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("parts"))
+    named = meet(linked, stash(least, "least"), ["comp"], "parts", spread=F.col("id")).select(F.col("id").alias("node"), "component_id")
+    verdicts = classes.join(named, "node", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), "copies")
+    out = meet(sketches.drop("bands"), stash(verdicts, "verdicts"), ["digest"], "copies", spread=F.col("id"))
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"), F.col("digest").alias("set_digest"), "text_hash")
+
 
+def _closed(links: DataFrame, members: DataFrame, profiles: DataFrame, percent: int, miss: float, bands: int, k: int) -> DataFrame:
+    """The links, and as many others as join what belongs together.
 
-def _rest(members: DataFrame, comps: DataFrame, profiles: DataFrame, percent: int, miss: float, bands: int, kind: str) -> DataFrame:
+    A link inside a component adds nothing, so not all pairs that can be links are confirmed at
+    once: in each round those PARTNERS likeliest ones of each outsider, then components are formed
+    anew, until no outsider has a pair left that was not named. Each round names more.
+    """
+    tried, comps, skip, most = None, components(links), 0, PARTNERS
+    while True:
+        found = stash(_rest(members, comps, profiles, percent, miss, bands, skip, most), "pairs")
+        fresh = found.select("a", "b")
+        if tried is not None and not skip:
+            fresh = stash(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = stash(confirm(fresh, profiles, percent, k), "links")
+        if found.filter("more").isEmpty():
+            return links.union(new)
+        tried = fresh if tried is None else stash(tried.union(fresh), "pairs")
+        if new.isEmpty():  # the same order again: go on behind what was named
+            skip = most
+        else:
+            links, skip = stash(links.union(new), "links"), 0
+            comps = components(links)
+        most *= 16
+
+
+def _rest(members: DataFrame, comps: DataFrame, profiles: DataFrame, percent: int, miss: float, bands: int, skip: int, most: int) -> DataFrame:
     """Pairs of different components that share a bucket and that signatures do not rule out."""
-    placed = members.select("bucket", "id").distinct().join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+    placed = members.select("bucket", "id").join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
     mark = [F.bit_xor(F.xxhash64("id", F.lit(k))) for k in (3, 4)]
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), *[m.alias(f"m{k}") for k, m in enumerate(mark)])
     apart = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("parts"), *[F.bit_xor(f"m{k}").alias(f"m{k}") for k in (0, 1)]).filter("parts > 1")
@@ -420,11 +483,11 @@ def _rest(members: DataFrame, comps: DataFrame, profiles: DataFrame, percent: in
     outer = seen.filter("outside").select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), F.pmod(spot, "ys").cast("int").alias("y"), F.lit(0).alias("role"), "id", "comp", "outside")
     rows = outer.union(inner).join(profiles.select("id", "n", "sig", "keys"), "id")
     dealt = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "role")
-    return dealt.mapInArrow(tidy(_compare(percent, miss, bands)), f"a {kind}, b {kind}").distinct()
+    return dealt.mapInArrow(tidy(_compare(percent, miss, bands, skip, most)), "a long, b long, more boolean")
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85)
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE_TEMPLATE = r"""

@@ -64,6 +64,16 @@ def test_equals_brute_force(spark, docs, percent):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] * 2
 
 
+def test_one_id_with_different_texts(spark):
+    """Each set is a document of that id; no link of either is lost."""
+    rng = random.Random(1)
+    v, w = ([f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(2))
+    near = lambda x: " ".join([*x, "end"])
+    rows = [(5, " ".join(v)), (5, " ".join(w)), (1, near(w)), (2, near(v)), (5, " ".join(v)), (7, "alone"), (7, "apart")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "`a.b` long, `text.x` string"), id_col="a.b", text_col="text.x").collect()
+    assert sorted((r[0], r.n_shingles, r.component_id) for r in got) == sorted([(5, 96, 2), (5, 96, 2), (5, 96, 1), (1, 97, 1), (2, 97, 2), (7, 1, 7), (7, 1, 7)])
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -84,6 +94,40 @@ def test_band_shape_misses_little():
         assert (1 - t**rows) ** bands < 1e-6
 
 
+def test_low_thresholds():
+    bands, rows = minhash.band_shape(0.2)
+    assert rows == 1 and (1 - 0.2) ** bands < 1e-6 and bands <= 64
+    with pytest.raises(ValueError):
+        minhash.band_shape(0.1)
+
+
+def test_star_weighs_on_no_task(spark, monkeypatch):
+    """One centre with most links, and one with many smaller neighbours: with nothing broadcast by Spark
+    itself, no task of the joins gets far more rows than others."""
+    from pyspark.sql import functions as F
+
+    seen, meet = [], minhash.meet
+
+    def watched(*args, **kw):
+        out = meet(*args, **kw)
+        seen.append([r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()])
+        return out
+
+    monkeypatch.setattr(minhash, "FEW_EDGES", 0)
+    monkeypatch.setattr(minhash, "meet", watched)
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(old, ("-1", "8", "false")):
+            spark.conf.set(c, v)
+        star = spark.range(20_000).select(F.col("id").alias("a"), F.when(F.col("id") % 2 == 0, 50_000).otherwise(F.col("id") + 100_000 - F.col("id") % 20).cast("long").alias("b")).repartition(8, "a")
+        got = {r["id"]: r.comp for r in minhash.components(star).collect()}
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert all(got[i] == (0 if i % 2 == 0 else i - i % 20 + 1) for i in range(20_000)) and got[50_000] == 0
+    assert len(seen) >= 4 and all(max(x) <= 3 * sorted(x)[len(x) // 2] for x in seen if sum(x) > 1000)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)]

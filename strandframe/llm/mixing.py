@@ -17,10 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import stash, table
-
-#: Rates of up to so many sources are sent to every task; beyond that they are joined by key.
-SOURCES_AT_ONCE = 10_000
+from strandframe.llm.common import col, cols, meet, stash, table, unused
 
 #: Largest mean of an inverted Poisson distribution; exp(-LARGE) is a normal double.
 LARGE = 600.0
@@ -33,22 +30,24 @@ def hash_unit(*parts: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: Mapping[str, float] | None, alpha: float, scale: float, max_rate: float | None) -> DataFrame:
-    """(source, rate): one row per source that occurs, null included."""
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
+    """(source, n, rate): one row per source that occurs, null included; n: its rows."""
+    sizes = docs.groupBy(col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)) if alpha != 0.5 else F.sqrt(F.col("n").cast("double")))
     else:
-        known = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else None
-        sizes = sizes.withColumn("w", F.coalesce(F.try_element_at(known, F.coalesce("source", F.lit(""))), F.lit(0.0)).cast("double") if known is not None else F.lit(0.0))
+        named = {k: v for k, v in weights.items() if k is not None}
+        known = F.create_map(*[x for k, v in named.items() for x in (F.lit(k), F.lit(float(v)))]) if named else F.lit(None).cast("map<string,double>")
+        w = F.when(F.col("source").isNull(), F.lit(float(weights.get(None, 0.0)))).otherwise(F.try_element_at(known, F.coalesce("source", F.lit(""))))
+        sizes = sizes.withColumn("w", F.coalesce(w, F.lit(0.0)))
     total = sizes.agg(F.sum("w").alias("sw"), F.sum("n").alias("sn"))
     rate = F.when(F.col("sw") > 0, F.col("w") / F.col("sw") * F.col("sn") * F.lit(float(scale)) / F.col("n")).otherwise(F.lit(0.0))
     # total has one row
     rates = sizes.join(F.broadcast(total)).withColumn("rate", rate)
-    return rates.select("source", "rate") if max_rate is None else held_rates(stash(rates, "rates"), float(max_rate))
+    return rates.select("source", "n", "rate") if max_rate is None else held_rates(stash(rates, "rates"), float(max_rate))
 
 
 def held_rates(rates: DataFrame, most: float) -> DataFrame:
-    """(source, rate) with no rate above ``most``: what a held source lacks goes to the others by
+    """(source, n, rate) with no rate above ``most``: what a held source lacks goes to the others by
     their weights, which may bring more of them to ``most``. A warning tells how many sources are
     held, and the rows that no source can take."""
     held, unit = 0, 1.0
@@ -66,7 +65,7 @@ def held_rates(rates: DataFrame, most: float) -> DataFrame:
     if held:
         lost = one["all"] - most * one["rows"] if not one["free"] else 0.0
         warnings.warn(f"{held} sources are held at a mean repetition of {most}; other rates are multiplied by {unit}, {max(0.0, lost):.0f} rows go to no source", stacklevel=3)
-    return rates.select("source", F.least(F.col("rate") * F.lit(unit), F.lit(most)).alias("rate"))
+    return rates.select("source", "n", F.least(F.col("rate") * F.lit(unit), F.lit(most)).alias("rate"))
 
 
 def whole_part(rate: Column) -> Column:
@@ -100,31 +99,37 @@ def mix(
 ) -> DataFrame:
     """The documents, each as often as its Poisson count says, in a globally shuffled order.
 
-    weights: target weight by source (a source not named gets 0 and vanishes); without it a
-    source's weight is its row count to the power ``alpha``. scale: rows wanted, as a multiple of
-    the input's. max_rate: if given, the largest mean repetition of a document; the rows that a
-    source so held lacks go to the others by their weights, and a warning tells of it. All columns stay; ``copy_col`` (from 1) is added, and takes the place
-    of a column of that name. Null sources are one source; a null id hashes as the text "null",
-    and repeated rows of one id get the same count. Texts may be null or empty, they are not
-    looked at. An empty table gives an empty table.
-
-    Cost: one partially aggregated count by source, then one shuffle of the copies by hash. No
-    step groups rows by source, so a source with a third of all rows weighs on no single task.
+    weights: target weight by source (a source not named gets 0 and vanishes; the null source is
+    named by None); without it a source's weight is its row count to the power ``alpha``. scale:
+    rows wanted, as a multiple of the input's. max_rate: if given, the largest mean repetition of a
+    document; the rows that a source so held lacks go to the others by their weights, and a warning
+    tells of it. All columns stay, whatever their names; ``copy_col`` (from 1) is added, and takes
+    the place of a column of that name. Null sources are one source; a null id hashes as the text
+    "null", and repeated rows of one id get the same count. Texts may be null or empty, they are
+    not looked at. An empty table gives an empty table.
+
+    Cost: one partially aggregated count by source, then one shuffle of the copies by hash. Rates of
+    sources with more than a thousandth of the rows are sent to every task; where there are others,
+    their rows meet their rates by source, and rows of larger sources are spread over those tasks.
     """
-    spark = docs.sparkSession
     # the cumulative tables are made once per source, not once per row
     rates = source_rates(docs, source_col, weights, alpha, scale, max_rate).withColumn("__whole", whole_part(F.col("rate")))
-    rates = rates.withColumn("__cdf", poisson_cdf(F.col("rate") - F.col("__whole"))).select(F.col("source").alias("__source"), "__whole", "__cdf")
-    some = rates.limit(SOURCES_AT_ONCE + 1).collect()
-    if len(some) <= SOURCES_AT_ONCE:
-        rates = F.broadcast(spark.createDataFrame(some, rates.schema))
-    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("__source")), "inner")
-    u = hash_unit(F.lit(seed), F.col(id_col))
-    count = (F.col("__whole") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))).cast("int")
-    kept = [c for c in docs.columns if c != copy_col]
-    copies = joined.withColumn("__u", u).withColumn("__n", count).filter("__n > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias(copy_col))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy_col)).cast("binary"))
-    return copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order").drop("__order")
+    rates = rates.withColumn("cdf", poisson_cdf(F.col("rate") - F.col("__whole")))
+    key = F.coalesce("source", F.lit("")).alias("source")
+    rates = stash(rates.select(F.col("source").isNull().alias("none"), key, "n", F.struct(F.col("__whole").alias("whole"), "cdf").alias("rate")), "rates")
+    none, source, rate, u, n, order, lone = own = unused(docs, "__none", "__source", "__rate", "__u", "__n", "__order", "__lone")
+    rates = rates.toDF(none, source, n, rate)
+    name = col(source_col).cast("string")
+    # rows without an id are told apart by what they hold, so that they do not meet in one task
+    plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    apart = F.when(col(id_col).isNull(), F.xxhash64(*cols(plain)))
+    joined = meet(docs.withColumns({none: name.isNull(), source: F.coalesce(name, F.lit(""))}), rates, [none, source], n, spread=F.coalesce(apart, F.xxhash64(col(id_col))))
+    count = (F.col(rate)["whole"] + F.size(F.filter(F.col(rate)["cdf"], lambda c: c <= F.col(u)))).cast("int")
+    kept = [c for c in docs.columns if c.lower() != copy_col.lower()]
+    copies = joined.withColumn(u, hash_unit(F.lit(seed), col(id_col))).withColumn(n, count).withColumn(lone, apart).filter(F.col(n) > 0)
+    copies = copies.select(*cols(kept), lone, F.explode(F.sequence(F.lit(1), F.col(n))).alias(copy_col))
+    mixed = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(col(id_col).cast("string"), F.lit("null")), col(copy_col), col(lone)).cast("binary"))
+    return copies.withColumn(order, mixed).repartition(order).sortWithinPartitions(order).drop(*own)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -25,23 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import scratch_path, stash, table
+from strandframe.llm.common import col, meet, place, scratch_path, stash, table, tidy
 
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def place(uri: str):
-    """(file system, path) of a URI or a local path."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    if "://" not in uri:
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def urn(ident) -> str:
     return "<urn:page:>" if ident is None else f"<urn:page:{quote(str(ident), safe='')}>"
 
@@ -158,6 +147,9 @@ def write_archives(
     """Writes a record per page into ``folder`` (default: one in the session's shared folder) and
     returns the manifest: path, bytes, records of each archive.
 
+    Rows keep the partitions they come in, so a task writes what it reads, in archives of about
+    ``max_bytes``; a task holds ``sample_bytes`` of records and one record at a time.
+
     A null payload is empty. Of records with equal payloads of at least ``min_bytes`` bytes those
     with the smallest id are responses and all others revisits; smaller payloads are always
     responses. A null id refers to the smallest id of its payload; where all ids are null, all are
@@ -167,12 +159,14 @@ def write_archives(
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
+    base = pages.select(col(id_col).alias("id"), col(url_col).alias("url"), F.coalesce(col(payload_col), F.lit("")).cast("binary").alias("payload"))
     base = base.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    first = base.groupBy("digest", "size").agg(F.min("id").alias("first"))
-    # a payload may be a third of all rows: a skewed equi-join, whose large side Spark splits
-    both = base.join(first, ["digest", "size"])
-    again = (F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    # only payloads that occur again matter; their rows know from (digest, size) whether they are first
+    copies = stash(base.groupBy("digest", "size").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter((F.col("rows") > 1) & F.col("first").isNotNull() & (F.col("size") >= min_bytes)), "copies")
+    differs = lambda first: first.isNotNull() & ~F.col("id").eqNullSafe(first)
+    # a payload may be a third of all rows: its rows lose the payload before any shuffle
+    both = meet(base, copies, ["digest", "size"], "rows", spread=F.xxhash64("id", "url"), slim={"payload": lambda met: F.when(~differs(met["first"]), F.col("payload"))})
+    again = differs(F.col("first"))
     rows = both.select("id", "url", F.when(~again, F.col("payload")).alias("payload"), "digest", "size", F.when(again, F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +179,7 @@ def write_archives(
         done = own.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["path", "bytes", "records"])
 
-    return stash(rows.mapInArrow(run, "path string, bytes long, records long"), "manifest")
+    return stash(rows.mapInArrow(tidy(run), "path string, bytes long, records long"), "manifest")
 
 
 def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -250,8 +244,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, *, id_type: str = "l
                 yield batch_of(rows)
 
     schema = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payloads
-    paths = manifest.select("path").repartition("path")
-    return paths.mapInArrow(run, schema).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
+    # a task per archive, whose size is bounded
+    paths = manifest.select("path").repartitionByRange(max(1, manifest.count()), "path")
+    return paths.mapInArrow(tidy(run), schema).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:

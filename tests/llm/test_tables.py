@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandframe import shared
 from strandframe.llm import audio, common, mixing, topk, url_filter, warc
 
 
@@ -47,11 +48,48 @@ def test_mix_weights_and_empty(spark):
     assert mixing.mix(docs, weights={}).count() == 0
 
 
-def test_mix_joins_many_sources(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"s{i % 7}") for i in range(300)], "doc_id long, source string")
-    want = sorted(map(tuple, mixing.mix(docs).collect()))
-    monkeypatch.setattr(mixing, "SOURCES_AT_ONCE", 3)
-    assert sorted(map(tuple, mixing.mix(docs).collect())) == want
+@pytest.mark.parametrize("hot", [1, 4, 20])
+def test_mix_joins_many_sources(spark, monkeypatch, hot):
+    """No, some and all sources are sent to the tasks."""
+    docs = spark.createDataFrame([(i, None if i % 5 == 0 else "big" if i % 3 else f"s{i % 7}") for i in range(300)] + [(None, "big")] * 3, "doc_id long, source string")
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(shared, "HOT", hot)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want
+
+
+def test_mix_of_odd_columns(spark):
+    rows = [(i, "" if i % 2 else None, 1, 2, 3, [i]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, `__cdf` int, `a.b` int, COPY int, `__rate` array<int>")
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "source", "__cdf", "a.b", "__rate", "copy"] and 120 < got.count() < 280
+    assert {r.source for r in mixing.mix(docs, weights={"": 2}).collect()} == {""}
+    assert {r.source for r in mixing.mix(docs, weights={None: 2}).collect()} == {None}
+
+
+def tasks_of(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_meet_spreads_hot_keys(spark, monkeypatch):
+    """With nothing broadcast by Spark itself, a key with half of the rows, and null keys, weigh on no
+    single task."""
+    left = spark.range(40_000).select("id", F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 9973)).alias("k"), F.lit(1).alias("__met"))
+    right = left.filter("k is not null").groupBy("k").agg(F.count("*").alias("w"), F.max("id").alias("top"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(old, ("-1", "16", "false")):
+            spark.conf.set(c, v)
+        got = common.meet(left, common.stash(right, "right"), ["k"], "w", spread=F.col("id"))
+        sizes = tasks_of(got)
+        assert got.columns == ["id", "k", "__met", "top"] and sum(sizes) == 40_000 and max(sizes) < 1.5 * sorted(sizes)[8]
+        want = left.join(right, "k", "left").select("id", "k", "__met", "top")
+        assert got.exceptAll(want).count() == 0
+        mixed = mixing.mix(spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("one").alias("source"), F.col("id").cast("string").alias("text")))
+        sizes = tasks_of(mixed)
+        assert max(sizes) < 1.5 * sorted(sizes)[8]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
 
 
 def test_mix_meets_large_rates(spark):
@@ -183,6 +221,25 @@ def test_warc_round_trip(spark, tmp_path):
         assert {r.url for r in back if r.page_id == 300} == {None} and {r.url for r in back if r.page_id == 301} == {"http://h/%0D%0AX: y"}
 
 
+def test_warc_hot_payload(spark, tmp_path, monkeypatch):
+    """Half of all payloads equal, others twice: whichever way they meet, no task gets far more than others."""
+    rows = [(i, None, "hot" if i % 2 else f"page {i // 3}") for i in range(3000)]
+    frame = pages_frame(spark, rows).repartition(8, "page_id")
+    want = None
+    for hot in (1, 1000):
+        monkeypatch.setattr(shared, "HOT", hot)
+        manifest = warc.write_archives(frame, str(tmp_path / f"hot{hot}"), max_bytes=4000)
+        counts = [r.records for r in manifest.collect()]
+        back = warc.read_archives(spark, manifest, payloads=False)
+        got = sorted(map(tuple, back.collect()), key=str)
+        assert len(got) == 3000 and (want is None or got == want)
+        want = got
+        if hot > 1:
+            assert back.rdd.getNumPartitions() == len(counts) > 8
+            assert max(tasks_of(back)) <= 3 * max(counts)
+    assert sum(r[2] == "response" for r in want) == 1001
+
+
 def test_warc_frames_stand_alone(spark, tmp_path):
     """The archive starts with the dictionary's frame, and each record can be opened by itself."""
     import zstandard

@@ -12,15 +12,13 @@ place is encoded whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, table
+from strandframe.llm.common import by_bytes, ddl, numbered, resident, table, tidy
 
 MARK = "▁"
 OUT = "n_bytes long, n_tokens long, over_limit boolean"
@@ -95,9 +93,13 @@ class JsonCounter:
         return [text]
 
 
-@lru_cache(maxsize=4)
 def counter(path: str) -> PieceCounter | JsonCounter:
-    return PieceCounter(path) if path.endswith(".model") else JsonCounter(path)
+    """Loaded once per worker, until the worker turns to another operator."""
+    return resident(("token_counts", path), lambda: PieceCounter(path) if path.endswith(".model") else JsonCounter(path))
+
+
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
 
 
 def count_texts(texts: list[str], path: str, batch_bytes: int, chunk_chars: int) -> np.ndarray:
@@ -111,7 +113,7 @@ def count_texts(texts: list[str], path: str, batch_bytes: int, chunk_chars: int)
             owner.append(i)
     total = np.zeros(len(texts), dtype=np.int64)
     at = np.asarray(owner, dtype=np.int64)
-    for a, b in by_bytes([len(p) for p in pieces], batch_bytes):
+    for a, b in by_bytes(list(map(n_bytes, pieces)), batch_bytes):
         np.add.at(total, at[a:b], np.asarray(enc.lengths(pieces[a:b]), dtype=np.int64))
     return total
 
@@ -132,7 +134,6 @@ def count_tokens(
     count 0 bytes and 0 tokens. Ids may repeat or be null; each row is counted by itself. Other
     columns, whatever their names, are not read. An empty table gives an empty table.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +142,7 @@ def count_tokens(
             size = pc.binary_length(text.cast(pa.binary() if pa.types.is_string(text.type) else pa.large_binary()))
             yield pa.RecordBatch.from_arrays([ids, size.cast(pa.int64()), pa.array(n), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {OUT}")
+    return numbered(docs, [id_col, text_col]).mapInArrow(tidy(run), f"{ddl([docs.schema[id_col]])}, {OUT}")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

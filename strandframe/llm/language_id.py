@@ -10,10 +10,18 @@ The language of the shortest code wins.
 A tree is kept as the sorted windows of its longest order (context and byte in one integer); the
 shorter orders are sums over it. All windows of a block of texts are coded at once: every
 distinct window is coded once per language, and its code length is added up by text.
+
+Models have no bound: all windows of all learned documents count. What grows with them, the orders
+from SHARED on, is dealt to shards by a hash of the SHARED bytes before the coded one (all that a
+window's contexts of these orders say is in its shard) of about SHARD windows each. Tasks write
+the shards to the shared folder, and workers hold one of them at a time; where one is enough, it
+stays. The short orders, 2^16 windows a language at most, go with the model.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, crc_mod, stash, table, tidy
+from strandframe.llm.common import by_bytes, col, crc_mod, ddl, numbered, place, scratch_path, stash, table, tidy
 
 ORDER = 3
 BLOCK = 2 << 20
-#: Distinct windows that a model may have over all its languages: the bound of what is broadcast.
-MAX_WINDOWS = 2_000_000
+#: Orders below SHARED are part of every model; windows that a worker holds of the others at a time.
+SHARED, SHARD = 2, 1_000_000
 DENSE = 1 << 22
 UND = "und"
 
@@ -72,13 +80,14 @@ def distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class Tree:
-    """The context tree of one language."""
+    """The context tree of one language, or its orders from ``order`` down to ``low``: (order, keys,
+    bits of each, contexts, bits of escaping from each)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: int = 0):
         """keys: sorted distinct windows of the longest order."""
         self.levels = []
         keys, counts = keys.astype(np.uint32), counts.astype(np.float64)
-        for k in range(order, -1, -1):
+        for k in range(order, low - 1, -1):
             contexts, first, d = np.unique(keys >> np.uint32(8), return_index=True, return_counts=True) if k else (np.zeros(1, np.uint32), np.zeros(1, np.int64), np.array([len(keys)]))
             n = np.add.reduceat(counts, first) if len(keys) else np.zeros(0)
             seen = np.log2(np.repeat(n + d, d)) - np.log2(counts) if len(keys) else np.zeros(0)
@@ -88,9 +97,8 @@ class Tree:
                 keys, at = np.unique(short, return_inverse=True)
                 counts = np.bincount(at, counts, len(keys)) if len(keys) else counts
 
-    def bits(self, grams: np.ndarray) -> np.ndarray:
-        """Code lengths of sorted windows' last bytes in what comes before them."""
-        out, todo = np.zeros(len(grams)), np.arange(len(grams))
+    def walk(self, grams: np.ndarray, out: np.ndarray, todo: np.ndarray) -> np.ndarray:
+        """Adds to ``out`` what the windows at ``todo`` cost in these orders; returns those not yet coded."""
         for k, keys, seen, contexts, escape in self.levels:
             if not len(keys) or not len(todo):
                 continue
@@ -103,13 +111,64 @@ class Tree:
             at = np.minimum(np.searchsorted(contexts, c), len(contexts) - 1)
             known = contexts[at] == c
             out[todo[known]] += escape[at[known]]
-        out[todo] += 8
-        return out
+        return todo
+
+
+def shard_of(grams, order: int, shards: int):
+    """Number of a window's shard, for arrays and for SQL columns."""
+    low = min(SHARED, order)
+    if isinstance(grams, np.ndarray):
+        context = (grams.astype(np.int64) >> 8) & ((1 << (8 * low)) - 1)
+        return (context * 40503 & 65535) * shards >> 16
+    context = F.shiftright(grams, 8).bitwiseAND(F.lit((1 << (8 * low)) - 1).cast("long"))
+    return F.shiftright((context * 40503).bitwiseAND(F.lit(65535).cast("long")) * F.lit(shards), 16)
 
 
 class Model:
-    def __init__(self, trees: dict[str, Tree], order: int):
-        self.order, self.trees = order, trees
+    """trees: by language; with ``shards`` (paths of the shards' files) only the orders below
+    SHARED, which are what is coded last."""
+
+    def __init__(self, trees: dict[str, Tree], order: int, shards: list[str | None] | None = None):
+        self.order, self.trees, self.shards = order, trees, shards or []
+        self.held: tuple[int, dict[str, Tree]] = (-1, {})
+
+    def __getstate__(self):
+        return self.__dict__ | {"held": (-1, {})}
+
+    def shard(self, nth: int) -> dict[str, Tree]:
+        if self.held[0] != nth:
+            self.held = (-1, {})
+            trees: dict[str, Tree] = {}
+            if self.shards[nth] is not None:
+                fs, path = place(self.shards[nth])
+                with fs.open_input_stream(path) as f:
+                    file = np.load(io.BytesIO(f.read()))
+                names = list(self.trees)
+                for i in file["langs"].tolist():
+                    tree = Tree(np.zeros(0, np.uint32), np.zeros(0), 0)
+                    tree.levels = [(k, *(file[f"{i}-{k}-{j}"] for j in range(4))) for k in range(self.order, min(SHARED, self.order) - 1, -1)]
+                    trees[names[i]] = tree
+            self.held = (nth, trees)
+        return self.held[1]
+
+    def costs(self, blocks: list[np.ndarray]) -> list[np.ndarray]:
+        """Bits of sorted distinct windows (rows) under each language (columns), block by block. Every
+        shard is read once."""
+        out = [np.zeros((len(self.trees), len(values))) for values in blocks]
+        todo = [[np.arange(len(values))] * len(self.trees) for values in blocks]
+        for nth in range(len(self.shards)):
+            own = self.shard(nth)
+            for b, values in enumerate(blocks):
+                mine = np.flatnonzero(shard_of(values, self.order, len(self.shards)) == nth)
+                for k, name in enumerate(self.trees):
+                    if nth == 0:
+                        todo[b][k] = []
+                    todo[b][k].append(own[name].walk(values, out[b][k], mine) if name in own else mine)
+        for b, values in enumerate(blocks):
+            for k, tree in enumerate(self.trees.values()):
+                rest = np.concatenate(todo[b][k]) if self.shards else todo[b][k]
+                out[b][k][tree.walk(values, out[b][k], rest)] += 8
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text (row) under each language (column)."""
@@ -119,12 +178,17 @@ class Model:
             for a in range(0, len(t), BLOCK):
                 parts.append((t[max(0, a - self.order) : a], t[a : a + BLOCK]))
                 owner.append(i)
-        for a, b in by_bytes([len(t) for _, t in parts], BLOCK):
-            grams, ends = windows(parts[a:b], self.order)
-            values, at, _ = distinct(grams)
-            for k, tree in enumerate(self.trees.values()):
-                total = np.concatenate([[0.0], np.cumsum(tree.bits(values)[at])])
-                np.add.at(out[:, k], owner[a:b], total[ends[1:]] - total[ends[:-1]])
+        cuts = list(by_bytes([len(t) for _, t in parts], BLOCK))
+        # block by block; with several shards all blocks at once, so that each shard is read once
+        for some in [cuts] if len(self.shards) > 1 else [[c] for c in cuts]:
+            coded = []
+            for a, b in some:
+                grams, ends = windows(parts[a:b], self.order)
+                coded.append((a, b, ends, *distinct(grams)[:2]))
+            for (a, b, ends, _, at), cost in zip(coded, self.costs([c[3] for c in coded])):
+                for k in range(len(self.trees)):
+                    total = np.concatenate([[0.0], np.cumsum(cost[k][at])])
+                    np.add.at(out[:, k], owner[a:b], total[ends[1:]] - total[ends[:-1]])
         return out
 
     def predict(self, texts: list[bytes], letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -176,45 +240,74 @@ def count_windows(docs: DataFrame, lang_col: str, text_col: str, order: int) ->
                 size = 0
         yield from flush()
 
-    known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    known = docs.select(col(lang_col).cast("string").alias("lang"), col(text_col).alias("text")).filter("lang is not null and text is not null")
     return known.mapInArrow(tidy(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_windows: int = MAX_WINDOWS) -> Model:
-    """Context trees of all languages of the documents, from all their texts.
+def _write_shards(folder: str, names: list[str], order: int):
+    """(shard, path) of the files written from rows (shard, lang, gram, n), in this order. What a lost
+    or repeated attempt wrote has another name and is never read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def written(nth: int) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            lang = pc.index_in(rows.column("lang"), value_set=pa.array(names, pa.string())).to_numpy()
+            gram, n, arrays = rows.column("gram").to_numpy(), rows.column("n").to_numpy(), {"langs": np.unique(lang)}
+            for i in arrays["langs"].tolist():
+                own = lang == i
+                for k, *parts in Tree(gram[own], n[own], order, min(SHARED, order)).levels:
+                    arrays.update((f"{i}-{k}-{j}", part) for j, part in enumerate(parts))
+            out = io.BytesIO()
+            np.savez(out, **arrays)
+            path = f"{folder}/shard-{nth:05d}-{uuid.uuid4().hex}.npz"
+            fs, where = place(folder)
+            fs.create_dir(where, recursive=True)
+            with fs.open_output_stream(place(path)[1]) as f:
+                f.write(out.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([nth], pa.int64()), pa.array([path])], names=["shard", "path"])
+
+        last = -1
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    if held and shards[a] != last:
+                        yield written(last)
+                    last = int(shards[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield written(last)
 
-    Of a language's windows the ``max_windows`` / languages most frequent stay (of one level of
-    frequency, a 16th of an octave, all or none), so the model's size has a bound; what falls away is coded by escapes.
+    return run
+
+
+def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> Model:
+    """Context trees of all languages of the documents, from all windows of all their texts.
+
+    Rows with a null language or text are left out; without others no language is learned. Of the
+    statistics only the orders below SHARED come to the driver, 2^16 windows a language at most.
     """
     spark = docs.sparkSession
-    counts = count_windows(docs, lang_col, text_col, order)
-    langs = max(1, docs.select(F.col(lang_col).cast("string").alias("l")).filter("l is not null").distinct().limit(max_windows).count())
-    share = max(256, max_windows // langs)
-    counts = stash(counts, "windows")
-    # how many windows are at each level of frequency: at most 1024 levels a language
-    level = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    shape: dict[str, list] = {}
-    for r in counts.groupBy("lang", level.alias("level")).agg(F.count("*").alias("c")).collect():
-        shape.setdefault(r["lang"], []).append((r["level"], r["c"]))
-    least = []
-    for name, own in shape.items():
-        held, at = 0, None
-        for lv, c in sorted(own, reverse=True):
-            held += c
-            if held > share:
-                break
-            at = lv
-        if at is not None:
-            least.append((name, at))
-    bounds = spark.createDataFrame(least, "of string, low int")
-    top = counts.join(F.broadcast(bounds), (F.col("lang") == F.col("of")) & (level >= F.col("low"))).select("lang", "gram", "n").toArrow()
-    lang, gram, n = np.array(top.column("lang").to_pylist(), dtype=object), top.column("gram").to_numpy(), top.column("n").to_numpy()
+    counts = stash(count_windows(docs, lang_col, text_col, order), "windows")
+    low = min(SHARED, order)
+    short = counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (8 * max(low, 1))) - 1).cast("long")).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = np.array(short.column("lang").to_pylist(), dtype=object), short.column("gram").to_numpy(), short.column("n").to_numpy()
     trees = {}
     for name in sorted(set(lang)):
-        own = lang == name
-        by = np.argsort(gram[own])
-        trees[name] = Tree(gram[own][by], n[own][by], order)
-    return Model(trees, order)
+        own = np.flatnonzero(lang == name)
+        own = own[np.argsort(gram[own])]
+        trees[name] = Tree(gram[own], n[own], max(low - 1, 0))
+    if not order:
+        return Model(trees, order)
+    shards = max(1, -(-counts.count() // SHARD))
+    dealt = counts.select(shard_of(F.col("gram"), order, shards).alias("shard"), "lang", "gram", "n").repartition(shards, "shard").sortWithinPartitions("shard", "lang", "gram")
+    files = stash(dealt.mapInArrow(tidy(_write_shards(scratch_path(spark, "shards"), list(trees), order)), "shard long, path string"), "shards")
+    paths = {r["shard"]: r["path"] for r in files.collect()}
+    return Model(trees, order, [paths.get(i) for i in range(shards)])
 
 
 def predict_language(docs: DataFrame, model: Model, *, text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
@@ -223,13 +316,13 @@ def predict_language(docs: DataFrame, model: Model, *, text_col: str = "text", b
 
     A text that is null, empty or without letters gets ``und`` and score 0, and so does every
     text where no language was learned. Of equal code lengths the first name wins. Whole texts
-    are coded, in blocks of a few MB. Repeated rows get the same result; an empty table stays empty.
+    are coded, in blocks of a few MB; about ``batch_bytes`` of text, or one longer text, meet each
+    shard of the model together. Repeated rows get the same result; an empty table stays empty.
     """
-    spark = docs.sparkSession
     added = ["lang_pred", "score", "bits_per_byte"]
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    shared = spark.sparkContext.broadcast(model)
-    names, at = [*base.columns, *added], base.columns.index(text_col)
+    kept = [c for c in docs.columns if c.lower() not in added]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, at = [*kept, *added], kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,8 +332,8 @@ def predict_language(docs: DataFrame, model: Model, *, text_col: str = "text", b
                 lang, score, rate = shared.value.predict(text.slice(a, b - a).cast(pa.binary()).to_pylist(), letters[a:b])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], names=names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "lang_pred string", "score double", "bits_per_byte double"])
-    return base.mapInArrow(tidy(run), schema)
+    schema = ", ".join([ddl(docs.schema[c] for c in kept), "lang_pred string", "score double", "bits_per_byte double"])
+    return numbered(docs, kept).mapInArrow(tidy(run), schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -62,6 +62,10 @@ def test_bpe_of_odd_rows(spark, odd, tokens):
         assert list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids)) == want[r.doc_id]
     assert sorted(bytes(r.decoded) for r in rows) == sorted((r[1] or "").encode() for r in ODD)
     assert byte_bpe.encode(odd.limit(0), RANKS, P.PATTERN).count() == 0
+    done = byte_bpe.encode(odd, RANKS, P.PATTERN, keep=tuple(odd.columns), count=True, check=True)
+    assert done.columns == ["doc_id", "text", "lang", "score", "bands", "ids", "n_tokens", "round_trip"] and all(r.round_trip and r.n_tokens == len(want[r.doc_id]) for r in done.collect())
+    named = odd.select(odd.doc_id.alias("a.b"), odd.text.alias("te`xt"), odd.ids)
+    assert {r["a.b"]: bytes(r.ids) for r in byte_bpe.encode(named, RANKS, P.PATTERN, id_col="a.b", text_col="te`xt", keep=("ids",)).collect()} == {r.doc_id: bytes(r.ids) for r in rows}
     back = byte_bpe.decode(byte_bpe.encode(odd, RANKS, P.PATTERN), RANKS).collect()
     assert {r.doc_id: bytes(r.decoded) for r in back} == {r[0]: (r[1] or "").encode() for r in ODD}
 
@@ -98,6 +102,39 @@ def test_merges_at_once_equal_library(tokens, monkeypatch):
         assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in enc.encode(texts)] == want
 
 
+def test_other_patterns():
+    """Patterns whose syntax the standard library lacks, and those with groups, split as the regex module does."""
+    import regex
+
+    for pattern in (r"\p{Lu}?\p{Ll}+|\s+|[^\s\p{L}]+|\p{L}", r"(\w)(\w*)|\W", r" ?[\p{L}\p{M}]+| ?\p{N}{1,3}|\s+|."):
+        enc = byte_bpe.bpe(RANKS, pattern)
+        for text in ("Some Text 12345 WITH\ncaps", "Größe ÉTÉ 日本 42", ""):
+            (words,) = enc.split(text)
+            assert words == [m.group() for m in regex.finditer(pattern, text)]
+            assert enc.decode(enc.encode([text])[0]) == "".join(words).encode()
+
+
+def test_memory_does_not_grow_with_new_words(tokens, monkeypatch):
+    """Word-rich texts: what is remembered is bounded by bytes, and slices change no ids."""
+    import tracemalloc
+
+    rng, enc = random.Random(4), byte_bpe.bpe(RANKS, P.PATTERN)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrst", k=7)) for _ in range(40_000)) for _ in range(16)]
+    enc.memo, enc.older, enc.held = {}, {}, 0
+    tracemalloc.start()
+    got = [enc.encode([t])[0] for t in texts]
+    peak = tracemalloc.get_traced_memory()[1] - sum(map(len, got))
+    tracemalloc.stop()
+    assert peak < 120 << 20 and enc.held <= byte_bpe.MEMO
+    for t, ids in list(zip(texts, got))[::5]:
+        assert list(np.frombuffer(ids, "<u4")) == tokens.encode_ordinary(t)
+    monkeypatch.setattr(byte_bpe, "SLICE", 1000)
+    monkeypatch.setattr(byte_bpe, "MERGE", 300)
+    monkeypatch.setattr(byte_bpe, "MEMO", 50_000)
+    some = [t[:20_000] for t in texts[:3]] + ["", "kurz"]
+    assert [list(np.frombuffer(x, "<u4")) for x in enc.encode(some)] == [tokens.encode_ordinary(t) for t in some]
+
+
 def test_ascii_pattern():
     assert byte_bpe.ascii_pattern(P.PATTERN) == r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
     enc = byte_bpe.bpe(RANKS, P.PATTERN)
@@ -164,6 +201,61 @@ def test_language_of_odd_rows(spark, odd):
     assert {r.lang_pred for r in nothing.collect()} == {"und"} and language_id.predict_language(odd.limit(0), language_id.train(odd)).count() == 0
 
 
+def test_shards_change_nothing(spark, monkeypatch):
+    """A model in many shards, read one at a time, gives the code lengths of the whole statistics."""
+    rng = random.Random(6)
+    words = {x: ["".join(rng.choice(chars) for _ in range(rng.randint(2, 8))) for _ in range(300)] for x, chars in (("aa", "abcdefg hij"), ("bb", "fghijkélmn"), ("cc", "日本語漢字かな "))}
+    rows = [(i, " ".join(rng.choices(words[x], k=rng.randint(1, 60))), x) for i, x in enumerate(rng.choices(list(words), k=120))]
+    rows += [(900, "", "aa"), (901, None, "bb"), (902, "x" * 3, None), (903, "\0\0a", "bb")]
+    docs = spark.createDataFrame(rows, "`a.b` long, text string, lang string")
+    texts = [(t or "").encode() for _, t, _ in rows] + [bytes(rng.choices(range(256), k=300)), b"", b"q"]
+    for order in (3, 2, 1, 0):
+        want = None
+        for size in (10**9, 900, 40):
+            monkeypatch.setattr(language_id, "SHARD", size)
+            model = language_id.train(docs, order=order)
+            assert order == 0 or size > 10**6 or order == 1 or len(model.shards) > 2
+            got = model.code_lengths(texts)
+            assert want is None or np.allclose(got, want)
+            want = got
+        for k, x in enumerate(sorted(words)):
+            train = [(t or "").encode() for _, t, lang in rows if lang == x]
+            assert np.allclose(want[-4:, k], [slow_bits(train, t, order) for t in texts[-4:]])
+    told = language_id.predict_language(docs, language_id.train(docs))
+    assert told.columns == ["a.b", "text", "lang", "lang_pred", "score", "bits_per_byte"]
+    right = [r for r in told.collect() if r["a.b"] < 900]
+    assert sum(r.lang == r.lang_pred for r in right) >= 0.95 * len(right)
+
+
+def test_many_stray_languages(spark):
+    """Languages of a single document take nothing from the others."""
+    rows = [(i, "the cat sat on the mat and the dog ran " * 3, "en") for i in range(30)] + [(100 + i, f"zq{i} xv{i * 7}", f"stray{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.predict_language(docs, language_id.train(docs)).collect()
+    assert {r.lang_pred for r in got if r.lang == "en"} == {"en"}
+
+
+def test_counts_balance_bytes(monkeypatch):
+    """Batches hold so many bytes, not characters."""
+    seen, enc = [], token_counts.counter(MODEL)
+    monkeypatch.setattr(enc, "lengths", lambda texts: [seen.append(sum(len(t.encode()) for t in texts)) or 0] * len(texts), raising=False)
+    token_counts.count_texts(["日本" * 50, "abc" * 100, "é" * 150] * 20, MODEL, 1000, 1 << 15)
+    assert max(seen) <= 1000 and len(seen) >= 18
+
+
+def test_token_counts_query(spark):
+    """The query itself, over all documents, against the library's own counts."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = {r.doc_id: r for r in token_counts.op2_token_counts(spark, "/root/testdata/sf0.01").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    for d in docs:
+        n = len(own.encode(d.text or ""))
+        assert (rows[d.doc_id].n_bytes, rows[d.doc_id].n_tokens, rows[d.doc_id].over_limit) == (len((d.text or "").encode()), n, n > 4096)
+
+
 def test_held_out_languages(spark):
     rows = language_id.op3_language_id(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -36,18 +36,19 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, crc_mod, stash, table, tidy
+from strandframe.llm.common import by_bytes, col, crc_mod, ddl, numbered, stash, table, tidy
 
 WORD = re.compile(r"\w+")
 BREAK = re.compile(r"\W")
 BLOCK = 1 << 20
 EVIDENCE = 60.0
 
-#: Bounds of the classifier's labelled samples, in rows, and of its candidate words. Samples are
-#: drawn by a hash of the id; where there are fewer labelled rows, all of them are taken. Beginnings
-#: have a MAX_WORDS of their own.
-MAX_LABELS, MAX_CALIBRATION, MAX_WORDS = 200_000, 20_000, 200_000
-SEEN = 200_000
+#: Bounds of the classifier's labelled samples, in rows. Samples are drawn by a hash of the id; where
+#: there are fewer labelled rows, all of them are taken.
+MAX_LABELS, MAX_CALIBRATION = 200_000, 20_000
+#: Candidate words are counted over the corpus about so many at a time, all of them in the end.
+WORDS_AT_ONCE = 200_000
+SEEN = 100_000
 
 
 def blocks(text: str) -> Iterator[tuple[int, str]]:
@@ -164,10 +165,11 @@ class Lexicon:
         return self.k * max(words, 1) * math.exp(-self.rate * score)
 
     def evidence(self, scores: list[float], words: int) -> float:
-        """-ln of the least tail probability over the r best segments; EVIDENCE at most either way."""
+        """-ln of the least tail probability over the r best of all segments; EVIDENCE at most either
+        way. Segments that chance explains better than not add nothing, nor do those after them."""
         base = math.log(self.k * max(words, 1))
         best, t = min(-base, 0.0), 0.0
-        for r, s in enumerate(sorted(scores, reverse=True)[:64], 1):
+        for r, s in enumerate(sorted(scores, reverse=True), 1):
             x = self.rate * s - base
             if x <= 0 and r > 1:
                 break
@@ -189,14 +191,16 @@ class Lexicon:
         wanted = sorted({i for s, _ in kept for i in (s.first, s.last)})
         spans, k, n = {}, 0, 0
         low = text.lower()
-        same = len(low) == len(text)  # else offsets are those of the lower-cased text
         for start, part in blocks(low):
             for m in WORD.finditer(part):
                 if k < len(wanted) and n == wanted[k]:
                     spans[n] = (start + m.start(), start + m.end())
                     k += 1
                 n += 1
-        return score, [(spans[s.first][0], spans[s.last][1], s.score, e) for s, e in kept] if same or spans else []
+        if len(low) != len(text):  # some letters are two in lower case: back to places of the text
+            ends = np.cumsum([len(c.lower()) for c in text])
+            spans = {n: (int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends, b - 1, "right")) + 1) for n, (a, b) in spans.items()}
+        return score, [(spans[s.first][0], spans[s.last][1], s.score, e) for s, e in kept]
 
 
 def bounded(labels: DataFrame, id_col: str, bound: int, salt: int) -> DataFrame:
@@ -243,7 +247,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             held.update({t for w in {w for _, part in blocks(text.lower()) for w in WORD.findall(part)} for t in tokens(w)})
-            if len(held) > 500_000:
+            if len(held) > 250_000:
                 yield from flush()
     yield from flush()
 
@@ -277,6 +281,19 @@ def _counts(candidates) -> object:
     return run
 
 
+def _outstanding(counts: list, whole, prior: float, min_odds: float, min_z: float) -> Iterator[tuple[str, float, int]]:
+    """(token, log-odds, texts) of the tokens that stand out in toxic documents."""
+    a0 = prior * (whole["toxic"] + whole["clean"])
+    for r in counts:
+        if not r["word"]:
+            continue
+        a = a0 * r["n"] / whole["n"]
+        t, c = r["toxic"] + a, r["clean"] + a
+        odds = math.log(t / (whole["toxic"] + a0 - t + 1e-9)) - math.log(c / (whole["clean"] + a0 - c + 1e-9))
+        if odds >= min_odds and odds >= min_z * math.sqrt(1 / t + 1 / c):
+            yield r["word"], odds, r["n"]
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -299,8 +316,8 @@ def train(
     share of toxic labels (0 without labels).
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).filter("__id is not null and label in (0, 1)").groupBy("__id").agg(F.max("label").alias("label"))
+    texts = docs.select(col(id_col).alias("__id"), col(text_col).alias("text"))
+    marks = labels.select(col(id_col).alias("__id"), col(label_col).cast("int").alias("label")).filter("__id is not null and label in (0, 1)").groupBy("__id").agg(F.max("label").alias("label"))
     # at most MAX_LABELS rows of a long and an int: this side may be sent to every task
     labelled = texts.filter("text is not null").join(F.broadcast(bounded(marks, "__id", MAX_LABELS, 1)), "__id")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -310,29 +327,25 @@ def train(
     toxic = texts.filter("text is not null").join(sample.filter("label = 1"), "__id", "left_semi")
     found = toxic.select("text").mapInArrow(tidy(_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_texts)
     found = stash(found, "tokens")
-    short = F.col("word").endswith("*")
-    candidates = frozenset(r["word"] for some in (found.filter(~short), found.filter(short)) for r in some.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect())
-    rows = texts.join(sample, "__id", "left").select("text", "label").mapInArrow(tidy(_counts(spark.sparkContext.broadcast(candidates))), "word string, n long, toxic long, clean long")
-    counts = rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).collect()
-    words = next((r["n"] for r in counts if r["word"] == ""), 0)
-    whole = next((r for r in counts if r["word"] is None), None)
     lexicon = Lexicon({}, 1.0, 1.0, max_e=max_e)
-    if whole is None or not whole["toxic"] or not whole["clean"]:
-        only = whole is not None and whole["toxic"] and not whole["clean"]
-        lexicon.slope, lexicon.offset = 0.0, 30.0 if only else -30.0
-        return lexicon
-    a0 = prior * (whole["toxic"] + whole["clean"])
-    share = {}
-    for r in counts:
-        if not r["word"]:
-            continue
-        a = a0 * r["n"] / whole["n"]
-        t, c = r["toxic"] + a, r["clean"] + a
-        odds = math.log(t / (whole["toxic"] + a0 - t + 1e-9)) - math.log(c / (whole["clean"] + a0 - c + 1e-9))
-        if odds >= min_odds and odds >= min_z * math.sqrt(1 / t + 1 / c):
-            lexicon.scores[r["word"]] = odds
-            share[r["word"]] = r["n"] / max(1, words)
-    p = np.array([share[w] for w in lexicon.scores])
+    slices = max(1, -(-found.count() // WORDS_AT_ONCE))
+    marked = texts.join(sample, "__id", "left").select("text", "label")
+    kept: list[tuple[str, float, int]] = []  # (token, log-odds, texts) of those that stand out
+    for nth in range(slices):
+        candidates = frozenset(r["word"] for r in found.filter(F.pmod(F.xxhash64("word"), F.lit(slices)) == nth).collect())
+        sent = spark.sparkContext.broadcast(candidates)
+        counts = marked.mapInArrow(tidy(_counts(sent)), "word string, n long, toxic long, clean long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).collect()
+        sent.destroy()
+        words = next((r["n"] for r in counts if r["word"] == ""), 0)
+        whole = next((r for r in counts if r["word"] is None), None)
+        if whole is None or not whole["toxic"] or not whole["clean"]:
+            only = whole is not None and whole["toxic"] and not whole["clean"]
+            lexicon.slope, lexicon.offset = 0.0, 30.0 if only else -30.0
+            return lexicon
+        kept += _outstanding(counts, whole, prior, min_odds, min_z)
+    kept.sort()
+    lexicon.scores = {w: odds for w, odds, _ in kept}
+    p = np.array([n / max(1, words) for *_, n in kept])
     s = np.array(list(lexicon.scores.values()))
     if len(s):
         lexicon.drift = max(-math.log1p(-density), 2 * float(p @ s))
@@ -354,7 +367,7 @@ def _calibrate(lexicon: Lexicon, texts: DataFrame, marks: DataFrame) -> None:
             out = []
             for text in batch.column(0).to_pylist():
                 n, _, once = lexicon.hits(text or "")
-                out.append((n, sorted((x.score for x in lexicon.segments(once)), reverse=True)[:64]))
+                out.append((n, sorted((x.score for x in lexicon.segments(once)), reverse=True)))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64())), batch.column(1)], names=["words", "scores", "label"])
 
     some = F.broadcast(bounded(marks, "__id", MAX_CALIBRATION, 2))
@@ -383,9 +396,9 @@ def _calibrate(lexicon: Lexicon, texts: DataFrame, marks: DataFrame) -> None:
 PASSAGES = "array<struct<start:int,end:int,score:double,expect:double>>"
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshold: float = 0.5, batch_bytes: int = 8 << 20) -> DataFrame:
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshold: float = 0.5, batch_bytes: int = 4 << 20) -> DataFrame:
     """The documents with score (0 to 1), predicted (1 if score >= threshold) and passages
-    (characters start to end, segment score, E; in order, disjoint); columns of these names are
+    (characters of the text, start to end, segment score, E; in order, disjoint); columns of these names are
     replaced, all others stay.
 
     Null and empty texts have no passage and the score of no evidence in no words. Whole texts are
@@ -393,9 +406,9 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text",
     empty. Each task holds about ``batch_bytes`` of text, or one text where that is longer.
     """
     added = ["score", "predicted", "passages"]
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
+    kept = [c for c in docs.columns if c.lower() not in added]
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    names, at = [*base.columns, *added], base.columns.index(text_col)
+    names, at = [*kept, *added], kept.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expect", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,8 +421,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text",
                 spans = pa.array([[dict(zip(("start", "end", "score", "expect"), p)) for p in x[1]] for x in out], kind)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), spans], names=names)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "score double", "predicted int", f"passages {PASSAGES}"])
-    return base.mapInArrow(tidy(run), schema)
+    schema = ", ".join([ddl(docs.schema[c] for c in kept), "score double", "predicted int", f"passages {PASSAGES}"])
+    return numbered(docs, kept).mapInArrow(tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

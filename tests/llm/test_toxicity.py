@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -59,6 +60,51 @@ def test_learns_and_judges(spark, made):
     assert toxicity.score_toxicity(docs.limit(0), lexicon).count() == 0
 
 
+def test_passages_are_places_of_the_text():
+    """Also where a letter is two in lower case."""
+    lexicon = toxicity.Lexicon({"bad": 9.0, "wörse": 9.0, "ll": 9.0}, drift=0.5, rate=1.0, k=0.1)
+    for text, want in (("İİİ good bad", ["bad"]), ("İ BAD wörse x " + "good " * 60 + "İLL İ", ["BAD wörse", "LL"]), ("bad", ["bad"]), ("ΣΑΣ İbad bad", ["bad bad"])):
+        assert [text[a:b] for a, b, *_ in lexicon.judge(text)[1]] == want
+
+
+def test_all_segments_count():
+    """Evidence goes on growing beyond any number of segments, as the sum statistic says."""
+    lexicon = toxicity.Lexicon({}, drift=1, rate=1, k=1.0)
+
+    def slow(scores, words):
+        base, best = math.log(words), None
+        for r in range(1, len(scores) + 1):
+            x = [s - base for s in sorted(scores, reverse=True)[:r]]
+            if x[-1] <= 0 and r > 1:
+                break
+            t = sum(x)
+            value = t if r == 1 else t - (r - 1) * math.log(max(t, 1.0)) + math.lgamma(r + 1) + math.lgamma(r)
+            best = value if best is None else max(best, value)
+        return max(-toxicity.EVIDENCE, min(toxicity.EVIDENCE, best))
+
+    rng = random.Random(3)
+    for n in (1, 5, 63, 64, 65, 90, 300):
+        scores = [math.log(1000) + rng.random() * 0.2 for _ in range(n)]
+        assert math.isclose(lexicon.evidence(scores, 1000), slow(scores, 1000))
+    assert lexicon.evidence([math.log(1000) + 0.3] * 300, 1000) != lexicon.evidence([math.log(1000) + 0.3] * 64, 1000)
+
+
+def test_candidates_in_slices(spark, made, monkeypatch):
+    """However many words are counted at a time, the lexicon is the same."""
+    docs, labels = made
+    whole = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 40)
+    part = toxicity.train(docs, labels)
+    assert part.scores == whole.scores and math.isclose(part.rate, whole.rate) and math.isclose(part.slope, whole.slope, rel_tol=1e-6)
+
+
+def test_odd_names(spark, made):
+    docs, labels = made
+    lexicon = toxicity.train(docs.select(docs.doc_id.alias("a.b"), docs.text.alias("t.x")), labels.withColumnRenamed("doc_id", "a.b"), id_col="a.b", text_col="t.x")
+    got = toxicity.score_toxicity(docs.select("doc_id", docs.text.alias("t.x"), docs.source.alias("SCORE")).limit(5), lexicon, text_col="t.x")
+    assert got.columns == ["doc_id", "t.x", "score", "predicted", "passages"] and got.count() == 5
+
+
 def test_without_labels(spark, made):
     docs, labels = made
     for own in (labels.limit(0), labels.filter("toxic = 0")):

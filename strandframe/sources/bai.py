@@ -8,11 +8,11 @@ import sys
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandframe.schema import BAI_MAGIC, PSEUDO_BIN
-from strandframe.sources.records import bin_of
+from strandframe.sources.columnar import bins_of
 
 SCHEMAS = {
     "chunks": "file string, ref_id int, bin int, chunk_beg long, chunk_end long",
@@ -93,26 +93,46 @@ class IndexBuilder:
         self.bins = [defaultdict(list) for _ in range(n_ref)]
         self.linear = [{} for _ in range(n_ref)]
         self.stats = [[None, 0, 0, 0] for _ in range(n_ref)]
-        self.unplaced, self.last, self.sorted = 0, (0, -1), True
-
-    def add(self, ref_id: int, pos: int, span: int, flag: int, beg: int, end: int) -> None:
-        here = (ref_id if ref_id >= 0 else 1 << 30, pos)
-        self.sorted &= here >= self.last
-        self.last = here
-        if ref_id < 0:
-            self.unplaced += 1
+        self.unplaced, self.last, self.sorted = 0, -1, True
+
+    def add(self, ref: np.ndarray, pos: np.ndarray, span: np.ndarray, flag: np.ndarray, beg: np.ndarray, end: np.ndarray) -> None:
+        """The next records; beg and end: their virtual offsets."""
+        if not len(ref):
+            return
+        key = np.where(ref >= 0, ref, 1 << 30) << 32 | (pos + 1)
+        self.sorted = self.sorted and key[0] >= self.last and bool((np.diff(key) >= 0).all())
+        self.last = int(key[-1])
+        if not self.sorted:
             return
-        last = max(pos + span, pos + 1)
-        own = self.bins[ref_id][bin_of(pos, last)]
-        if own and own[-1][1] == beg:
-            own[-1] = (own[-1][0], end)
-        else:
-            own.append((beg, end))
-        for w in range(pos >> 14, ((last - 1) >> 14) + 1):
-            self.linear[ref_id].setdefault(w, beg)
-        s = self.stats[ref_id]
-        s[0], s[1] = beg if s[0] is None else s[0], end
-        s[2 + bool(flag & 4)] += 1
+        there = ref >= 0
+        self.unplaced += int((~there).sum())
+        ref, pos, span, flag, beg, end = (x[there] for x in (ref, pos, span, flag, beg, end))
+        if not len(ref):
+            return
+        after = np.maximum(pos + span, pos + 1)
+        # records of one bin in a row are one chunk
+        bins = bins_of(pos, after)
+        new = np.flatnonzero(np.diff(ref << 16 | bins, prepend=-1))
+        last = np.append(new[1:], len(ref)) - 1
+        for r, b, x, y in zip(ref[new].tolist(), bins[new].tolist(), beg[new].tolist(), end[last].tolist()):
+            own = self.bins[r][b]
+            if own and own[-1][1] == x:
+                own[-1] = (own[-1][0], y)
+            else:
+                own.append((x, y))
+        low, high = pos >> 14, (after - 1) >> 14
+        width = high - low + 1
+        window = np.repeat(low - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+        owner = np.repeat(np.arange(len(ref)), width)
+        seen, first = np.unique(ref[owner] << 20 | window, return_index=True)
+        for k, x in zip(seen.tolist(), beg[owner[first]].tolist()):
+            self.linear[k >> 20].setdefault(k & 0xFFFFF, x)
+        unmapped = flag & 4 != 0
+        for r in np.unique(ref).tolist():
+            s, own = self.stats[r], np.flatnonzero(ref == r)
+            s[0], s[1] = int(beg[own[0]]) if s[0] is None else s[0], int(end[own[-1]])
+            s[2] += int((~unmapped[own]).sum())
+            s[3] += int(unmapped[own].sum())
 
     def bytes(self) -> bytes:
         out = [BAI_MAGIC, struct.pack("<i", len(self.bins))]
@@ -131,7 +151,7 @@ class IndexBuilder:
 class BaiDataSource(DataSource):
     """``spark.read.format("bai").option("table", "chunks" | "linear" | "stats").load(path)``: a .bai
     file, or a folder of them. Zero entries of the linear index are left out, windows keep their
-    numbers."""
+    numbers. n_no_coor is 0 where an index does not say how many records are unplaced."""
 
     @classmethod
     def name(cls) -> str:
@@ -164,5 +184,5 @@ class BaiReader(DataSourceReader):
             elif self.table == "linear":
                 rows += [(partition.value, r, w, v) for w, v in enumerate(linear) if v]
             else:
-                rows.append((partition.value, r, *(stats or (None,) * 4), index.n_no_coor))
+                rows.append((partition.value, r, *(stats or (None,) * 4), index.n_no_coor or 0))
         yield from rows

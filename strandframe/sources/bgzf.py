@@ -12,6 +12,8 @@ from strandframe.schema import BGZF_EOF
 
 #: Payload of a written block: small enough that even incompressible data fits the 16-bit block size.
 PAYLOAD = 65_280
+#: First bytes of a block: gzip with extra fields.
+MAGIC = b"\x1f\x8b\x08\x04"
 
 
 class BgzfError(ValueError):
@@ -24,7 +26,7 @@ def read_block(f: BinaryIO, verify: bool = True) -> tuple[bytes, int] | None:
     head = f.read(12)
     if not head:
         return None
-    if len(head) < 12 or head[:4] != b"\x1f\x8b\x08\x04":
+    if len(head) < 12 or head[:4] != MAGIC:
         raise BgzfError("not a block of blocked gzip")
     extra_len = struct.unpack_from("<H", head, 10)[0]
     extra, at, total = f.read(extra_len), 0, None
@@ -110,34 +112,63 @@ class BgzfReader:
         self.f.close()
 
 
+def first_block(f: BinaryIO, start: int) -> int:
+    """File offset of the first block that starts at ``start`` or later; the file's size if there is
+    none. What looks like a block must be whole, and followed by another one or the end."""
+    size = f.seek(0, 2)
+    while start < size:
+        f.seek(start)
+        window = f.read(1 << 17)
+        at = window.find(MAGIC)
+        while at >= 0:
+            f.seek(start + at)
+            try:
+                read_block(f)
+                if (f.tell() == size) or f.read(4) == MAGIC:
+                    return start + at
+            except (BgzfError, zlib.error, struct.error):
+                pass
+            at = window.find(MAGIC, at + 1)
+        start += max(1, len(window) - len(MAGIC) + 1)
+    return size
+
+
 class BgzfWriter:
+    """marks: file offsets of the blocks since the last ``flush``, the open one last."""
+
     def __init__(self, f: BinaryIO, level: int = 6):
         self.f, self.level, self.held, self.offset = f, level, bytearray(), 0
+        self.marks = [0]
 
     def tell(self) -> int:
         return self.offset << 16 | len(self.held)
 
     def write(self, data: bytes) -> None:
-        self.held += data
+        view = memoryview(data).cast("B")
+        at = min(len(view), PAYLOAD - len(self.held))
+        self.held += view[:at]
         while len(self.held) >= PAYLOAD:
-            self._block(PAYLOAD)
+            self._block(bytes(self.held))
+            self.held = bytearray(view[at : at + PAYLOAD])
+            at += PAYLOAD
 
-    def _block(self, n: int) -> None:
-        data = bytes(self.held[:n])
-        del self.held[:n]
+    def _block(self, data: bytes) -> None:
         press = zlib.compressobj(self.level, zlib.DEFLATED, -15)
         body = press.compress(data) + press.flush()
         if len(body) > 65_500:
             press = zlib.compressobj(0, zlib.DEFLATED, -15)
             body = press.compress(data) + press.flush()
-        head = struct.pack("<4sIBBHBBHH", b"\x1f\x8b\x08\x04", 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
+        head = struct.pack("<4sIBBHBBHH", MAGIC, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
         self.f.write(head + body + struct.pack("<II", zlib.crc32(data), len(data)))
         self.offset += len(body) + 26
+        self.marks.append(self.offset)
 
     def flush(self) -> None:
         """Ends the current block."""
-        while self.held:
-            self._block(min(len(self.held), PAYLOAD))
+        if self.held:
+            self._block(bytes(self.held))
+            self.held = bytearray()
+        self.marks = [self.offset]
 
     def close(self) -> None:
         self.flush()

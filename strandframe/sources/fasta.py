@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from strandframe.schema import FAI
+from strandframe.shared import ranked
 
 
 class FastaDataSource(DataSource):
     """Body lines: file, name, line_no, offset (of its first base), bases, line_len (with its end).
     The name is the header's first word; a blank line ends a sequence; text outside one raises. A
-    file is one partition, as its headers govern what follows."""
+    file is one partition, as its headers govern what follows; with the option ``index``, the path
+    of its .fai, it is cut into pieces of ``split_bytes``, and line_no counts a header and the
+    index' lines for each sequence."""
 
     @classmethod
     def name(cls) -> str:
@@ -25,26 +28,58 @@ class FastaDataSource(DataSource):
         return "file string, name string, line_no long, offset long, bases string, line_len int"
 
     def reader(self, schema) -> DataSourceReader:
-        return FastaReader(self.options.get("path", ""))
+        return FastaReader(dict(self.options))
+
+
+def load_fai(path: str) -> list[tuple[str, int, int, int, int]]:
+    """(name, len, offset, line_blen, line_len) of a .fai file, in the order of the offsets."""
+    with open(path, encoding="latin-1") as f:
+        cells = [line.rstrip("\r\n").split("\t") for line in f if line.strip()]
+    if bad := [c for c in cells if len(c) != 5]:
+        raise ValueError(f"{path}: bad number of index fields: {bad[0]}")
+    return sorted(((c[0].split()[0], *map(int, c[1:])) for c in cells), key=lambda c: c[2])
 
 
 class FastaReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, options: dict):
+        self.options = options
 
     def partitions(self):
-        from strandframe.sources.bam import local
+        from strandframe.sources.bam import SPLIT, Split, local, plan
 
-        path = local(self.path)
-        if os.path.isdir(path):
-            return [InputPartition(os.path.join(path, x)) for x in sorted(os.listdir(path)) if x.endswith((".fa", ".fasta", ".fna"))]
-        return [InputPartition(path)]
+        path = local(self.options.get("path", ""))
+        if self.options.get("index"):
+            return plan([path], int(self.options.get("split_bytes", SPLIT)))
+        files = [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.endswith((".fa", ".fasta", ".fna"))] if os.path.isdir(path) else [path]
+        return [Split([(x, 0, os.path.getsize(x), os.path.getsize(x))]) for x in files]
 
     def read(self, partition) -> Iterator[tuple]:
-        if partition is None:
-            return
+        for path, a, b, _ in partition.pieces if partition else ():
+            yield from self._indexed(path, a, b) if self.options.get("index") else self._whole(path)
+
+    def _indexed(self, path: str, a: int, b: int) -> Iterator[tuple]:
+        """The lines that start in [a, b)."""
+        from strandframe.sources.bam import local
+
+        number = 0
+        with open(path, "rb") as f:
+            for name, size, offset, bases, width in load_fai(local(self.options["index"])):
+                number += 1  # the header
+                lines = -(-size // bases) if bases else 0
+                first, last = max(0, -(-(a - offset) // width)) if width else 0, min(lines, max(0, -(-(b - offset) // width))) if width else 0
+                for k in range(first, last, 4096):
+                    n = min(4096, last - k)
+                    f.seek(offset + k * width)
+                    block = f.read(n * width)
+                    for i in range(n):
+                        line = block[i * width : i * width + min(bases, size - (k + i) * bases)]
+                        whole = block[i * width : (i + 1) * width] if k + i < lines - 1 else block[i * width : i * width + len(line) + width - bases]
+                        yield (path, name, number + k + i, offset + (k + i) * width, line.decode("latin-1"), len(whole))
+                number += lines
+
+    def _whole(self, path: str) -> Iterator[tuple]:
         name, at = None, 0
-        with open(partition.value, "rb") as f:
+        with open(path, "rb") as f:
             for k, line in enumerate(f):
                 if line.startswith(b">"):
                     words = line[1:].split()
@@ -52,17 +87,17 @@ class FastaReader(DataSourceReader):
                 elif not line.strip():
                     name = None
                 elif name is None:
-                    raise ValueError(f"{partition.value}: text outside a sequence at byte {at}")
+                    raise ValueError(f"{path}: text outside a sequence at byte {at}")
                 else:
-                    yield (partition.value, name, k, at, line.strip().decode("latin-1"), len(line))
+                    yield (path, name, k, at, line.strip().decode("latin-1"), len(line))
                 at += len(line)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, **options: str) -> DataFrame:
     from strandframe.sources.bam import register
 
     register(spark)
-    return spark.read.format("fasta").load(path)
+    return spark.read.format("fasta").options(**options).load(path)
 
 
 def build_index(lines: DataFrame) -> DataFrame:
@@ -71,8 +106,14 @@ def build_index(lines: DataFrame) -> DataFrame:
 
     firsts = lines.groupBy("name").agg(F.min("offset").alias("offset"), F.min(F.struct("file", "line_no")).alias("place"))
     fai = build_fai(lines.select("name", "line_no", "bases", "line_len")).join(firsts, "name")
-    order = fai.agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return fai.join(F.broadcast(order)).select((F.array_position("places", F.col("place")) - 1).cast("int").alias("fai_idx"), "name", "len", "offset", "line_blen", "line_len")
+    return ranked(fai, [F.col("place")], "fai_idx").select(F.col("fai_idx").cast("int").alias("fai_idx"), "name", "len", "offset", "line_blen", "line_len")
+
+
+def write_fai(index: DataFrame, path: str) -> None:
+    """Writes a .fai table as one file of its lines, in order, on the driver: a line per sequence."""
+    rows = index.orderBy("fai_idx").select("name", "len", "offset", "line_blen", "line_len").toLocalIterator()
+    with open(path, "w", encoding="latin-1") as f:
+        f.writelines("\t".join(map(str, r)) + "\n" for r in rows)
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import shutil
 import struct
 import zlib
 
@@ -151,16 +152,92 @@ def test_pushed_filters_prune(spark, written):
 
 
 def test_regions_read_less(spark, written):
-    from strandframe.sources.bam import BamReader
+    from strandframe.sources.bam import BamReader, read_header
 
     def span(**options):
-        splits = BamReader({"path": written[0], "splits": "4"} | options, ALIGNMENT).partitions()
-        assert all(len(s.ranges) >= 1 for s in splits) and len(splits) <= 12
-        return sum(b - a for s in splits for a, b in s.ranges if b > 0)
+        reader = BamReader({"path": written[0], "split_bytes": "40000"} | options, ALIGNMENT)
+        found = []
+        for split in reader.partitions():
+            for path, a, b, size in split.pieces:
+                f = bgzf.BgzfReader(path)
+                refs = read_header(f)[1]
+                found += [(x, min(y, size << 16)) for x, y in reader.ranges(path, a, b, size, refs, f.tell())[1]]
+        return sum(y - x for x, y in found)
 
     assert 0 < span(region="chr1:350000-360000") < span() / 3
 
 
+@pytest.mark.parametrize("indexed", [True, False])
+@pytest.mark.parametrize("split", [3000, 20_000, 70_000, 1 << 30])
+def test_any_split_reads_each_record_once(spark, written, tmp_path, indexed, split):
+    """Also without an index, where records and blocks are found by what they look like."""
+    for x in os.listdir(written[0]):
+        if indexed or x.endswith(".bam"):
+            os.link(os.path.join(written[0], x), str(tmp_path / x))
+    got = bam.read_bam(spark, str(tmp_path), split_bytes=str(split))
+    parts = got.rdd.getNumPartitions()
+    size = sum(x.stat().st_size for x in tmp_path.glob("*.bam"))
+    assert parts >= (size // split if split < size else 1)
+    rows = got.select("read_name", "ref_id", "pos", "voffset", "file").collect()
+    assert sorted(r.read_name for r in rows) == sorted(r["read_name"] for r in written[1])
+    assert len({(r.file, r.voffset) for r in rows}) == len(rows)
+
+
+def test_long_records_split(spark, tmp_path):
+    """Records of many blocks, and short ones, with borders inside of them."""
+    rng = random.Random(9)
+    rows = [row(read_name=f"q{i}", pos=i, seq="".join(rng.choices("ACGT", k=rng.choice([10, 10, 400_000]))), qual=None, cigar=[], aux=None) for i in range(60)]
+    frame = spark.createDataFrame([{k: (bytearray(v) if isinstance(v, bytes) else v) for k, v in r.items()} for r in rows], ALIGNMENT).coalesce(1)
+    bam.write_bam(frame.drop("ref_name", "file", "voffset", "bin", "n_cigar_op", "l_seq"), str(tmp_path / "b"), references=[("c", 1000), ("d", 9)])
+    for x in (tmp_path / "b").glob("*.bai"):
+        x.unlink()
+    got = bam.read_bam(spark, str(tmp_path / "b"), columns=["read_name", "seq"], split_bytes="50000")
+    assert got.rdd.getNumPartitions() > 20 and {r.read_name: r.seq for r in got.collect()} == {r["read_name"]: r["seq"] for r in rows}
+
+
+def test_small_files_share_partitions(spark, written, tmp_path):
+    src = next(os.path.join(written[0], x) for x in sorted(os.listdir(written[0])) if x.endswith(".bam"))
+    for i in range(40):
+        os.link(src, str(tmp_path / f"{i:02d}.bam"))
+    got = bam.read_bam(spark, str(tmp_path), columns=["pos"])
+    assert got.rdd.getNumPartitions() < 5 and got.count() == 40 * bam.read_bam(spark, src).count()
+
+
+def test_columns_equal_records():
+    """The decoder of many records against that of one, and the encoder likewise."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from strandframe.sources import columnar
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(500):
+        n = rng.choice([0, 1, 2, 7, 40])
+        tags = [a for a in AUX if rng.random() < 0.5] + ([aux("CG", "B", sub="I", i=[16 * 7])] if rng.random() < 0.1 else [])
+        own = row(read_name=rng.choice(["r", "a:b:c", "é" * 3, "n" * 254]) if i else "x", ref_id=rng.choice([-1, 0, 1]), pos=rng.randrange(-1, 10**8), seq="".join(rng.choices("=ACMGRSVTWYHKDBN", k=n)), qual=None if rng.random() < 0.4 else bytes(rng.choices(range(42), k=n)), aux=rng.choice([tags, [], None]), flag=rng.randrange(65536), mapq=rng.randrange(256))
+        own["cigar"] = [{"len": n, "op": 4}, {"len": 9, "op": 3}] if rng.random() < 0.1 else [{"len": rng.randrange(1, 1 << 27), "op": rng.randrange(9)} for _ in range(rng.choice([0, 1, 5]))] if i != 77 else [{"len": k % 9 + 1, "op": k % 2} for k in range(66_000)]
+        rows.append(own)
+    kind = to_arrow_schema(ALIGNMENT)
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([f for f in kind if f.name in rows[0]]))
+    for part in (batch, batch.slice(13, 300), batch.slice(0, 0)):
+        data, ends, told = columnar.encode(part)
+        want = [pack_record(r) for r in part.to_pylist()]
+        assert bytes(data) == b"".join(want) and ends.tolist() == list(__import__("itertools").accumulate(map(len, want)))
+        sizes = np.diff(ends, prepend=0) - 4
+        records = columnar.Records(data, ends - sizes, sizes)
+        schema = pa.schema([f for f in kind if f.name not in ("ref_name", "file", "voffset")])
+        got = records.columns(schema, {}).to_pylist()
+        for g, w in zip(got, want):
+            plain = parse_record(w[4:], WANT)
+            assert {k: v for k, v in plain.items() if k in g} == {k: ([dict(x) for x in v] if isinstance(v, list) else v) for k, v in g.items()}
+    with pytest.raises(ValueError, match="unknown tag type"):
+        bad = bytearray(pack_record(row(aux=[aux("XC", "C", i=[1])])))
+        bad[-2] = ord("q")
+        columnar.Records(np.frombuffer(bytes(bad), np.uint8), np.array([4]), np.array([len(bad) - 4])).columns(pa.schema([kind.field("aux")]), {})
+
+
 def test_frames_can_be_used_again(spark, written):
     every = bam.read_bam(spark, written[0])
     every.filter("ref_id = 0 and pos < 100").count()
@@ -213,6 +290,15 @@ def test_stream_of_files(spark, written, tmp_path):
     files = [x for x in sorted(os.listdir(written[0])) if x.endswith(".bam")]
     for x in files:
         os.link(os.path.join(written[0], x), str(tmp_path / x))
+    from strandframe.sources.bam import BamStreamReader
+
+    stream = BamStreamReader({"path": str(tmp_path)}, ALIGNMENT)
+    seen = stream.latestOffset()
+    assert len(stream.partitions(stream.initialOffset(), seen)) >= 1 and stream.partitions(seen, seen) == []
+    shutil.copy(os.path.join(written[0], files[0]), str(tmp_path / "0-late.bam"))  # a smaller name, later
+    late = [p[0] for s in stream.partitions(seen, stream.latestOffset()) for p in s.pieces]
+    assert str(tmp_path / "0-late.bam") in late
+    os.remove(str(tmp_path / "0-late.bam"))
     q = indel_counts(stream_bam(spark, str(tmp_path))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.ref_name for r in spark.table("counts").collect()} == {"chr1", "chr2", None}
@@ -237,6 +323,85 @@ def test_fasta_and_fai(spark, tmp_path):
         fasta.build_index(fasta.read_fasta(spark, str(p))).collect()
 
 
+def test_fasta_in_pieces(spark, tmp_path):
+    """With an index a file is cut anywhere, and gives what the whole scan gives."""
+    rng, p = random.Random(2), tmp_path / "y.fa"
+    with open(p, "w") as f:
+        for k in range(30):
+            n, seq = rng.choice([7, 60]), "".join(rng.choices("ACGTN", k=rng.choice([1, 60, 61, 700])))
+            f.write(f">s{k} more\n" + "".join(seq[i : i + n] + "\n" for i in range(0, len(seq), n)))
+    text = p.read_text()
+    p.write_text(text[:-1])  # no newline at the end
+    whole = fasta.read_fasta(spark, str(p))
+    fasta.write_fai(fasta.build_index(whole), str(p) + ".fai")
+    want = sorted(map(tuple, whole.collect()))
+    for size in (50, 333, 1 << 20):
+        got = fasta.read_fasta(spark, str(p), index=str(p) + ".fai", split_bytes=str(size))
+        assert sorted(map(tuple, got.collect())) == want
+        assert got.rdd.getNumPartitions() >= len(text) // size
+
+
+def test_blocks_as_rows(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [rng.randbytes(rng.choice([0, 3, 900, 40_000])) for _ in range(200)] + [rng.randbytes(200_000)]
+    bam.register(spark)
+    frame = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(rows)], "i int, data binary").coalesce(2)
+    path = str(tmp_path / "blocks")
+    frame.select("data").write.format("bgzf").mode("append").save(path)
+    frame.limit(0).select("data").write.format("bgzf").mode("append").save(path)
+    files = sorted(x for x in os.listdir(path))
+    assert all(x.endswith(".bgzf") for x in files)
+    for size in (10_000, 100_000, 1 << 30):
+        got = spark.read.format("bgzf").option("split_bytes", str(size)).option("eofmarker", "fail").load(path).collect()
+        assert sum(len(r.data) for r in got) == sum(map(len, rows)) and len({(r.file, r.coffset) for r in got}) == len(got)
+        by = {}
+        for r in sorted(got, key=lambda r: (r.file, r.coffset)):
+            by[r.file] = by.get(r.file, b"") + bytes(r.data)
+        assert sorted(x for x in by.values() if x) == sorted(b"".join(bgzf.BgzfReader(os.path.join(path, x)).blocks()) for x in files if os.path.getsize(os.path.join(path, x)) > 28)
+    with open(os.path.join(path, files[0]), "rb") as f:
+        data = f.read()
+    (tmp_path / "cut.bgzf").write_bytes(data[:-28])
+    with pytest.raises(Exception, match="end marker"):
+        spark.read.format("bgzf").option("eofmarker", "fail").load(str(tmp_path / "cut.bgzf")).collect()
+
+
+def test_headers_as_tables(spark, written):
+    refs = bam.references_table(spark, written[0]).collect()
+    files = [x for x in os.listdir(written[0]) if x.endswith(".bam")]
+    assert len(refs) == 3 * len(files) and {(r.ref_id, r.name, r.length) for r in refs} == {(0, "chr1", 500_000), (1, "chr2", 500_000), (2, "chr3", 9)}
+    assert {r.line for r in bam.header_lines_table(spark, written[0]).collect()} == {"@HD\tVN:1.6"}
+
+
+def test_writers_keep_others_files(spark, written, tmp_path):
+    """Overwriting removes finished files only, and only once the new ones are there."""
+    (tmp_path / "part-other.bam.12345678.tmp").write_bytes(b"x")
+    (tmp_path / "old.bam").write_bytes(b"x")
+    some = bam.read_bam(spark, written[0]).limit(5).drop("ref_name", "file", "voffset", "bin", "n_cigar_op", "l_seq")
+    bam.write_bam(some, str(tmp_path), references=[("chr1", 500_000), ("chr2", 500_000), ("chr3", 9)])
+    left = os.listdir(tmp_path)
+    assert "part-other.bam.12345678.tmp" in left and "old.bam" not in left and sum(x.endswith(".bam") for x in left) == 1
+    assert not [x for x in left if x.endswith(".tmp") and "other" not in x]
+
+
+def test_float_texts(spark):
+    """32-bit floats as printed with 12 digits, halves included."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = [0.0, -0.0, 0.1, 1e-4, 9.9999e-5, 1e12, 999999999999.0, 1e38, -1e-38, 1e-45, float("inf"), float("-inf"), float("nan"), 100000.0078125, 131071.9921875, 100000.0234375, 123456.7890625, 1e7, 1.5, 16777216.0, 3.4028235e38, 2e23]
+    values += [float(np.float32(x)) for x in rng.integers(0, 1 << 32, 3000, dtype=np.uint32).view(np.float32)]
+    values += [float(np.float32(k + j / 128)) for k in range(100_000, 100_040) for j in range(0, 128, 7)]
+    got = spark.createDataFrame([([float(v) for v in values],), (None,), ([],)], "f array<float>").select(R.float_texts(F.col("f"))).collect()
+    assert got[0][0] == [R.float_text(v) for v in values] and got[1][0] is None and got[2][0] == []
+
+
+def test_text_lines_run_no_python(spark):
+    from strandframe.plans import queries
+
+    plan = queries.to_sam(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_record_functions(spark):
     quals = spark.createDataFrame([([0, 1, 41], 3), (None, 2), ([], 0)], "q array<int>, n int").select(R.qual_text(F.col("q")), R.qual_list(F.col("q"), F.col("n"))).collect()
     assert [tuple(r) for r in quals] == [('!"J', [0, 1, 41]), ("*", [255, 255]), ("", [])]

@@ -76,7 +76,15 @@ def indels(pos: Column, cigar: Column, one_based: bool = True, semantics: str =
             F.when(x["op"] == 2, F.concat(acc["deletions"], here)).otherwise(acc["deletions"]).alias("deletions"),
         )
 
-    return F.aggregate(cigar, start, step, lambda acc: F.struct(acc["insertions"].alias("insertions"), acc["deletions"].alias("deletions")))
+    # the fold copies its lists, so reads without an event, most of them, skip it
+    found = F.aggregate(cigar, start, step, lambda acc: F.struct(acc["insertions"].alias("insertions"), acc["deletions"].alias("deletions")))
+    none = F.array().cast(event)
+    return F.when(F.exists(cigar, lambda x: x["op"].isin(1, 2)), found).when(cigar.isNotNull(), F.struct(none.alias("insertions"), none.alias("deletions")))
+
+
+def has_indel(text: Column) -> Column:
+    """Whether a CIGAR's text has an insertion or a deletion: a test before it is parsed."""
+    return F.contains(text, F.lit("I")) | F.contains(text, F.lit("D"))
 
 
 def indel_at(found: Column, position: Column, check_insertions: Column | bool = True, check_deletions: Column | bool = True) -> Column:

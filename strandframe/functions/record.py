@@ -3,13 +3,11 @@
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandframe.functions.cigar import render_cigar
-from strandframe.schema import AUX_TYPES, SEQ_ALPHABET
+from strandframe.schema import SEQ_ALPHABET
 
 REVERSE = 0x10
 
@@ -70,41 +68,59 @@ def float_text(x: float) -> str:
     return text if any(c in text for c in ".en") else text + ".0"
 
 
-def _aux_texts(semantics: str):
-    @F.pandas_udf(T.StringType())
-    def texts(items: pd.Series) -> pd.Series:
-        def one(a) -> str:
-            array = a["type"] == "B"
-            kind = a["sub_type"] if array else a["type"]
-            shown = AUX_TYPES[kind][1] if not array or semantics == "compat" else "B"
-            if a["s"] is not None:
-                values = [a["s"]]
-            else:
-                values = [float_text(x) for x in a["f"]] if a["f"] is not None else [str(x) for x in (a["i"] if a["i"] is not None else ())]
-            return f"{a['tag']}:{shown}:" + ",".join([kind, *values] if array and semantics != "compat" else values)
+def float_texts(values: Column) -> Column:
+    """``float_text`` of each element of an array, without Python.
 
-        return items.map(lambda v: None if v is None else "\t".join(one(a) for a in v if a["tag"] != "CG"))
+    Numbers of few digits are their own shortest text. Others are rounded by format_string, which
+    rounds halves up; where the 13th digit is an exact half and the 12th even, it is cut instead.
+    """
 
-    return texts
+    def number(x: Column) -> Column:
+        d = x.cast("double")
+        return F.struct(d.alias("d"), F.abs(d).alias("a"), d.cast("string").alias("plain"))
+
+    def rounded(x: Column) -> Column:
+        easy = (x["a"] == 0) | (x["a"] >= 1e-3) & (x["a"] < 1e7) & (F.length(x["plain"]) <= 13)
+        odd = F.isnan(x["a"]) | (x["a"] == float("inf"))
+        special = F.when(easy, x["plain"]).when(odd, F.when(F.isnan(x["a"]), F.lit("nan")).when(x["d"] < 0, F.lit("-inf")).otherwise(F.lit("inf")))
+        return F.struct(special.alias("done"), (x["d"] < 0).alias("minus"), x["a"].alias("a"), F.when(~easy & ~odd, F.format_string("%.12e", x["a"])).alias("wide"))
+
+    def digits(x: Column) -> Column:
+        half = (F.substring(x["wide"], 14, 1) == "5") & (x["wide"].cast("double") == x["a"]) & (F.substring(x["wide"], 13, 1).cast("int") % 2 == 0)
+        text = F.when(half, F.concat(F.substring(x["wide"], 1, 13), F.substring(x["wide"], 15, 9))).otherwise(F.format_string("%.11e", x["a"]))
+        return F.struct(x["done"], x["minus"], F.when(x["done"].isNull(), text).alias("text"))
+
+    def parts(x: Column) -> Column:
+        return F.struct(x["done"], x["minus"], F.rtrim(F.concat(F.substring(x["text"], 1, 1), F.substring(x["text"], 3, 11)), F.lit("0")).alias("m"), F.substring(x["text"], 15, 9).cast("int").alias("e"))
+
+    def shown(x: Column) -> Column:
+        m, e = x["m"], x["e"]
+        whole = F.rpad(F.substring(m, F.lit(1), e + 1), e + 1, F.lit("0"))
+        rest = F.substring(m, e + 2, F.lit(12))
+        plain = F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), m)).otherwise(F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest)))
+        power = F.concat(F.substring(m, 1, 1), F.when(F.length(m) > 1, F.concat(F.lit("."), F.substring(m, 2, 11))).otherwise(F.lit("")), F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(e) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(e).cast("string"))
+        text = F.when((e >= -4) & (e < 12), plain).otherwise(power)
+        return F.coalesce(x["done"], F.concat(F.when(x["minus"], F.lit("-")).otherwise(F.lit("")), text))
+
+    for step in (number, rounded, digits, parts, shown):
+        values = F.transform(values, step)
+    return values
 
 
 def sam_type(kind: Column) -> Column:
     return F.when(kind.isin("c", "C", "s", "S", "i", "I"), F.lit("i")).otherwise(kind)
 
 
-def sam_aux(aux: Column, floats: bool = True, semantics: str = "compat") -> Column:
+def sam_aux(aux: Column, semantics: str = "compat") -> Column:
     """``TAG:type:value`` joined by tabs, arrays by commas, without CG. In compat the type of an
-    array is that of its elements; in spec it is B and the values follow their sub-type.
-    floats: False if no tag holds any, so that no Python runs; a float's text is made in Python."""
-    if floats:
-        return _aux_texts(semantics)(aux)
+    array is that of its elements; in spec it is B and the values follow their sub-type."""
 
     def one(a: Column) -> Column:
         array = a["type"] == "B"
-        value = F.coalesce(a["s"], F.array_join(F.transform(a["i"], lambda x: x.cast("string")), ","), F.lit(""))
+        numbers = F.coalesce(F.array_join(F.transform(a["i"], lambda x: x.cast("string")), ","), F.array_join(float_texts(a["f"]), ","), F.lit(""))
         kind = F.when(array, sam_type(a["sub_type"]) if semantics == "compat" else F.lit("B")).otherwise(sam_type(a["type"]))
-        lead = F.when(array, F.concat(a["sub_type"], F.lit(","))).otherwise(F.lit("")) if semantics != "compat" else F.lit("")
-        return F.concat(a["tag"], F.lit(":"), kind, F.lit(":"), lead, value)
+        lead = F.lit("") if semantics == "compat" else F.when(array & (F.coalesce(F.size(a["i"]), F.size(a["f"]), F.lit(0)) > 0), F.concat(a["sub_type"], F.lit(","))).when(array, a["sub_type"]).otherwise(F.lit(""))
+        return F.concat(a["tag"], F.lit(":"), kind, F.lit(":"), lead, F.coalesce(a["s"], numbers))
 
     return F.array_join(F.transform(F.filter(aux, lambda a: a["tag"] != "CG"), one), "\t")
 

@@ -8,17 +8,41 @@ from pyspark.sql import functions as F
 from strandframe.functions import cigar as C
 
 OPS = "MIDNSHP=X"
-#: (1-based position, CIGAR, insertions, deletions). Fixed values.
+#: (1-based position, CIGAR, insertions, deletions) of 26 reads. Fixed values.
 KNOWN = [
     (1, "251M", [], []),
     (1, "3S248M", [], []),
     (1, "199M1D2M2I8M2D2M38S", [(202, 2)], [(199, 1), (210, 2)]),
+    (1, "52S199M", [], []),
+    (1, "10S156M85S", [], []),
     (2, "4M2I245M", [(5, 2)], []),
+    (31, "251M", [], []),
+    (111, "205M46S", [], []),
     (199, "112M1I138M", [(310, 1)], []),
     (554, "38S3M3I207M", [(556, 3)], []),
     (1785, "116M1D135M", [], [(1900, 1)]),
     (2526, "11S3M1D237M", [], [(2528, 1)]),
+    (2883, "224M1D26M1S", [], [(3106, 1)]),
+    (2941, "166M1D85M", [], [(3106, 1)]),
+    (4099, "171M1I11M68S", [(4269, 1)], []),
+    (5975, "10S5M1I1M1I233M", [(5979, 1), (5980, 1)], []),
+    (6109, "66S2M1D9M1I173M", [(6120, 1)], [(6110, 1)]),
+    (6800, "3S7M1D1M1D240M", [], [(6806, 1), (6808, 1)]),
+    (7603, "12S2M1I1M2D235M", [(7604, 1)], [(7605, 2)]),
+    (9931, "242M1I3M2D2M3S", [(10172, 1)], [(10175, 2)]),
+    (10517, "32S6M1D4M1D2M1D207M", [], [(10522, 1), (10527, 1), (10530, 1)]),
+    (11127, "222M3I6M2I5M13S", [(11348, 3), (11354, 2)], []),
+    (13388, "218M2I9M1I1M2D11M9S", [(13605, 2), (13614, 1)], [(13615, 2)]),
+    (14640, "241M2I3M2D5M", [(14880, 2)], [(14883, 2)]),
+    (16365, "205M39I4M2I1M", [(16569, 39), (16573, 2)], []),
+    (16390, "179M62I2M2D2M6S", [(16568, 62)], [(16570, 2)]),
 ]
+#: Query positions (1-based, what to look for). Fixed values.
+ASKED = [(200, "D"), (202, "I"), (211, "ID"), (212, "D"), (1901, "D"), (6111, "D"), (6809, "D"), (7606, "D"), (13605, "I"), (14885, "D")]
+#: (number of the read above, query position): the pairs that are true. Fixed values.
+FOUND = {(2, 200), (2, 202), (2, 211), (2, 212), (10, 1901), (16, 6111), (17, 6809), (18, 7606), (22, 13605), (23, 14885)}
+#: How many query positions each read covers, by its ends. Fixed values.
+COVERED = [4, 4, 4, 1, 0, 4, 4, 4, 4, 0, 1, 0, 0, 0, 0, 1, 1, 1, 1, 0, 0, 0, 1, 1, 0, 0]
 
 
 def parse(text):
@@ -49,6 +73,16 @@ def test_known_indels(spark):
     assert [([tuple(x) for x in r.e.insertions], [tuple(x) for x in r.e.deletions]) for r in df.collect()] == [(i, d) for *_, i, d in KNOWN]
 
 
+def test_known_positions(spark):
+    """Each read against the positions that it covers, both ends included."""
+    reads = spark.createDataFrame([(i, p - 1, c) for i, (p, c, *_) in enumerate(KNOWN)], "i int, pos int, cigar string").withColumn("ops", C.parse_cigar(F.col("cigar")))
+    asked = spark.createDataFrame(ASKED, "p int, kind string")
+    both = reads.crossJoin(asked).filter((F.col("pos") + 1 <= F.col("p")) & (F.col("p") <= C.end_position(F.col("pos"), F.col("ops"))))
+    got = both.select("i", "p", C.indel_at(C.indels(F.col("pos"), F.col("ops")), F.col("p"), F.contains("kind", F.lit("I")), F.contains("kind", F.lit("D"))).alias("hit")).collect()
+    assert {(r.i, r.p) for r in got if r.hit} == FOUND
+    assert [sum(r.i == i for r in got) for i in range(len(KNOWN))] == COVERED
+
+
 @pytest.mark.parametrize("semantics", ["compat", "spec"])
 def test_random_cigars(spark, semantics):
     import random

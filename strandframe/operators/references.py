@@ -5,13 +5,15 @@ from pyspark.sql import functions as F
 
 from strandframe.functions.record import mate_name, reference_name
 
-#: Reference lists of up to so many entries are sent to every task.
-SMALL = 200_000
+#: Bytes that a reference list may have to be sent to every task: the sum of its texts and 16 a cell.
+SMALL = 64 << 20
 
 
 def small(references: DataFrame) -> DataFrame:
-    """With a broadcast hint if the list has at most SMALL entries; else the join shuffles."""
-    return F.broadcast(references) if references.limit(SMALL + 1).count() <= SMALL else references
+    """With a broadcast hint if the list's measured size is at most SMALL; else the join shuffles."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in references.schema if f.dataType.typeName() in ("string", "binary")]
+    size = references.agg(F.sum(sum(texts, F.lit(16 * len(references.columns)).cast("long")))).first()[0]
+    return F.broadcast(references) if (size or 0) <= SMALL else references
 
 
 def with_reference(records: DataFrame, references: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Overlap joins, region filters and region order."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandframe.operators.references import small
+from strandframe.shared import cols, ranked, stash, unused
+
 BIN_SHIFT = 14
 
 
@@ -37,43 +39,54 @@ def in_region(ref_id: int, beg: int, end: int) -> Column:
     return (F.col("ref_id") == ref_id) & (F.col("pos") < end) & (F.col("end0") > beg)
 
 
+#: Bits of a step of ``least_beyond``, and steps for 31 bits of position.
+STEP, STEPS = 7, 5
+
+
+def least_beyond(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, least): for each asked (id, grp, x) the least ``value`` of points (grp, x, value) with a
+    larger x in the same group; absent without one. x: from 0 to 2^31 - 1.
+
+    Positions are leaves of a tree of 2^STEP branches. What lies beyond x is the later branches of
+    each of its ancestors, so an asked row meets fewer than 2^STEP points per step, in an equi-join
+    by ancestor; the points are first reduced to their least value per branch. No group is sorted
+    or gathered, and a chain of records of any depth counts as one point.
+    """
+    leaves = points.groupBy("grp", F.col("x").cast("long").alias("x")).agg(F.min("value").alias("value"))
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), F.shiftright(F.col("x").cast("long"), STEP * k).alias("branch")) for k in range(STEPS)])).alias("s")
+    branches = leaves.select("grp", "value", steps).groupBy("grp", "s.step", "s.branch").agg(F.min("value").alias("value"))
+    branches = branches.withColumn("parent", F.shiftright("branch", STEP))
+    wanted = asked.select("id", "grp", steps).select("id", "grp", "s.step", F.col("s.branch").alias("own"), F.shiftright("s.branch", STEP).alias("parent"))
+    return wanted.join(branches, ["grp", "step", "parent"]).filter("branch > own").groupBy("id").agg(F.min("value").alias("least"))
+
+
 def jump_first(records: DataFrame, regions: DataFrame, order: str = "voffset") -> DataFrame:
     """For each region (region_id, ref_id, start): the first record in file order on that reference
     that ends after ``start``, or else the first one of a later reference; regions without either
     are absent.
 
     records: ref_id, pos, end0, ``order`` and any other columns, sorted by (ref_id, pos) in file
-    order. The record on the same reference comes of a range condition by bins of start; the later
-    one is the first record of the next reference that has any.
+    order; a value of ``order`` names one record.
     """
     own = records.withColumnRenamed(order, "__o")
-    firsts = own.filter("ref_id >= 0").groupBy("ref_id").agg(F.min("__o").alias("first_o")).withColumnRenamed("ref_id", "later_ref")
-    # a record serves the starts that no earlier record of its reference serves: those from the
-    # largest end so far to its own end
-    before = F.max("end0").over(W.partitionBy("ref_id").orderBy("__o").rowsBetween(W.unboundedPreceding, -1))
-    serving = own.withColumn("from", F.coalesce(before, F.lit(0))).filter("end0 > from").select("ref_id", F.col("from").alias("beg"), F.col("end0").alias("end"), F.col("__o").alias("hit"))
-    asked = regions.select("region_id", "ref_id", F.col("start").alias("s"), (F.col("start") + 1).alias("s_end"))
-    same = overlap_join(asked, serving, left_range=("s", "s_end"), right_range=("beg", "end")).groupBy("region_id").agg(F.min("hit").alias("same"))
-    # of later references the nearest: references are few, and sorted once
-    nearest = firsts.agg(F.sort_array(F.collect_list(F.struct("later_ref", "first_o"))).alias("list"))
-    later = regions.join(F.broadcast(nearest)).select("region_id", F.get(F.filter("list", lambda x: x["later_ref"] > F.col("ref_id")), F.lit(0))["first_o"].alias("later"))
-    found = later.join(same, "region_id", "left").select("region_id", F.coalesce("same", "later").alias("__o")).filter("__o is not null")
-    return found.join(own, "__o").withColumnRenamed("__o", order)
+    ends = own.filter("ref_id >= 0 and end0 > 0").select(F.col("ref_id").alias("grp"), F.col("end0").alias("x"), F.col("__o").alias("value"))
+    same = least_beyond(ends, regions.select(F.col("region_id").alias("id"), F.col("ref_id").alias("grp"), F.greatest("start", F.lit(0)).alias("x")))
+    # the least record of all later references
+    firsts = own.filter("ref_id >= 0").select(F.lit(0).alias("grp"), F.col("ref_id").alias("x"), F.col("__o").alias("value"))
+    later = least_beyond(firsts, regions.select("ref_id").distinct().select(F.col("ref_id").alias("id"), F.lit(0).alias("grp"), F.col("ref_id").alias("x")))
+    later = small(stash(later, "later"))
+    found = regions.select("region_id", "ref_id").join(same.withColumnRenamed("id", "region_id"), "region_id", "left").join(later.select(F.col("id").alias("ref_id"), F.col("least").alias("later")), "ref_id", "left")
+    hits = found.select("region_id", F.coalesce("least", "later").alias("__o")).filter("__o is not null")
+    return hits.join(own, "__o").withColumnRenamed("__o", order)
 
 
 def sort_regions(regions: DataFrame, names: DataFrame) -> DataFrame:
     """Regions (name, ...) in the order of the sequences (name, fai_idx), then by their own columns;
     regions of unknown names drop out. Adds ``position`` (from 0); without names all stay, sorted.
-
-    The rank is computed per sequence, with offsets from the sequences' sizes, so that no task sorts
-    more than one sequence's regions.
-    """
+    Tasks sort ranges of the order, whatever the sequences' sizes."""
     own = [c for c in regions.columns if c != "name"]
     if names.isEmpty():
-        placed = regions.withColumn("fai_idx", F.dense_rank().over(W.orderBy("name")))
-    else:
-        placed = regions.join(names.select("name", "fai_idx"), "name")
-    sizes = placed.groupBy("fai_idx").agg(F.count("*").alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(W.orderBy("fai_idx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(W.partitionBy("fai_idx").orderBy("name", *own)) - 1
-    return placed.withColumn("r", rank).join(starts, "fai_idx").select("name", *own, (F.col("start") + F.col("r")).alias("position"))
+        return ranked(regions, cols(["name", *own]), "position").select("name", *cols(own), "position")
+    (rank,) = unused(regions, "__fai_idx")
+    placed = regions.join(small(names.select("name", F.col("fai_idx").alias(rank))), "name")
+    return ranked(placed, cols([rank, "name", *own]), "position").select("name", *cols(own), "position")

@@ -7,31 +7,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandframe.schema import DEFAULT_SEQUENCE_LENGTH
+from strandframe.shared import meet, stash
 
 
 def build_fai(lines: DataFrame) -> DataFrame:
     """(name, len, line_blen, line_len) of body lines (name, line_no, bases, line_len): one entry per
-    sequence; all lines but the last must have the first one's length, else an error is raised."""
-    size = F.length("bases")
-    ends = W.partitionBy("name")
-    n_last = F.max("line_no").over(ends)
-    first = F.min_by(F.struct(size.alias("b"), F.col("line_len").alias("l")), "line_no").over(ends)
-    checked = lines.withColumn("b", size).withColumn("first", first).withColumn("bad", ((F.col("b") != first["b"]) | (F.col("line_len") != first["l"])) & (F.col("line_no") < n_last))
-    fai = checked.groupBy("name").agg(F.sum("b").alias("len"), F.first("first").alias("first"), F.max("bad").alias("bad"))
-    ok = F.when(F.col("bad"), F.raise_error(F.concat(F.lit("lines of unequal length in "), "name")).cast("long")).otherwise(F.col("len"))
-    return fai.select("name", ok.alias("len"), F.col("first.b").alias("line_blen"), F.col("first.l").alias("line_len"))
+    sequence; all lines but the last must have the first one's length, else an error is raised.
+
+    Lines are counted by their lengths, which combines in the tasks that read them; a sequence is
+    good if all are of one length, or the last one alone is of another.
+    """
+    kinds = lines.groupBy("name", F.length("bases").alias("b"), F.col("line_len").alias("l")).agg(F.count("*").alias("n"), F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
+    one = kinds.groupBy("name").agg(F.sum(F.col("b").cast("long") * F.col("n")).alias("len"), F.min_by(F.struct("b", "l"), "lo").alias("first"), F.max_by("n", "hi").alias("last"), F.count("*").alias("kinds"))
+    good = (F.col("kinds") == 1) | (F.col("kinds") == 2) & (F.col("last") == 1)
+    ok = F.when(~good, F.raise_error(F.concat(F.lit("lines of unequal length in "), "name")).cast("long")).otherwise(F.col("len"))
+    return one.select("name", ok.alias("len"), F.col("first.b").alias("line_blen"), F.col("first.l").alias("line_len"))
+
+
+#: Lines of a FASTA file that are looked through together for their header.
+LINES = 1 << 12
 
 
 def body_lines(text: DataFrame) -> DataFrame:
     """(name, line_no, bases, line_len) of FASTA lines (line_no, line, line_len) of one file. The name
     is the header's first word; a blank line ends a sequence. Text outside a sequence raises.
 
-    The running header is found by a window over the file's lines; the ``fasta`` source does the
-    same as a scan, without a sort."""
+    The running header is found within runs of LINES lines, and goes from run to run by a window
+    over one row a run.
+    """
     head = F.startswith("line", F.lit(">"))
     blank = F.trim("line") == ""
     state = F.when(head, F.regexp_extract("line", r"^>(\S*)", 1)).when(blank, F.lit("\0"))
-    named = text.withColumn("name", F.last(state, ignorenulls=True).over(W.orderBy("line_no"))).filter(~head & ~blank)
+    stated = text.withColumn("state", state).withColumn("run", F.floor(F.col("line_no") / LINES))
+    last = stated.groupBy("run").agg(F.max_by("state", F.when(F.col("state").isNotNull(), F.col("line_no"))).alias("last"))
+    before = last.select("run", F.last("last", ignorenulls=True).over(W.orderBy("run").rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    own = F.last("state", ignorenulls=True).over(W.partitionBy("run").orderBy("line_no"))
+    named = stated.withColumn("own", own).filter(~head & ~blank).join(before, "run").withColumn("name", F.coalesce("own", "before"))
     stray = F.when(F.coalesce(F.col("name"), F.lit("\0")) == "\0", F.raise_error(F.concat(F.lit("text outside a sequence at line "), F.col("line_no").cast("string"))).cast("string")).otherwise(F.col("name"))
     return named.select(stray.alias("name"), "line_no", F.trim("line").alias("bases"), "line_len")
 
@@ -50,10 +61,10 @@ def chunks(lines: DataFrame, size: int = 1 << 14) -> DataFrame:
     """(name, chunk, bases): a sequence's lines (name, line_no, bases) regrouped into chunks of
     ``size`` bases. Lines must be of one length but for the last. Sites of any sequence, however
     long, then meet one or two chunks of it."""
-    width = F.max(F.length("bases")).over(W.partitionBy("name"))
-    first = F.min("line_no").over(W.partitionBy("name"))
+    shape = lines.groupBy("name").agg(F.max(F.length("bases")).alias("w"), F.min("line_no").alias("first"), F.count("*").alias("n"))
+    spread = meet(lines.select("name", "line_no", "bases"), stash(shape, "shape"), ["name"], "n", spread=F.col("line_no"))
     per = F.greatest(F.lit(1), F.floor(F.lit(size) / F.col("w")))
-    put = lines.withColumn("w", width).withColumn("k", F.col("line_no") - first).withColumn("chunk", F.floor(F.col("k") / per))
+    put = spread.withColumn("k", F.col("line_no") - F.col("first")).withColumn("chunk", F.floor(F.col("k") / per))
     rows = put.groupBy("name", "chunk").agg(F.first(per * F.col("w")).alias("chunk_size"), F.sort_array(F.collect_list(F.struct("k", "bases"))).alias("rows"))
     return rows.select("name", "chunk", "chunk_size", F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["bases"]), ""), r"\s", "").alias("bases"))
 

@@ -48,6 +48,29 @@ def test_jump(spark):
     assert got == want
 
 
+def test_no_window_by_reference(spark):
+    """A reference, however long, is sorted in no task: neither for jumps nor for chunks, orders, indexes."""
+    recs = spark.createDataFrame([(0, 1, 5, 1)], "ref_id int, pos int, end0 int, voffset long")
+    lines = spark.createDataFrame([("s", 0, "ACGT", 5)], "name string, line_no int, bases string, line_len int")
+    regions = spark.createDataFrame([("s", 0, 1)], "name string, beg int, fin int")
+    names = spark.createDataFrame([("s", 0)], "name string, fai_idx int")
+    for df in (G.jump_first(recs, spark.createDataFrame([(0, 0, 0)], "region_id int, ref_id int, start int")), G.sort_regions(regions, names), S.build_fai(lines), S.chunks(lines)):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_sequence_in_chunks(spark):
+    """Many lines of one sequence, with nothing broadcast: the join with its shape loads no single task."""
+    lines = spark.range(20_000).select(F.when(F.col("id") < 19_000, "long").otherwise(F.concat(F.lit("s"), F.col("id") % 97)).alias("name"), F.col("id").cast("int").alias("line_no"), F.lit("ACGTACGTAC").alias("bases"))
+    lines = lines.filter("name = 'long' or line_no >= 19000").repartition(8)
+    got = S.chunks(lines, 1000)
+    assert got.filter("name = 'long'").count() == 190 and got.agg(F.sum(F.length("bases"))).first()[0] == 200_000
+
+
+def test_idxstats(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 4), (0, 16), (1, 5), (-1, 4), (-1, 77)], "ref_id int, flag int")
+    assert sorted(map(tuple, N.idxstats(rows).collect())) == [(-1, 0, 2), (0, 2, 1), (1, 0, 1)]
+
+
 def test_sort_and_fix_regions(spark):
     names = spark.createDataFrame([("b", 0), ("a", 1)], "name string, fai_idx int")
     rows = [("a", 5, 9), ("b", 7, 8), ("b", 2, 3), ("z", 0, 1), ("a", 5, 6)]
@@ -109,6 +132,9 @@ def test_sequences(spark):
 def test_body_lines(spark):
     text = [(0, ">a x", 5), (1, "ACGT", 5), (2, "AC", 3), (3, "", 1), (4, ">b", 3), (5, "TT", 3)]
     got = S.body_lines(spark.createDataFrame(text, "line_no int, line string, line_len int")).collect()
-    assert [tuple(r) for r in got] == [("a", 1, "ACGT", 5), ("a", 2, "AC", 3), ("b", 5, "TT", 3)]
+    assert sorted(map(tuple, got)) == [("a", 1, "ACGT", 5), ("a", 2, "AC", 3), ("b", 5, "TT", 3)]
+    many = [(k, f">s{k // 3000}" if k % 3000 == 0 else "ACGT", 5) for k in range(12_000)]  # sequences longer than a run
+    long = S.body_lines(spark.createDataFrame(many, "line_no int, line string, line_len int")).groupBy("name").count().collect()
+    assert {r.name: r["count"] for r in long} == {f"s{k}": 2999 for k in range(4)}
     with pytest.raises(Exception, match="outside a sequence"):
         S.body_lines(spark.createDataFrame([*text[:4], (4, "AA", 3)], "line_no int, line string, line_len int")).collect()

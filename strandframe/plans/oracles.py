@@ -8,6 +8,9 @@ REGIONS = f"regions as ({V.duck(V.REGIONS)})"
 HEADER = f"h as (select row_number() over (order by grp, k) - 1 rec_idx, * from ({V.duck(V.HEADER)}))"
 FASTA = f"fa as ({V.duck(V.FASTA)})"
 CORE = f"core as ({V.duck(V.CORE)})"
+#: A sequence's text: the header ">name made" and its lines, each with a newline.
+FAI = """one as (select name, sum(len(bases))::bigint len, min_by(len(bases), line_no)::int line_blen, (min_by(len(bases), line_no) + 1)::int line_len, md5(string_agg(bases, '' order by line_no)) digest, (len(name) + 7 + sum(len(bases) + 1))::bigint size from fa group by name),
+fai as (select *, (coalesce(sum(size) over (order by name rows between unbounded preceding and 1 preceding), 0) + len(name) + 7)::bigint as start from one)"""
 OPS = """o as (select rn, k, right(op, 1) l, left(op, len(op) - 1)::int n from (select rn, generate_subscripts(p, 1) k, unnest(p) op from (select rn, regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]') p from a))),
 run as (select *, coalesce(sum(case when l in ('M', 'D', 'N', 'H', '=', 'X') then n else 0 end) over (partition by rn order by k rows between unbounded preceding and 1 preceding), 0) off from o),
 spans as (select rn, sum(case when l in ('M', 'D', 'N', 'H', '=', 'X') then n else 0 end) span, sum(case when l in ('M', 'D', 'N', '=', 'X') then n else 0 end) spec_span from o group by rn),
@@ -18,8 +21,9 @@ QUALS = "list_transform(generate_series(0, l_seq - 1), lambda k: ((first_qual +
 QTEXT = f"case when no_qual then '*' else array_to_string(list_transform({QUALS}, lambda q: chr(q + 33)), '') end"
 FLOAT = "case nm % 4 when 0 then (nm // 4)::varchar || '.0' when 1 then (nm // 4)::varchar || '.25' when 2 then (nm // 4)::varchar || '.5' else (nm // 4)::varchar || '.75' end"
 T = "chr(9)"
-AUX = f"case when l_partkey % 7 = 0 then 'NM:i:' || nm else 'NM:i:' || nm || {T} || 'XB:i:' || nm || ',' || t_len || {T} || 'RG:Z:' || read_group || {T} || 'XF:f:' || {FLOAT} end"
-NO_FLOAT = f"case when l_partkey % 7 = 0 then 'NM:i:' || nm else 'NM:i:' || nm || {T} || 'XB:i:' || nm || ',' || t_len || {T} || 'RG:Z:' || read_group || {T} || 'XF:f:' end"
+#: t_len / 8 = (nm * 37 - 100) / 8 with its shortest decimals; 0.1 and -2.5e-7 are those of 32-bit floats.
+EIGHTH = "(case when t_len % 8 = 0 then (t_len // 8)::varchar || '.0' else (t_len / 8.0)::double::varchar end)"
+AUX = f"case when l_partkey % 7 = 0 then 'NM:i:' || nm else 'NM:i:' || nm || {T} || 'XB:i:' || nm || ',' || t_len || {T} || 'RG:Z:' || read_group || {T} || 'XF:f:' || {FLOAT} || {T} || 'XA:A:' || read_group || {T} || 'XH:H:' || upper(hex(l_partkey)) || {T} || 'BF:f:' || {EIGHTH} || ',0.10000000149,-2.49999999369e-07' end"
 
 
 def bin_case(beg: str, last: str) -> str:
@@ -31,7 +35,7 @@ ORACLES = {
     "indels_by_reference": f"with {A}, {REFS}, {OPS} select name ref_name, kind, count(*) n_events, sum(n)::bigint total_len, sum(epos)::bigint sum_pos from ev join refs using (ref_id) group by all",
     "indel_lists": f"with {A}, {OPS}, t as (select rn, coalesce(string_agg(case when kind = 'I' then epos || ':' || n end, ',' order by k), '') i, coalesce(string_agg(case when kind = 'D' then epos || ':' || n end, ',' order by k), '') d from ev group by rn) select read_name, coalesce(i, '') insertions, coalesce(d, '') deletions from a left join t using (rn)",
     "core_unpack": f"with {CORE} select read_name, (bin_mq_nl >> 16)::int bin, ((bin_mq_nl >> 8) & 255)::int mapq, (bin_mq_nl & 255)::int l_read_name, (flag_nc >> 16)::int flag, (flag_nc & 65535)::int n_cigar_op from core",
-    "pack_ints": f"with {A}, v as (select read_name, l_orderkey * 7919 + l_partkey - 90000 v from a) select read_name, v i64, "
+    "pack_ints": f"with {A}, v as (select read_name, l_orderkey * 7919 + l_partkey - 90000 v from a) select read_name, v i64, case when v < 0 then (v::hugeint + 18446744073709551616)::varchar else v::varchar end u64, "
     + ", ".join(f"((v % {2**b}) + {2**b}) % {2**b} u{b}, (((v % {2**b}) + {2**b}) % {2**b} + {2 ** (b - 1)}) % {2**b} - {2 ** (b - 1)} i{b}" for b in (8, 16, 32))
     + " from v",
     "flag_reverse": f"with {A} select read_name, flag & 16 <> 0 is_reverse, flag & 1 <> 0 is_paired from a",
@@ -77,10 +81,16 @@ ORACLES = {
     "voffset_split": f"with {CORE} select read_name, bin_mq_nl >> 16 coffset, (bin_mq_nl & 65535)::int uoffset, bin_mq_nl voffset from core",
     "linear_index": f"""with {A}, {OPS}, w as (select placed_ref_id ref_id, pos, unnest(generate_series(pos >> 14, (greatest(pos + spec_span, pos + 1) - 1)::int >> 14)) w from a join spans using (rn) where placed_ref_id >= 0)
       select ref_id, w::int as window, min(pos) first_pos from w group by all""",
-    "bai_stats": f"with {A} select placed_ref_id ref_id, count(*) filter (flag & 4 = 0) n_mapped, count(*) filter (flag & 4 <> 0) n_unmapped from a where placed_ref_id >= 0 group by all",
-    "bam_roundtrip": f"""with {A}, {OPS}, {REFS} select read_name, flag, placed_ref_id ref_id, name ref_name, pos, mapq, {bin_case('pos', 'greatest(pos + spec_span, pos + 1)::int - 1')} bin, cigar, next_ref_id, next_pos, t_len, l_seq, {SEQ} seq, case when not no_qual then array_to_string({QUALS}, ',') end quals, {NO_FLOAT} aux
+    "bai_stats": f"with {A}, {REFS} select r.ref_id, count(*) filter (flag & 4 = 0) n_mapped, count(*) filter (flag & 4 <> 0) n_unmapped from refs r left join a on placed_ref_id = r.ref_id group by all union all select -1, 0, count(*) from a where placed_ref_id < 0",
+    "bam_roundtrip": f"""with {A}, {OPS}, {REFS} select read_name, flag, placed_ref_id ref_id, name ref_name, pos, mapq, {bin_case('pos', 'greatest(pos + spec_span, pos + 1)::int - 1')} bin, cigar, next_ref_id, next_pos, t_len, l_seq, {SEQ} seq, case when not no_qual then array_to_string({QUALS}, ',') end quals, {AUX} aux
       from a join spans using (rn) left join refs on refs.ref_id = placed_ref_id""",
     "bam_region_scan": f"with {A}, {OPS} select read_name, 'NATION_3' ref_name, pos from a join spans using (rn) where placed_ref_id = 3 and pos < 300000 and pos + greatest(spec_span, 1) > 100000",
     "bgzf_roundtrip": f"with {A} select read_name from a",
-    "fasta_source": f"with {FASTA} select name, sum(len(bases))::bigint len, min_by(len(bases), line_no)::int line_blen, (min_by(len(bases), line_no) + 1)::int line_len from fa group by name",
+    "fasta_source": f"with {FASTA}, {FAI} select (row_number() over (order by name) - 1)::int fai_idx, name, len, start as offset, line_blen, line_len from fai",
+    "fai_source": f"with {FASTA}, {FAI} select (row_number() over (order by name) - 1)::int fai_idx, name, len, start as offset, digest from fai",
+    "idxstats": f"with {A} select placed_ref_id ref_id, count(*) filter (flag & 4 = 0) n_mapped, count(*) filter (flag & 4 <> 0) n_unmapped from a group by all",
+    "file_references": f"with {REFS} select ref_id, name, length from refs",
+    "file_header": "",
+    "file_order": f"with {A} select read_name, placed_ref_id ref_id, row_number() over (partition by placed_ref_id order by pos, read_name)::int place from a where placed_ref_id >= 0",
 }
+ORACLES["file_header"] = ORACLES["header_dict"]

@@ -13,7 +13,7 @@ from strandframe.operators import references as N
 from strandframe.operators import regions as G
 from strandframe.operators import sequences as S
 from strandframe.plans import views as V
-from strandframe.plans.roundtrip import bam_region_scan, bam_roundtrip, bgzf_roundtrip, fasta_source, linear_index, bai_stats, sam_lines
+from strandframe.plans.roundtrip import bai_stats, bam_region_scan, bam_roundtrip, bgzf_roundtrip, fai_source, fasta_source, file_header, file_order, file_references, linear_index, sam_lines
 
 LONG = "bigint"
 
@@ -32,7 +32,7 @@ def refs(spark: SparkSession, d: str) -> DataFrame:
 
 def indels_by_reference(spark, d):
     """Insertions and deletions per reference: the flagship."""
-    found = ops(spark, d).select("ref_id", C.indels(F.col("pos"), F.col("ops")).alias("e"))
+    found = reads(spark, d).filter(C.has_indel(F.col("cigar"))).select("ref_id", C.indels(F.col("pos"), C.parse_cigar(F.col("cigar"))).alias("e"))
     kind = lambda name, k: F.transform(F.col("e")[name], lambda x: F.struct(F.lit(k).alias("kind"), x["pos"].alias("pos"), x["len"].alias("len")))
     events = found.select("ref_id", F.explode(F.concat(kind("insertions", "I"), kind("deletions", "D"))).alias("x"))
     # summed per id before the names are looked up
@@ -54,8 +54,8 @@ def pack_ints(spark, d):
     """Integers of all widths through their little-endian bytes and back."""
     value = F.col("l_orderkey") * 7919 + F.col("l_partkey") - 90_000
     base = reads(spark, d).select("read_name", value.alias("v"))
-    cols = [R.unpack_int(R.pack_int(F.col("v"), w), 0, w, signed).cast("long").alias(f"{'i' if signed else 'u'}{8 * w}") for w in (1, 2, 4, 8) for signed in (True, False) if (w, signed) != (8, False)]
-    return base.select("read_name", *cols)
+    cols = [R.unpack_int(R.pack_int(F.col("v"), w), 0, w, signed).alias(f"{'i' if signed else 'u'}{8 * w}") for w in (1, 2, 4, 8) for signed in (True, False)]
+    return base.select("read_name", *cols).withColumn("u64", F.col("u64").cast("string"))
 
 
 def flag_reverse(spark, d):
@@ -140,7 +140,10 @@ def with_aux(df: DataFrame) -> DataFrame:
     cg = tag("CG", "B", sub_type=F.lit("I"), i=F.array(F.lit(16).cast("long")))
     rg = tag("RG", "Z", s=F.col("read_group"))
     xf = tag("XF", "f", f=F.array((F.col("nm") / 4).cast("float")))
-    return df.withColumn("aux", F.when(F.col("l_partkey") % 7 == 0, F.array(nm, cg)).otherwise(F.array(nm, xb, cg, rg, xf)))
+    xa = tag("XA", "A", s=F.col("read_group"))
+    xh = tag("XH", "H", s=F.hex(F.col("l_partkey")))
+    bf = tag("BF", "B", sub_type=F.lit("f"), f=F.array((F.col("t_len") / 8).cast("float"), F.lit(0.1).cast("float"), F.lit(-2.5e-7).cast("float")))
+    return df.withColumn("aux", F.when(F.col("l_partkey") % 7 == 0, F.array(nm, cg)).otherwise(F.array(nm, xb, cg, rg, xf, xa, xh, bf)))
 
 
 def read_group(spark, d):
@@ -156,6 +159,10 @@ def to_sam(spark, d):
     return sam_lines(N.with_mate(N.with_reference(with_aux(with_qual(placed(spark, d))).withColumn("ops", C.parse_cigar(F.col("cigar"))).withColumn("seq", R.decode_seq(F.unhex(F.md5(F.col("read_name").cast("binary"))), F.col("l_seq"))), refs(spark, d)), refs(spark, d)))
 
 
+def idxstats(spark, d):
+    return N.idxstats(placed(spark, d))
+
+
 def records(spark, d):
     return H.header_records(H.numbered(V.view(spark, d, V.HEADER), "grp", "k"))
 
@@ -256,4 +263,5 @@ QUERIES = {f.__name__: f for f in (
     indels_by_reference, indel_lists, core_unpack, pack_ints, flag_reverse, ref_lookup, ref_ids, rnext_name, positions, end_position, indel_at, sam_cigar, long_cigar,
     seq_decode, qual_text, qual_list, read_group, sam_aux, to_sam, header_dict, read_groups, header_text, reg2bin, reg2bins, fixed_regions, region_overlap, region_reads,
     jump_first, sort_regions, fai_build, fasta_size, fasta_slice, fai_offset, voffset_split, linear_index, bai_stats, bam_roundtrip, bam_region_scan, bgzf_roundtrip, fasta_source,
+    idxstats, file_references, file_header, file_order, fai_source,
 )}

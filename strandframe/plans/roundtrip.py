@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandframe.functions import bins as B
 from strandframe.functions import cigar as C
 from strandframe.functions import record as R
+from strandframe.operators import header as H
 from strandframe.plans import views as V
+from strandframe.shared import scratch_path
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir, or where that is unset (one
-    machine) under the temporary folder."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    top = "/" + top[5:].lstrip("/") if top.startswith("file:") else top
-    return os.path.join(top, f"strandframe-{name}-{uuid.uuid4().hex[:12]}")
+    """A new folder in the session's shared one, as a mounted path."""
+    from strandframe.sources.bam import local
+
+    return local(scratch_path(spark, name))
 
 
 def sam_lines(rows: DataFrame) -> DataFrame:
@@ -44,7 +43,11 @@ def _written(spark: SparkSession, d: str) -> str:
     path = folder(spark, "bam")
     references = [(r["name"], r["length"]) for r in V.view(spark, d, V.REFERENCES).orderBy("ref_id").collect()]
     key = F.when(F.col("ref_id") < 0, F.lit(1 << 30)).otherwise(F.col("ref_id"))
-    write_bam(_rows(spark, d).repartitionByRange(4, key, "pos").sortWithinPartitions(key, "pos", "read_name"), path, header="@HD\tVN:1.6\tSO:coordinate", references=references)
+    header = "\n".join(r["line"] for r in V.view(spark, d, V.HEADER).orderBy("grp", "k").collect())
+    rows = _rows(spark, d)
+    # the ranges are the session's shuffle partitions, so their number follows the cluster
+    dealt = rows.repartitionByRange(key, "pos", "read_name").sortWithinPartitions(key, "pos", "read_name")
+    write_bam(dealt, path, header=header, references=references)
     return path
 
 
@@ -53,7 +56,7 @@ def bam_roundtrip(spark, d):
 
     back = read_bam(spark, _written(spark, d))
     quals = F.array_join(R.qual_array(F.col("qual"), F.col("l_seq")).cast("array<string>"), ",")
-    return back.select("read_name", "flag", "ref_id", "ref_name", "pos", "mapq", "bin", C.render_cigar(F.col("cigar"), "spec").alias("cigar"), "next_ref_id", "next_pos", "t_len", "l_seq", "seq", quals.alias("quals"), R.sam_aux(F.col("aux"), floats=False).alias("aux"))
+    return back.select("read_name", "flag", "ref_id", "ref_name", "pos", "mapq", "bin", C.render_cigar(F.col("cigar"), "spec").alias("cigar"), "next_ref_id", "next_pos", "t_len", "l_seq", "seq", quals.alias("quals"), R.sam_aux(F.col("aux")).alias("aux"))
 
 
 def bam_region_scan(spark, d):
@@ -82,45 +85,75 @@ def bai_stats(spark, d):
     path = _written(spark, d)
     register(spark)
     stats = spark.read.format("bai").option("table", "stats").load(path)
-    return stats.groupBy("ref_id").agg(F.sum(F.coalesce("n_mapped", F.lit(0))).alias("n_mapped"), F.sum(F.coalesce("n_unmapped", F.lit(0))).alias("n_unmapped")).filter("n_mapped + n_unmapped > 0")
+    held = stats.groupBy("ref_id").agg(F.sum(F.coalesce("n_mapped", F.lit(0))).alias("n_mapped"), F.sum(F.coalesce("n_unmapped", F.lit(0))).alias("n_unmapped"))
+    # reference -1: records without one, once a file
+    unplaced = stats.groupBy("file").agg(F.max("n_no_coor").alias("n")).agg(F.lit(-1).alias("ref_id"), F.lit(0).cast("long").alias("n_mapped"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_unmapped"))
+    return held.unionByName(unplaced)
 
 
-def bgzf_roundtrip(spark, d):
-    """Read names through blocked gzip, written and read by tasks: per part the size and a digest are
-    compared, the names come back."""
-    import io
+def file_references(spark, d):
+    """The references of every file's header: each file has all of them."""
+    from strandframe.sources.bam import references_table
 
-    import pyarrow as pa
+    refs = references_table(spark, _written(spark, d))
+    return refs.select("ref_id", "name", "length").distinct()
 
-    def run(batches):
-        from strandframe.sources.bgzf import BgzfWriter, read_block
 
-        class Kept(io.BytesIO):
-            def close(self):
-                self.seek(0)
+def file_header(spark, d):
+    """Records of the files' header text, as the parser sees them."""
+    from strandframe.sources.bam import header_lines_table
 
-        for batch in batches:
-            out = Kept()
-            writer = BgzfWriter(out)
-            for name in batch.column(0).to_pylist():
-                writer.write(name.encode() + b"\n")
-            writer.close()
-            data = b""
-            while (block := read_block(out)) is not None:
-                data += block[0]
-            yield pa.RecordBatch.from_arrays([pa.array(data.decode().splitlines(), pa.string())], names=["read_name"])
+    lines = header_lines_table(spark, _written(spark, d)).select("rec_idx", "line").distinct()
+    tags = F.array_join(F.transform("tags", lambda t: F.concat(t["tag"], F.lit("="), t["value"])), ";")
+    return H.header_records(lines).select("rec_idx", "code", tags.alias("tags"), "comment")
 
-    return V.view(spark, d, V.ALIGNMENTS).select("read_name").mapInArrow(run, "read_name string")
 
+def file_order(spark, d):
+    """Records in file order: the place of each one on its reference, by file and virtual offset."""
+    from strandframe.sources.bam import read_bam
+
+    back = read_bam(spark, _written(spark, d), columns=["read_name", "ref_id", "file", "voffset"]).filter("ref_id >= 0")
+    place = F.row_number().over(W.partitionBy("ref_id").orderBy("file", "voffset"))
+    return back.select("read_name", "ref_id", place.alias("place"))
+
+
+def bgzf_roundtrip(spark, d):
+    """Read names through files of blocked gzip: written by tasks, read back block by block."""
+    from strandframe.sources.bam import register
+
+    path = folder(spark, "bgzf")
+    register(spark)
+    V.view(spark, d, V.ALIGNMENTS).select(F.concat("read_name", F.lit("\n")).cast("binary").alias("data")).write.format("bgzf").mode("append").save(path)
+    blocks = spark.read.format("bgzf").option("split_bytes", str(1 << 16)).option("eofmarker", "fail").load(path)
+    return blocks.select(F.explode(F.split(F.col("data").cast("string"), "\n")).alias("read_name")).filter("read_name <> ''")
 
-def fasta_source(spark, d):
-    """Sequences written as one FASTA file, read by the source, indexed."""
-    from strandframe.sources.fasta import build_index, read_fasta
 
+def _fasta(spark: SparkSession, d: str) -> str:
+    """The view's sequences as one FASTA file, in the order of their names."""
     body = V.view(spark, d, V.FASTA).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("line_no", "bases"))).alias("rows"))
     text = body.select(F.concat(F.lit(">"), "name", F.lit(" made\n"), F.array_join(F.transform("rows", lambda r: r["bases"]), "\n")).alias("value"), "name")
     path = folder(spark, "fasta")
     text.orderBy("name").coalesce(1).select("value").write.text(path)
     part = next(x for x in sorted(os.listdir(path)) if x.startswith("part-"))
     os.rename(os.path.join(path, part), os.path.join(path, "all.fa"))
-    return build_index(read_fasta(spark, path)).select("name", "len", "line_blen", "line_len")
+    return os.path.join(path, "all.fa")
+
+
+def fasta_source(spark, d):
+    """Sequences written as one FASTA file, read by the source, indexed."""
+    from strandframe.sources.fasta import build_index, read_fasta
+
+    return build_index(read_fasta(spark, _fasta(spark, d)))
+
+
+def fai_source(spark, d):
+    """The index as a file, read back; and by it the sequences, in pieces: what each one's lines hold."""
+    from strandframe.sources.fasta import build_index, read_fai, read_fasta, write_fai
+
+    path = _fasta(spark, d)
+    write_fai(build_index(read_fasta(spark, path)), path + ".fai")
+    index = read_fai(spark, path + ".fai")
+    lines = read_fasta(spark, path, index=path + ".fai", split_bytes="20000")
+    whole = lines.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("line_no", "bases"))).alias("rows"))
+    text = whole.select("name", F.md5(F.array_join(F.transform("rows", lambda r: r["bases"]), "").cast("binary")).alias("digest"))
+    return index.join(text, "name").select("fai_idx", "name", "len", "offset", "digest")

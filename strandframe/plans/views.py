@@ -3,9 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 
 ALIGNMENTS = """
-select concat('ln',l_orderkey,':',l_linenumber,':',l_partkey,':',l_suppkey) read_name,
+select concat('ln',l_orderkey,':',l_linenumber,':',l_partkey,':',l_suppkey,':',cast(floor(l_extendedprice) as bigint)) read_name,
  cast(l_suppkey % 25 as int) ref_id, cast((l_orderkey*131 + l_partkey*17 + l_linenumber) % 1000000 as int) pos,
- cast(case l_returnflag when 'R' then 16 else 0 end + case l_linestatus when 'F' then 1 else 0 end as int) flag,
+ cast(case l_returnflag when 'R' then 16 else 0 end + case l_linestatus when 'F' then 1 else 0 end + case l_partkey % 13 when 0 then 4 else 0 end as int) flag,
  cast((l_linenumber*7+l_partkey) % 61 as int) mapq, l_returnflag read_group,
  case l_partkey % 8 when 0 then concat(q,'M') when 1 then concat('5S',q,'M') when 2 then concat(q,'M2I10M') when 3 then concat(q,'M3D10M')
   when 4 then concat(q,'M1I4M2D6M3S') when 5 then concat('4H',q,'M100N',q,'M') when 6 then concat(q,'=1X',q,'=') else concat('3S',q,'M2P1I',q,'M') end cigar,

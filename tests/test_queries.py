@@ -9,8 +9,6 @@ import pytest
 import __spark_entry__ as entry
 
 D = "/root/testdata/sf0.001"
-#: Their views name a read by columns that are not unique in these tables.
-AMBIGUOUS = {"jump_first"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def cell(v):
     return str(list(v)) if isinstance(v, (list, tuple)) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - AMBIGUOUS))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, D)
     cur = duck.execute(entry.oracle_sql()[name])

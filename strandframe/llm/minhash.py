@@ -43,7 +43,7 @@ SHINGLE = 5
 #: Hashes of a signature for verification, one byte each, and how many are compared at a time.
 HASHES, BATCH = 512, 64
 #: Rows that meet at once when a bucket's blocks are compared.
-MEMBERS, OTHERS = 512, 4096
+MEMBERS, OTHERS = 1024, 8192
 #: Pairs of a document and a block that are confirmed first, the likeliest ones.
 PARTNERS = 8
 
@@ -283,9 +283,21 @@ def prune(pairs: DataFrame, profiles: DataFrame, percent: int, miss: float) -> D
     return _with(pairs, profiles, "sig").mapInArrow(tidy(_prune(percent, miss)), f"a {kind}, b {kind}")
 
 
+#: Ids up to which profiles are looked through for them where they lie, before any is shuffled.
+FEW_IDS = 1_000_000
+
+
+def only(profiles: DataFrame, ids: DataFrame) -> DataFrame:
+    """The profiles of these ids, or all where there are many ids."""
+    some = ids.distinct()
+    return profiles.join(F.broadcast(some), "id", "left_semi") if some.count() <= FEW_IDS else profiles
+
+
 def confirm(pairs: DataFrame, profiles: DataFrame, percent: int, k: int) -> DataFrame:
+    """pairs: stashed, as they are read twice."""
     kind = pairs.schema["a"].dataType.simpleString()
-    return _with(pairs, profiles, "text").mapInArrow(tidy(_confirm(percent, k)), f"a {kind}, b {kind}")
+    known = only(profiles, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    return _with(pairs, known, "text").mapInArrow(tidy(_confirm(percent, k)), f"a {kind}, b {kind}")
 
 
 #: Edges up to which a node's edges may all meet in one task, as they fit there.
@@ -330,8 +342,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _compare(percent: int, miss: float, bands: int, skip: int, most: int):
-    """Block comparison inside buckets: pairs (a, b) and more, whether this block has others of a that
-    were not named. Rows of one (bucket, blocks) come together, outsiders first."""
+    """Block comparison inside buckets: (a, b, more, bucket, x, y), pairs and whether this block has
+    others of a that were not named. Rows of one (bucket, blocks) come together, outsiders first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, outer = None, []
@@ -353,9 +365,10 @@ def _compare(percent: int, miss: float, bands: int, skip: int, most: int):
                     outer.append(block)
                 else:
                     for o in outer:
-                        out += _block_pairs(o, block, key[0], percent, miss, skip, most)
+                        out += [(*pair, *key) for pair in _block_pairs(o, block, key[0], percent, miss, skip, most)]
                 start = end
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "more"])
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], t) for k, t in enumerate(kinds)], names=["a", "b", "more", "bucket", "x", "y"])
 
     return run
 
@@ -429,7 +442,7 @@ def near_duplicates(
 
     stars = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     # signatures travel first; texts only for pairs that they do not rule out
-    links = stash(confirm(prune(stars, profiles, percent, miss), profiles, percent, k), "links")
+    links = stash(confirm(stash(prune(stars, profiles, percent, miss), "pairs"), profiles, percent, k), "links")
     joined = components(_closed(links, members, profiles, percent, miss, bands, k))
     drop(members, wanted, profiles)
 
@@ -446,17 +459,20 @@ def _closed(links: DataFrame, members: DataFrame, profiles: DataFrame, percent:
     """The links, and as many others as join what belongs together.
 
     A link inside a component adds nothing, so not all pairs that can be links are confirmed at
-    once: in each round those PARTNERS likeliest ones of each outsider, then components are formed
-    anew, until no outsider has a pair left that was not named. Each round names more.
+    once: in each round the PARTNERS likeliest ones of each outsider in each block, then components
+    are formed anew, and the outsiders that had more go on with 16 times as many, until none has.
     """
-    tried, comps, skip, most = None, components(links), 0, PARTNERS
+    comps = components(links)
+    blocks = stash(_blocks(members, comps), "blocks")
+    rows, tried, skip, most = blocks, None, 0, PARTNERS
     while True:
-        found = stash(_rest(members, comps, profiles, percent, miss, bands, skip, most), "pairs")
+        found = stash(_compared(rows, comps, profiles, percent, miss, bands, skip, most), "pairs")
         fresh = found.select("a", "b")
         if tried is not None and not skip:
             fresh = stash(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = stash(confirm(fresh, profiles, percent, k), "links")
-        if found.filter("more").isEmpty():
+        left = found.filter("more").select("bucket", "x", "y", F.col("a").alias("id")).distinct()
+        if left.isEmpty():
             return links.union(new)
         tried = fresh if tried is None else stash(tried.union(fresh), "pairs")
         if new.isEmpty():  # the same order again: go on behind what was named
@@ -465,10 +481,14 @@ def _closed(links: DataFrame, members: DataFrame, profiles: DataFrame, percent:
             links, skip = stash(links.union(new), "links"), 0
             comps = components(links)
         most *= 16
+        outer = blocks.filter("role = 0").join(left, ["bucket", "x", "y", "id"], "left_semi")
+        inner = blocks.filter("role = 1").join(left.select("bucket", "x", "y").distinct(), ["bucket", "x", "y"], "left_semi")
+        rows = stash(outer.unionByName(inner), "blocks")
 
 
-def _rest(members: DataFrame, comps: DataFrame, profiles: DataFrame, percent: int, miss: float, bands: int, skip: int, most: int) -> DataFrame:
-    """Pairs of different components that share a bucket and that signatures do not rule out."""
+def _blocks(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, x, y, role, id, outside): members of buckets with several components, dealt so that each
+    one outside the largest component (role 0) meets each member (role 1) in one block."""
     placed = members.select("bucket", "id").join(comps, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
     mark = [F.bit_xor(F.xxhash64("id", F.lit(k))) for k in (3, 4)]
     sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"), *[m.alias(f"m{k}") for k, m in enumerate(mark)])
@@ -479,11 +499,17 @@ def _rest(members: DataFrame, comps: DataFrame, profiles: DataFrame, percent: in
     split = once.select("bucket", F.col("top.comp").alias("main"), F.ceil(F.col("all") / MEMBERS).cast("int").alias("xs"), F.ceil((F.col("all") - F.col("top.c")) / OTHERS).cast("int").alias("ys"))
     seen = placed.join(split, "bucket").withColumn("outside", F.col("comp") != F.col("main"))
     spot = F.xxhash64("id")
-    inner = seen.select("bucket", F.pmod(spot, "xs").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(1).alias("role"), "id", "comp", "outside")
-    outer = seen.filter("outside").select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), F.pmod(spot, "ys").cast("int").alias("y"), F.lit(0).alias("role"), "id", "comp", "outside")
-    rows = outer.union(inner).join(profiles.select("id", "n", "sig", "keys"), "id")
-    dealt = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "role")
-    return dealt.mapInArrow(tidy(_compare(percent, miss, bands, skip, most)), "a long, b long, more boolean")
+    inner = seen.select("bucket", F.pmod(spot, "xs").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(1).alias("role"), "id", "outside")
+    outer = seen.filter("outside").select("bucket", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), F.pmod(spot, "ys").cast("int").alias("y"), F.lit(0).alias("role"), "id", "outside")
+    return outer.union(inner)
+
+
+def _compared(blocks: DataFrame, comps: DataFrame, profiles: DataFrame, percent: int, miss: float, bands: int, skip: int, most: int) -> DataFrame:
+    """Pairs of different components that meet in a block and that signatures do not rule out."""
+    known = only(profiles.select("id", "n", "sig", "keys"), blocks.select("id"))
+    placed = known.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    dealt = blocks.join(placed, "id").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "role")
+    return dealt.mapInArrow(tidy(_compare(percent, miss, bands, skip, most)), "a long, b long, more boolean, bucket long, x int, y int")
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:

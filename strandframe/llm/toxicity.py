@@ -257,8 +257,8 @@ def _counts(candidates) -> object:
     numbers of texts, and under an empty one n is the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = frozenset(t for t in candidates.value if t[-1] != "*")
-        five, four = (frozenset(t[:-1] for t in candidates.value if t[-1] == "*" and len(t) == n + 1) for n in (5, 4))
+        wanted, seen = candidates.value, set()
+        of: dict[str, list[str]] = {}  # the candidates among a seen word's tokens, where there are any
         total, size = np.zeros(3, np.int64), 0
         texts, by = Counter(), (Counter(), Counter())
         for batch in batches:
@@ -268,7 +268,12 @@ def _counts(candidates) -> object:
                     words = WORD.findall(part)
                     size += len(words)
                     held.update(words)
-                own = [*(whole & held), *(f"{t}*" for n, known in ((5, five), (4, four)) for t in known & {w[:n] for w in held if len(w) > max(n, 4)})]
+                if new := held - seen:
+                    if len(seen) > SEEN:
+                        seen, of, new = set(), {}, held
+                    seen |= new
+                    of.update((w, found) for w in new if (found := [t for t in tokens(w) if t in wanted]))
+                own = {t for w in of.keys() & held for t in of[w]}
                 texts.update(own)
                 total[0] += 1
                 if label is not None:

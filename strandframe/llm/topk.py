@@ -13,8 +13,8 @@ that local threshold the bucket is skipped (above 1), pruned by coordinates (hig
 
 What is left is verified by its integer inner product. Blocks of queries are dealt to all lanes,
 blocks of vectors to one lane each, and they meet in an equi-join by lane: each pair of blocks
-that a bound does not rule out meets once, and no task holds more than two blocks and the
-thresholds it has seen.
+that a bound does not rule out meets once. A task holds two blocks, the thresholds it has seen and
+HELD candidates, of which each query's k best leave it.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import shuffle_partitions, stash, table
+from strandframe.llm.common import col, shuffle_partitions, stash, table, tidy
 
 VECTORS, QUERIES, SEED = 4096, 512, 2048
 #: Local cosine from which coordinates prune better than length; coordinates looked up.
 COORDINATE_COSINE, FOCUS = 0.8, 4
 SLACK = 1e-9
 LONG = 1 << 63
+#: Candidates that a task gathers before it keeps each query's k best.
+HELD = 1 << 19
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -42,7 +44,7 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     is null or not finite are left out, repeated rows count once."""
     x = F.col("raw")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("raw")).filter(F.col("id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(False)))
+    rows = vectors.select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("raw")).filter(F.col("id").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(False)))
     ints = rows.select("id", F.transform("raw", lambda c: F.floor(c * F.lit(float(scale)))).alias("vec")).distinct()
     return ints.withColumn("norm", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
 
@@ -204,10 +206,28 @@ def _thresholds(seed: Bucket | None, k: int):
     return run
 
 
+def kept(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best, by query; ~score falls as the score rises, without leaving a long."""
+    order = np.lexsort((ids, ~scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.flatnonzero(np.diff(query, prepend=query[:1] - 1)) if len(query) else np.zeros(0, np.int64)
+    nth = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query)))
+    return query[nth < k], ids[nth < k], scores[nth < k]
+
+
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, np.ndarray] = OrderedDict()  # what this task has learned of thresholds
         last, bucket = None, None
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def best_held() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return kept(*(np.concatenate(x) for x in zip(*held)), k)
+
+        def told(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
@@ -219,14 +239,19 @@ def _search(k: int):
                     least = seen[row["q_block"]] = np.frombuffer(row["q_least"], "<f8").copy()
                     if len(seen) > 256:
                         seen.popitem(last=False)
-                found = bucket.search(ids, data, norms, least, k)
-                for i, got, scores in found:
+                for i, got, scores in bucket.search(ids, data, norms, least, k):
                     if len(got) == k and abs(int(scores[-1])) < 1 << 52:
                         least[i] = max(least[i], float(scores[-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([np.full(len(g), ids[i]) for i, g, _ in found] or [np.zeros(0)]).astype(np.int64)), pa.array(np.concatenate([g for _, g, _ in found] or [np.zeros(0)]).astype(np.int64)), pa.array(np.concatenate([s for *_, s in found] or [np.zeros(0)]).astype(np.int64))],
-                    names=["query_id", "vec_id", "score"],
-                )
+                    held.append((np.full(len(got), ids[i], np.int64), got.astype(np.int64), scores.astype(np.int64)))
+                    size += len(got)
+                if size > HELD:
+                    held = [best_held()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:  # too many queries: what there is goes on
+                        yield told(held[0])
+                        held, size = [], 0
+        if held:
+            yield told(best_held())
 
     return run
 
@@ -265,10 +290,10 @@ def top_k(
     asked = rows.filter(is_query).repartitionByRange(lanes, *order).sortWithinPartitions(*order).mapInArrow(_pack(QUERIES), BLOCK)
     queries = stash(asked.mapInArrow(_thresholds(seed, k), BLOCK + ", least binary, reach double"), "queries")
 
-    right = blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
+    right = blocks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes))).repartition(lanes, "lane")
     left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
-    met = right.join(left, "lane").filter(F.col("longest") * (1 + SLACK) >= F.col("q_reach")).drop("lane")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    met = right.join(left.repartition(lanes, "lane"), "lane").filter(F.col("longest") * (1 + SLACK) >= F.col("q_reach")).drop("lane")
+    found = met.mapInArrow(tidy(_search(k)), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

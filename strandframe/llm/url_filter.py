@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import shuffle_partitions, table
+from strandframe.llm.common import col, shuffle_partitions, stash, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("allow", "net", "/de/"), ("block", "org", "/es/")]
@@ -108,11 +108,11 @@ def url_verdicts(
     Empty pages give an empty table, empty rules give ``default`` everywhere.
     """
     spark = pages.sparkSession
-    stacks = rule_stacks(rules).cache()
+    stacks = stash(rule_stacks(rules), "rules")
     depths = sorted(r["depth"] for r in stacks.select("depth").distinct().collect())
     lows = _ranges(stacks.select("key"), rules_per_range)
 
-    parts = pages.select(F.col(id_col).alias("__id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
+    parts = pages.select(col(id_col).alias("__id"), url_host(col(url_col)).alias("host"), url_path(col(url_col)).alias("path"))
     labels = F.reverse(F.split("host", r"\."))
     fitting = F.filter(F.array(*[F.lit(d) for d in depths]).cast("array<int>"), lambda d: d <= F.size(labels))
     points = parts.select("*", F.posexplode_outer(F.transform(fitting, lambda d: canonical(F.slice(labels, F.lit(1), d), F.col("path")))).alias("nth", "key")).withColumn("range", _range_of(F.col("key"), lows))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, shuffle_partitions, stash, table
+from strandframe.llm.common import by_bytes, col, meet, shuffle_partitions, stash, table, tidy
 
 RATE, WINDOW = 5512, 2048
 HOP = WINDOW // 3
@@ -125,9 +125,10 @@ def packed(image: np.ndarray) -> np.ndarray:
 def fingerprints(media: DataFrame, *, id_col: str, audio_col: str) -> DataFrame:
     """One row per input row: id, seconds (null where the bytes are no PCM WAV), ints.
 
-    Null, unreadable, silent and very short recordings have no integers. Other columns are not
-    read; an empty table gives an empty table. A task holds one batch of recordings, and of a
-    recording's spectra 512 at a time.
+    Null, unreadable, silent and very short recordings have no integers. Repeated rows and null ids
+    are rows like others. Other columns are not read, names may clash with the result's; an empty
+    table gives an empty table. A task holds the batch that Spark sends, one recording's samples
+    (four bytes each) and 512 of its spectra, however long it is.
     """
     kind = media.schema[id_col].dataType.simpleString()
 
@@ -140,7 +141,7 @@ def fingerprints(media: DataFrame, *, id_col: str, audio_col: str) -> DataFrame:
                 ints.append([] if wav is None else packed(pitch_classes(*wav)).tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seconds, pa.float64()), pa.array(ints, pa.list_(pa.int32()))], names=["id", "seconds", "ints"])
 
-    return media.select(F.col(id_col).alias("id"), F.col(audio_col)).mapInArrow(run, f"id {kind}, seconds double, ints array<int>")
+    return media.select(col(id_col).alias("id"), col(audio_col).alias("audio")).mapInArrow(tidy(run), f"id {kind}, seconds double, ints array<int>")
 
 
 def _best_shifts(query: np.ndarray, others: list[np.ndarray], min_overlap: int, max_errors: float) -> Iterator[tuple[int, int, int, float]]:
@@ -185,8 +186,13 @@ def align(prints: DataFrame, is_query: Column, *, min_overlap: int = 8, max_erro
     other, shift, overlap, errors): class pairs of a class that holds a query (``is_query`` over
     ``id``) and any other one that have a shift with at least min_overlap integers in common time
     and at most max_errors of their bits differing; of these the shift of the fewest errors, then
-    the smallest. All pairs and shifts are compared, so none is missed; the work grows with
-    queries times classes times the square of their lengths.
+    the smallest, then the positive one. All pairs and shifts are compared, so none is missed; the
+    work grows with queries times classes times the square of their lengths.
+
+    Rows with a null id or without integers take no part: they are in no class. Repeated rows, and
+    ids with several fingerprints, are members of each of their classes; a class asks if one of its
+    ids does. Other columns are not read; empty tables give empty results. A task holds two blocks
+    of about BLOCK integers, or one longer recording each.
     """
     spark = prints.sparkSession
     kind = prints.schema["id"].dataType.simpleString()
@@ -215,7 +221,7 @@ def align(prints: DataFrame, is_query: Column, *, min_overlap: int = 8, max_erro
 
     ids = to_arrow_type(prints.schema["id"].dataType)
     pairs = packs(classes, size["all"], "others", shuffle_partitions(spark)).crossJoin(packs(classes.filter("asked"), size["asked"], "asked", 1))
-    return classes.select("class_id", "ints"), pairs.mapInArrow(run, f"query {kind}, other {kind}, shift int, overlap int, errors double")
+    return classes.select("class_id", "ints"), pairs.mapInArrow(tidy(run), f"query {kind}, other {kind}, shift int, overlap int, errors double")
 
 
 def melodies(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", seconds: float = 4.0) -> DataFrame:
@@ -240,18 +246,28 @@ def melodies(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tune(v) for v in part.column(1).to_pylist()], pa.binary())], names=["id", "audio"])
 
-    return vectors.select(F.col(id_col), F.col(vector_col)).mapInArrow(run, f"id {kind}, audio binary")
+    # narrow rows are dealt out before the work: a small file of vectors is long to play
+    dealt = vectors.select(col(id_col).alias("id"), col(vector_col).alias("vector")).repartition(shuffle_partitions(vectors.sparkSession))
+    return dealt.mapInArrow(tidy(run), f"id {kind}, audio binary")
 
 
 def op9_audio_fingerprint(spark, sf_dir: str) -> DataFrame:
     """Recordings made of ``embeddings``, fingerprinted; queries are ids divisible by 100. One row per
     recording: vec_id, seconds, n_items, digest of its integers, class_id (its own id without
     integers), n_links (query classes that its class aligns with), best_query, best_shift and
-    best_errors (of the fewest errors; ties to the smaller query)."""
+    best_errors (of the fewest errors; ties to the smaller query). Vectors that are null or hold a
+    null or non-finite component have no sound: seconds is null, n_items 0. A row with a null id has
+    a null class_id and no links; repeated rows come out as often as they went in."""
     media = melodies(table(spark, sf_dir, "embeddings"))
     prints = stash(fingerprints(media, id_col="id", audio_col="audio"), "fingerprints")
     classes, matches = align(prints, F.col("id") % 100 == 0)
     links = matches.groupBy(F.col("other").alias("class_id")).agg(F.count("*").alias("n_links"), F.min(F.struct("errors", "query", "shift")).alias("best"))
     named = classes.join(links, "class_id", "left")
-    out = prints.join(named, "ints", "left")
-    return out.select(F.col("id").alias("vec_id"), "seconds", F.size("ints").cast("long").alias("n_items"), F.sha2(F.array_join("ints", ",").cast("binary"), 256).alias("digest"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("best.query").alias("best_query"), F.col("best.shift").alias("best_shift"), F.col("best.errors").alias("best_errors"))
+    # a third of all recordings may sound alike: equal fingerprints meet their class by a digest
+    digest = F.sha2(F.array_join("ints", ",").cast("binary"), 256)
+    members = prints.withColumn("digest", digest)
+    sizes = members.filter("size(ints) > 0 and id is not null").groupBy("digest").agg(F.count("*").alias("rows"))
+    known = stash(named.withColumn("digest", digest).drop("ints").join(sizes, "digest"), "classes")
+    out = meet(members, known, ["digest"], "rows", spread=F.col("id"))
+    out = out.withColumns({c: F.when(F.col("id").isNotNull(), F.col(c)) for c in ("class_id", "n_links", "best")})
+    return out.select(F.col("id").alias("vec_id"), "seconds", F.size("ints").cast("long").alias("n_items"), "digest", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("best.query").alias("best_query"), F.col("best.shift").alias("best_shift"), F.col("best.errors").alias("best_errors"))

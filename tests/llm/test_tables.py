@@ -174,6 +174,22 @@ def test_top_k(spark, monkeypatch, shape):
     assert sorted(map(tuple, got)) == plain_top(rows, lambda i: i % 20 == 0, 7)
 
 
+def test_kept_is_each_querys_best(spark, monkeypatch):
+    """Candidates of a task are cut to k a query, however often that happens."""
+    rng = np.random.default_rng(1)
+    q, v, s = rng.integers(0, 30, 5000), rng.permutation(5000), rng.integers(-5, 5, 5000)
+    s[:3] = (1 << 63) - 1, -(1 << 63), 0
+    got = sorted(zip(*(x.tolist() for x in topk.kept(q, v, s, 4))))
+    want = sorted((i, j, x) for i in range(30) for x, j in sorted(((-int(x), int(j)) for a, j, x in zip(q, v, s) if a == i))[:4] for x in [-x])
+    assert got == want
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for held in (10, 200, 1 << 19):
+        monkeypatch.setattr(topk, "HELD", held)
+        monkeypatch.setattr(topk, "VECTORS", 25)
+        assert sorted(map(tuple, topk.top_k(frame, F.col("id") % 20 == 0, k=5).collect())) == plain_top(rows, lambda i: i % 20 == 0, 5)
+
+
 def test_top_k_of_few_and_large(spark):
     frame = spark.createDataFrame([(0, [1e30, -1e30]), (1, [1e30, 1e30]), (2, [1e10, 3e9])], "vec_id long, embedding array<float>")
     got = topk.top_k(frame, F.col("id") % 20 == 0).collect()
@@ -307,6 +323,70 @@ def test_audio_alignment_equals_brute_force(spark):
     assert len(got) == len(want) > 50 and {(r["query"], r.other): (r.errors, abs(r["shift"]), -r["shift"], r.overlap) for r in got} == want
 
 
+def best_match(a, b, least=8, most=0.2):
+    """(errors, shift) of the best shift within the limits, by trying all of them."""
+    found = []
+    for s in range(least - len(a), len(b) - least + 1):
+        f = max(0, -s)
+        n = min(len(a) - f, len(b) - f - s)
+        if n >= least and (e := sum(int(x).bit_count() for x in a[f : f + n] ^ b[f + s : f + s + n]) / (32 * n)) <= most:
+            found.append((e, abs(s), -s))
+    return min(found, default=None)
+
+
+def test_audio_query_equals_brute_force(spark, tmp_path):
+    """The query over a whole table, with odd rows, against every pair of recordings and every shift."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 64)).astype(np.float32) * 0.2
+    rows = [(i, [float(x) for x in base[i % 40] + (rng.normal(size=64) * (0, 0.002, 0.02)[i % 3])]) for i in range(150)]
+    rows += [(200, rows[3][1]), (201, rows[100][1]), (300, None), (301, [1.0, None]), (302, [float("nan")] * 4), (303, []), (None, rows[3][1]), (7, rows[7][1]), (8, rows[100][1])]
+    spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, class_id string").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = audio.op9_audio_fingerprint(spark, str(tmp_path)).collect()
+    prints = [(r["id"], tuple(r.ints)) for r in audio.fingerprints(audio.melodies(spark.read.parquet(str(tmp_path / "embeddings.parquet"))), id_col="id", audio_col="audio").collect()]
+    members = {}
+    for i, ints in prints:
+        if i is not None and ints:
+            members.setdefault(ints, set()).add(i)
+    assert len(members) > 40
+    asked = {x: min(ids) for x, ids in members.items() if any(i % 100 == 0 for i in ids)}
+    u = lambda x: np.array(x, np.int32).view(np.uint32)
+    want = {}
+    for x, ids in members.items():
+        hits = sorted((m[0], q, -m[2]) for y, q in asked.items() if y != x and (m := best_match(u(y), u(x))))
+        want[x] = (min(ids), len(hits), *((hits[0][1], hits[0][2], hits[0][0]) if hits else (None, None, None)))
+    assert len(got) == len(rows) == len(prints)
+    n = {}
+    for r in got:
+        n[r.vec_id] = n.get(r.vec_id, 0) + 1
+    assert n[7] == 2 and n[None] == 1
+    by_digest = {hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(): x for x in members}
+    for r in got:
+        if r.vec_id is None:
+            assert (r.class_id, r.n_links, r.best_query) == (None, 0, None)
+        elif r.n_items:
+            assert (r.class_id, r.n_links, r.best_query, r.best_shift, r.best_errors) == want[by_digest[r.digest]]
+        else:
+            assert (r.class_id, r.n_links, r.best_query) == (r.vec_id, 0, None)
+    assert {r.vec_id for r in got if not r.n_items} == {300, 301, 302, 303} and sum(r.n_links > 0 for r in got) > 10
+
+
+def test_audio_finds_noisy_and_shifted_copies(spark):
+    """Recall of copies with noise, another loudness and rate, cut off at the start; strangers stay apart."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(20):
+        samples, rate = audio.read_wav(song(100 + k, 10))
+        rows.append((100 * k, audio.write_wav(samples, rate)))
+        cut = samples[int(rate * rng.uniform(0, 2)) :]
+        rows.append((100 * k + 1, audio.write_wav(0.5 * cut + rng.normal(size=len(cut)) * 0.01, rate)))
+        rows.append((100 * k + 2, audio.write_wav(np.interp(np.arange(0, len(cut), 0.5), np.arange(len(cut)), cut), 2 * rate)))
+    media = spark.createDataFrame([(i, bytearray(a)) for i, a in rows], "id long, audio binary")
+    prints = audio.fingerprints(media, id_col="id", audio_col="audio")
+    found = {(r["query"], r.other) for r in audio.align(prints, F.col("id") % 100 == 0)[1].collect()}
+    wanted = {(100 * k, 100 * k + j) for k in range(20) for j in (1, 2)}
+    assert len(found & wanted) >= 0.9 * len(wanted) and len({p for p in found if p[0] // 100 != p[1] // 100}) <= 0.05 * len(found)
+
+
 def test_packed_integers_equal_plain_sums():
     rng = np.random.default_rng(3)
     image = rng.random((30, 12))

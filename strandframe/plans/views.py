@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandframe.shared import dealt
+
 ALIGNMENTS = """
 select concat('ln',l_orderkey,':',l_linenumber,':',l_partkey,':',l_suppkey,':',cast(floor(l_extendedprice) as bigint)) read_name,
  cast(l_suppkey % 25 as int) ref_id, cast((l_orderkey*131 + l_partkey*17 + l_linenumber) % 1000000 as int) pos,
@@ -41,7 +43,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     used = [t for t in TABLES if "{" + t + "}" in sql]
-    return spark.sql(sql.replace("{STR}", "string"), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(sql.replace("{STR}", "string"), **{t: dealt(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in used})
 
 
 def duck(sql: str) -> str:

@@ -79,6 +79,20 @@ def drop_scratch(spark: SparkSession) -> None:
     _delete(spark, f"{shared_dir(spark)}/strandframe/{spark.sparkContext.applicationId}")
 
 
+#: A table of fewer bytes than this for each core, in fewer partitions than cores, is dealt out.
+LITTLE = 4 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table as read, over all cores: a small file of one row group would keep one of them busy. Tables
+    that are large for the cluster stay as they are."""
+    run, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(run.optimizedPlan().stats().sizeInBytes()))
+    if not LITTLE // 8 < size < LITTLE * cores or run.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 #: A key with more than one in so many of all rows is met by a copy of its row in every task.
 HOT = 1000
 

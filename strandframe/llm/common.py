@@ -9,11 +9,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.shared import col, cols, drop, drop_scratch, meet, scratch_path, shared_dir, stash, unused  # noqa: F401
+from strandframe.shared import col, cols, dealt, drop, drop_scratch, meet, scratch_path, shared_dir, stash, unused  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def numbered(df: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -16,10 +16,13 @@ from strandframe.shared import scratch_path
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the session's shared one, as a mounted path."""
+    """A new folder in the session's shared one, which must be mounted: Python sources open paths."""
     from strandframe.sources.bam import local
 
-    return local(scratch_path(spark, name))
+    path = local(scratch_path(spark, name))
+    if "://" in path:
+        raise RuntimeError(f"alignment files need a mounted folder, {path} is none")
+    return path
 
 
 def sam_lines(rows: DataFrame) -> DataFrame:

@@ -289,14 +289,14 @@ FEW_IDS = 1_000_000
 
 def only(profiles: DataFrame, ids: DataFrame) -> DataFrame:
     """The profiles of these ids, or all where there are many ids."""
-    some = ids.distinct()
+    some = stash(ids.distinct(), "ids")
     return profiles.join(F.broadcast(some), "id", "left_semi") if some.count() <= FEW_IDS else profiles
 
 
 def confirm(pairs: DataFrame, profiles: DataFrame, percent: int, k: int) -> DataFrame:
     """pairs: stashed, as they are read twice."""
     kind = pairs.schema["a"].dataType.simpleString()
-    known = only(profiles, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    known = only(profiles, pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()))
     return _with(pairs, known, "text").mapInArrow(tidy(_confirm(percent, k)), f"a {kind}, b {kind}")
 
 

@@ -19,6 +19,8 @@ from strandframe.llm.common import col, cols, drop, stash, table, unused
 #: A document goes if its language is this uncertain, or cannot be told (no letters).
 LEAST_POSTERIOR = 0.5
 NEAR = 0.8
+#: Ids that are sent to every task at most.
+FEW_IDS = 2_000_000
 
 
 def _aside(docs: DataFrame, added: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
@@ -54,6 +56,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     known = verdict.filter("doc_id is not null")
     if known.groupBy("doc_id").count().filter("count > 1").isEmpty():
         gone = known.filter("not kept").select("doc_id")
+        # up to FEW_IDS ids go to the documents; only beyond that are texts shuffled
+        gone = F.broadcast(gone) if gone.count() <= FEW_IDS else gone
         return docs.join(gone, "doc_id", "left_anti").select(*cols(docs.columns))
     (mark,) = unused(docs, "text_hash")
     one = known.filter("kept").groupBy("doc_id", "set_digest").agg(F.min("text_hash").alias(mark)).select("doc_id", mark).distinct()

@@ -57,9 +57,13 @@ def qual_text(qual: Column) -> Column:
 
 def qual_array(qual: Column, l_seq: Column) -> Column:
     """Bytes of a scan to an array of ints; null stays null."""
-    text = F.hex(qual)
-    at = F.when(l_seq > 0, F.sequence(F.lit(0), F.greatest(l_seq, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(qual.isNotNull(), F.transform(at, lambda k: F.conv(F.substring(text, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    letters = F.split(F.decode(qual, "ISO-8859-1"), "")
+    return F.when(qual.isNotNull(), F.when(l_seq > 0, F.transform(letters, lambda c: F.ascii(c))).otherwise(F.array().cast("array<int>")))
+
+
+def qual_bytes(qual: Column) -> Column:
+    """An array of qualities (0 to 255) to bytes; null stays null."""
+    return F.encode(F.array_join(F.transform(qual, lambda q: F.char(q)), ""), "ISO-8859-1")
 
 
 def float_text(x: float) -> str:

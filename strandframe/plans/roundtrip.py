@@ -35,8 +35,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     from strandframe.plans.queries import with_aux, with_qual
 
     own = with_aux(with_qual(V.view(spark, d, V.ALIGNMENTS).withColumn("ref_id", F.col("placed_ref_id"))))
-    packed = F.when(F.col("qual").isNotNull(), F.unhex(F.array_join(F.transform("qual", lambda q: F.lpad(F.hex(q.cast("long")), 2, "0")), "")))
-    return own.select("read_name", "flag", "ref_id", "pos", "mapq", C.parse_cigar(F.col("cigar")).alias("cigar"), "next_ref_id", "next_pos", "t_len", "l_seq", R.decode_seq(F.unhex(F.md5(F.col("read_name").cast("binary"))), F.col("l_seq")).alias("seq"), packed.alias("qual"), "aux")
+    return own.select("read_name", "flag", "ref_id", "pos", "mapq", C.parse_cigar(F.col("cigar")).alias("cigar"), "next_ref_id", "next_pos", "t_len", "l_seq", R.decode_seq(F.unhex(F.md5(F.col("read_name").cast("binary"))), F.col("l_seq")).alias("seq"), R.qual_bytes(F.col("qual")).alias("qual"), "aux")
 
 
 def _written(spark: SparkSession, d: str) -> str:

@@ -413,5 +413,8 @@ def test_record_functions(spark):
     assert compat[1][0] == "RG:Z:first\tRG:Z:second" and compat[2][0] == ""
     assert [r[0] for r in tags.select(R.read_group(F.col("aux"))).collect()] == [None, "first", None]
     assert [R.float_text(x) for x in (0.1, 2.0, 1e30, -0.25)] == ["0.10000000149", "2.0", "1.00000001505e+30", "-0.25"]
+    every = [list(range(256)), [0], [255, 0, 0], [], None]
+    back = spark.createDataFrame([(q,) for q in every], "q array<int>").select("q", R.qual_bytes(F.col("q")).alias("b")).select("q", "b", R.qual_array(F.col("b"), F.size("q")).alias("a")).collect()
+    assert [(None if r.b is None else list(r.b), r.a) for r in back] == [(q, q) for q in every]
     nul = spark.createDataFrame([("ab\0\0",)], "s string").select(R.read_name(F.col("s"))).first()[0]
     assert nul == "ab"

@@ -1,7 +1,8 @@
 """The ``bam`` format: ``spark.read.format("bam")`` and ``df.write.format("bam")``.
 
 Reading. Partitions are planned from the files' sizes alone: pieces of about ``split_bytes`` (default
-SPLIT), small files several to a partition. The task reads the header and the index (option
+SPLIT, less where there would be fewer than ``min_partitions``), small files several to a
+partition. The task reads the header and the index (option
 ``index``, default the file's name and .bai) and starts at the first record behind its piece's
 border: the index knows starts of records, elsewhere blocks are found by their magic bytes and
 records by a chain of plausible ones, and both neighbours of a border find the same start. With
@@ -36,8 +37,9 @@ from strandframe.sources.bai import BaiDataSource, Index, IndexBuilder
 from strandframe.sources.bgzf import PAYLOAD, BgzfError, BgzfReader, BgzfWriter, first_block, read_block
 from strandframe.sources.columnar import CORE, Records, encode
 
-#: Bytes of a file for a partition; of records decoded at a time.
-SPLIT, RUN = 64 << 20, 1 << 20
+#: Bytes of a file for a partition, at most and where more partitions are asked for; of records
+#: decoded at a time.
+SPLIT, LEAST, RUN = 64 << 20, 1 << 20, 1 << 20
 #: Beyond every virtual offset.
 END = 1 << 63
 #: Plausible records in a row that make a start.
@@ -84,11 +86,13 @@ class Split(InputPartition):
     pieces: list  # of (path, first byte, byte behind the last, size of the file)
 
 
-def plan(paths: list[str], most: int) -> list[Split]:
-    """Partitions of about ``most`` bytes, from the files' sizes alone."""
+def plan(paths: list[str], most: int, parts: int = 1) -> list[Split]:
+    """Partitions of about ``most`` bytes, from the files' sizes alone; smaller ones, down to LEAST, where
+    there would be fewer than ``parts``."""
+    sizes = [os.path.getsize(path) for path in paths]
+    most = min(most, max(LEAST, -(-sum(sizes) // max(1, parts))))
     out, held, room = [], [], max(1, most)
-    for path in paths:
-        size = os.path.getsize(path)
+    for path, size in zip(paths, sizes):
         step = -(-size // max(1, -(-size // max(1, most)))) or 1
         for a in range(0, max(size, 1), step):
             n = min(size - a, step)
@@ -243,7 +247,7 @@ class BamReader(DataSourceReader):
         return self.plan(self.files())
 
     def plan(self, paths: list[str]) -> list[Split]:
-        return plan(paths, int(self.options.get("split_bytes", SPLIT)))
+        return plan(paths, int(self.options.get("split_bytes", SPLIT)), int(self.options.get("min_partitions", "1")))
 
     def read(self, partition: Split | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there was no split
@@ -460,7 +464,7 @@ def read_bam(spark: SparkSession, path: str, *, columns: list[str] | None = None
     """columns: those to decode. region: (name, beg, end), 0-based, half open: only what may overlap it
     is read, and only overlapping records come out. pushdown: see PushingReader."""
     register(spark)
-    reader = spark.read.format("bam").option("pushdown", str(pushdown).lower()).options(**options)
+    reader = spark.read.format("bam").option("pushdown", str(pushdown).lower()).option("min_partitions", str(spark.sparkContext.defaultParallelism)).options(**options)
     if columns:
         reader = reader.schema(T.StructType([ALIGNMENT[c] for c in columns]))
     if region:

@@ -114,7 +114,8 @@ def mix(
     """
     # the cumulative tables are made once per source, not once per row
     rates = source_rates(docs, source_col, weights, alpha, scale, max_rate).withColumn("__whole", whole_part(F.col("rate")))
-    rates = rates.withColumn("cdf", poisson_cdf(F.col("rate") - F.col("__whole")))
+    # entries of 1 are above every uniform number, and most of a table
+    rates = rates.withColumn("cdf", F.filter(poisson_cdf(F.col("rate") - F.col("__whole")), lambda c: c < 1.0))
     key = F.coalesce("source", F.lit("")).alias("source")
     rates = stash(rates.select(F.col("source").isNull().alias("none"), key, "n", F.struct(F.col("__whole").alias("whole"), "cdf").alias("rate")), "rates")
     none, source, rate, u, n, order, lone = own = unused(docs, "__none", "__source", "__rate", "__u", "__n", "__order", "__lone")

@@ -59,6 +59,15 @@ def by_bytes(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def slices(batch, column: int, limit: int = 1 << 20) -> Iterator:
+    """The batch in parts of about ``limit`` bytes of a text column, so that not all of its texts are
+    Python strings at a time."""
+    import pyarrow.compute as pc
+
+    for a, b in by_bytes([n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()], limit):
+        yield batch.slice(a, b - a)
+
+
 _resident: dict[Any, Any] = {}
 
 

@@ -36,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import by_bytes, col, crc_mod, ddl, numbered, stash, table, tidy
+from strandframe.llm.common import col, crc_mod, ddl, numbered, slices, stash, table, tidy
 
 WORD = re.compile(r"\w+")
 BREAK = re.compile(r"\W")
@@ -215,7 +215,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, sketch, label): the least hash of a text's eight-word shingles."""
     memo = Memo(lambda w: zlib.crc32(w.encode("utf-8", "replace"))).__getitem__
     factors = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(8)], dtype=np.uint64)
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 1)):
         out = []
         for text in batch.column(1).to_pylist():
             least = 1 << 64
@@ -244,7 +244,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
         held.clear()
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 0)):
         for text in batch.column(0).to_pylist():
             held.update({t for w in {w for _, part in blocks(text.lower()) for w in WORD.findall(part)} for t in tokens(w)})
             if len(held) > 250_000:
@@ -261,7 +261,7 @@ def _counts(candidates) -> object:
         five, four = (frozenset(t[:-1] for t in candidates.value if t[-1] == "*" and len(t) == n + 1) for n in (5, 4))
         total, size = np.zeros(3, np.int64), 0
         texts, by = Counter(), (Counter(), Counter())
-        for batch in batches:
+        for batch in (part for all_ in batches for part in slices(all_, 0)):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held: set[str] = set()
                 for _, part in blocks((text or "").lower()):
@@ -363,7 +363,7 @@ def _calibrate(lexicon: Lexicon, texts: DataFrame, marks: DataFrame) -> None:
     """K and the logistic curve, from at most about MAX_CALIBRATION labelled documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             out = []
             for text in batch.column(0).to_pylist():
                 n, _, once = lexicon.hits(text or "")
@@ -396,7 +396,7 @@ def _calibrate(lexicon: Lexicon, texts: DataFrame, marks: DataFrame) -> None:
 PASSAGES = "array<struct<start:int,end:int,score:double,expect:double>>"
 
 
-def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshold: float = 0.5, batch_bytes: int = 4 << 20) -> DataFrame:
+def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshold: float = 0.5, batch_bytes: int = 2 << 20) -> DataFrame:
     """The documents with score (0 to 1), predicted (1 if score >= threshold) and passages
     (characters of the text, start to end, segment score, E; in order, disjoint); columns of these names are
     replaced, all others stay.
@@ -413,13 +413,12 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value.judge
-        for batch in batches:
-            sizes = [0 if x is None else x for x in pa.compute.binary_length(batch.column(at)).to_pylist()]
-            for a, b in by_bytes(sizes, batch_bytes):
-                out = [judge(t or "") for t in batch.column(at).slice(a, b - a).to_pylist()]
+        for whole in batches:
+            for part in slices(whole, at, batch_bytes):
+                out = [judge(t or "") for t in part.column(at).to_pylist()]
                 score = np.array([x[0] for x in out], dtype=np.float64)
                 spans = pa.array([[dict(zip(("start", "end", "score", "expect"), p)) for p in x[1]] for x in out], kind)
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), spans], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), spans], names=names)
 
     schema = ", ".join([ddl(docs.schema[c] for c in kept), "score double", "predicted int", f"passages {PASSAGES}"])
     return numbered(docs, kept).mapInArrow(tidy(run), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strandframe.llm.common import by_bytes, col, crc_mod, ddl, numbered, place, scratch_path, stash, table, tidy
 
 ORDER = 3
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Orders below SHARED are part of every model; windows that a worker holds of the others at a time.
 SHARED, SHARD = 2, 1_000_000
 DENSE = 1 << 22
@@ -233,10 +233,10 @@ def count_windows(docs: DataFrame, lang_col: str, text_col: str, order: int) ->
                         values, at, n = distinct(windows(parts[a:b], order)[0])
                         held.setdefault(lang, []).append((values, np.bincount(at, minlength=n)))
                         size += len(values)
-            if size > 1_000_000:
+            if size > 500_000:
                 held = {k: [merged(v)] for k, v in held.items()}
                 size = sum(len(v[0][0]) for v in held.values())
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -311,7 +311,7 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", or
     return Model(trees, order, [paths.get(i) for i in range(shards)])
 
 
-def predict_language(docs: DataFrame, model: Model, *, text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def predict_language(docs: DataFrame, model: Model, *, text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
     """The documents with lang_pred, score (posterior of lang_pred under equal priors) and
     bits_per_byte (its code length); columns of these names are replaced, all others stay.
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from strandframe.llm.common import by_bytes, ddl, numbered, resident, table, tidy
 
 #: Longer pre-tokens are not remembered; ENTRY is what one costs besides its bytes and ids.
-MEMO, MEMO_CHARS, ENTRY = 24 << 20, 64, 180
+MEMO, MEMO_CHARS, ENTRY = 16 << 20, 64, 180
 SLICE, MERGE = 1 << 19, 1 << 18
 #: Positions from which a bucket is merged with array operations.
 AT_ONCE = 48

@@ -443,7 +443,7 @@ def near_duplicates(
     stars = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     # signatures travel first; texts only for pairs that they do not rule out
     links = stash(confirm(stash(prune(stars, profiles, percent, miss), "pairs"), profiles, percent, k), "links")
-    joined = components(_closed(links, members, profiles, percent, miss, bands, k))
+    joined = _closed(links, members, profiles, percent, miss, bands, k)
     drop(members, wanted, profiles)
 
     linked = stash(joined.join(classes.select(F.col("node").alias("id"), "rep"), "id"), "linked")
@@ -456,7 +456,7 @@ def near_duplicates(
 
 
 def _closed(links: DataFrame, members: DataFrame, profiles: DataFrame, percent: int, miss: float, bands: int, k: int) -> DataFrame:
-    """The links, and as many others as join what belongs together.
+    """(id, comp): the components over all links, those that ``links`` lacks included.
 
     A link inside a component adds nothing, so not all pairs that can be links are confirmed at
     once: in each round the PARTNERS likeliest ones of each outsider in each block, then components
@@ -472,10 +472,11 @@ def _closed(links: DataFrame, members: DataFrame, profiles: DataFrame, percent:
             fresh = stash(fresh.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = stash(confirm(fresh, profiles, percent, k), "links")
         left = found.filter("more").select("bucket", "x", "y", F.col("a").alias("id")).distinct()
+        some = not new.isEmpty()
         if left.isEmpty():
-            return links.union(new)
+            return components(links.union(new)) if some else comps
         tried = fresh if tried is None else stash(tried.union(fresh), "pairs")
-        if new.isEmpty():  # the same order again: go on behind what was named
+        if not some:  # the same order again: go on behind what was named
             skip = most
         else:
             links, skip = stash(links.union(new), "links"), 0

@@ -154,3 +154,18 @@ def test_overlap_sums(spark):
     reads = spark.range(n).select(F.lit(0).alias("ref_id"), F.col("id").alias("beg"), (F.col("id") + 1).alias("end"))
     regions = spark.range(n).select("id", F.lit(0).alias("ref_id"), F.lit(0).alias("b2"), F.lit(n).alias("e2"))
     assert G.overlap_sums(reads, regions, "beg", right_range=("b2", "e2")).agg(F.count("*"), F.min("n"), F.max("total")).first()[:] == (n, n, n * (n - 1) // 2)
+
+
+def test_overlap_join_by_lengths(spark):
+    """Short ranges are not compared with all of a bin of fixed width, whatever long ones there are."""
+    rng = random.Random(7)
+    spans = lambda n: [(i, rng.randrange(2), b := rng.randrange(5_000_000), b + rng.choice([0, 1, 15, 16, 17, 64, 65, 5_000, 4_000_000])) for i in range(n)]
+    a, b = spans(200), spans(200)
+    left = spark.createDataFrame(a, "l int, ref_id int, beg int, end int")
+    right = spark.createDataFrame(b, "r int, ref_id int, b2 int, e2 int")
+    got = sorted((x.l, x.r) for x in G.overlap_join(left, right, right_range=("b2", "e2")).collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] < max(y[3], y[2] + 1) and y[2] < max(x[3], x[2] + 1))
+    # a row per range and base would be 16,384 times as many candidates with bins of 2^14
+    assert G.overlap_join(left.limit(0), right, right_range=("b2", "e2")).count() == 0
+    text = G.overlap_join(left, right, right_range=("b2", "e2"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright" in text and ", 14)" not in text

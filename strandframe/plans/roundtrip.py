@@ -31,10 +31,11 @@ def sam_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("aux_text", R.sam_aux(F.col("aux"))).select("read_name", line.alias("line"))
 
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
+def _rows(view: DataFrame) -> DataFrame:
+    """The records of rows of the view, in their order."""
     from strandframe.plans.queries import with_aux, with_qual
 
-    own = with_aux(with_qual(V.view(spark, d, V.ALIGNMENTS).withColumn("ref_id", F.col("placed_ref_id"))))
+    own = with_aux(with_qual(view.withColumn("ref_id", F.col("placed_ref_id"))))
     return own.select("read_name", "flag", "ref_id", "pos", "mapq", C.parse_cigar(F.col("cigar")).alias("cigar"), "next_ref_id", "next_pos", "t_len", "l_seq", R.decode_seq(F.unhex(F.md5(F.col("read_name").cast("binary"))), F.col("l_seq")).alias("seq"), R.qual_bytes(F.col("qual")).alias("qual"), "aux")
 
 
@@ -44,12 +45,12 @@ def _written(spark: SparkSession, d: str) -> str:
 
     path = folder(spark, "bam")
     references = [(r["name"], r["length"]) for r in V.view(spark, d, V.REFERENCES).orderBy("ref_id").collect()]
-    key = F.when(F.col("ref_id") < 0, F.lit(1 << 30)).otherwise(F.col("ref_id"))
+    key = F.when(F.col("placed_ref_id") < 0, F.lit(1 << 30)).otherwise(F.col("placed_ref_id"))
     header = "\n".join(r["line"] for r in V.view(spark, d, V.HEADER).orderBy("grp", "k").collect())
-    rows = _rows(spark, d)
-    # the ranges are the session's shuffle partitions, so their number follows the cluster
-    dealt = rows.repartitionByRange(key, "pos", "read_name").sortWithinPartitions(key, "pos", "read_name")
-    write_bam(dealt, path, header=header, references=references)
+    # the ranges are the session's shuffle partitions, so their number follows the cluster; records are made
+    # where they are written, neither for the sample that finds the ranges nor before the shuffle
+    dealt = V.view(spark, d, V.ALIGNMENTS).repartitionByRange(key, "pos", "read_name").sortWithinPartitions(key, "pos", "read_name")
+    write_bam(_rows(dealt), path, header=header, references=references)
     return path
 
 

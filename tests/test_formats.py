@@ -418,3 +418,15 @@ def test_record_functions(spark):
     assert [(None if r.b is None else list(r.b), r.a) for r in back] == [(q, q) for q in every]
     nul = spark.createDataFrame([("ab\0\0",)], "s string").select(R.read_name(F.col("s"))).first()[0]
     assert nul == "ab"
+
+
+def test_records_are_made_after_the_shuffle(spark, monkeypatch):
+    """What is sorted to write files are the view's rows: their tags, qualities and bases come later."""
+    from strandframe.plans import roundtrip
+    from strandframe.sources import bam
+
+    seen = []
+    monkeypatch.setattr(bam, "write_bam", lambda df, path, **_: seen.append(df._jdf.queryExecution().optimizedPlan().toString()))
+    roundtrip._written(spark, "/root/testdata/sf0.001")
+    plan = seen[0]
+    assert "RepartitionByExpression" in plan and "md5" in plan[: plan.index("RepartitionByExpression")] and "md5" not in plan[plan.index("RepartitionByExpression") :]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -136,9 +137,14 @@ def _fasta(spark: SparkSession, d: str) -> str:
     body = V.view(spark, d, V.FASTA).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("line_no", "bases"))).alias("rows"))
     text = body.select(F.concat(F.lit(">"), "name", F.lit(" made\n"), F.array_join(F.transform("rows", lambda r: r["bases"]), "\n")).alias("value"), "name")
     path = folder(spark, "fasta")
-    text.orderBy("name").coalesce(1).select("value").write.text(path)
-    part = next(x for x in sorted(os.listdir(path)) if x.startswith("part-"))
-    os.rename(os.path.join(path, part), os.path.join(path, "all.fa"))
+    # tasks sort and write ranges of the names, in the order of the parts' numbers
+    text.orderBy("name").select("value").write.text(path)
+    parts = [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.startswith("part-")]
+    with open(os.path.join(path, "all.fa"), "wb") as out:
+        for part in parts:
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out, 1 << 20)
+            os.remove(part)
     return os.path.join(path, "all.fa")
 
 

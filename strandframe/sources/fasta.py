@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from strandframe.schema import FAI
 from strandframe.shared import ranked
+from strandframe.sources.bam import Split
 
 
 class FastaDataSource(DataSource):
@@ -31,13 +35,71 @@ class FastaDataSource(DataSource):
         return FastaReader(dict(self.options))
 
 
-def load_fai(path: str) -> list[tuple[str, int, int, int, int]]:
-    """(name, len, offset, line_blen, line_len) of a .fai file, in the order of the offsets."""
+Entry = tuple[str, int, int, int, int]
+
+
+def fai_entry(line: str, path: str) -> Entry | None:
+    """(name, len, offset, line_blen, line_len) of a line of a .fai file; None if it is blank."""
+    if not line.strip():
+        return None
+    cells = line.rstrip("\r\n").split("\t")
+    if len(cells) != 5:
+        raise ValueError(f"{path}: bad number of index fields: {cells}")
+    return (cells[0].split()[0], *map(int, cells[1:]))
+
+
+def line_count(entry: Entry) -> int:
+    return -(-entry[1] // entry[3]) if entry[3] else 0
+
+
+def load_fai(path: str) -> list[Entry]:
+    """The entries of a .fai file, in the order of the offsets."""
     with open(path, encoding="latin-1") as f:
-        cells = [line.rstrip("\r\n").split("\t") for line in f if line.strip()]
-    if bad := [c for c in cells if len(c) != 5]:
-        raise ValueError(f"{path}: bad number of index fields: {bad[0]}")
-    return sorted(((c[0].split()[0], *map(int, c[1:])) for c in cells), key=lambda c: c[2])
+        return sorted((e for line in f if (e := fai_entry(line, path))), key=lambda e: e[2])
+
+
+#: Partitions at most that the pieces of an indexed file are dealt to.
+PARTITIONS = 2000
+
+
+@dataclass
+class Marked(Split):
+    """marks: for each piece (byte of the .fai, lines before) of the first sequence that may reach into it."""
+
+    marks: list
+
+
+def mark(pieces: list, path: str) -> list[tuple[int, int] | None]:
+    """A mark for each piece, by one pass over the .fai, of which nothing is held. None for all where its
+    lines are not in the order of the offsets: then tasks load and sort it."""
+    out: list[tuple[int, int] | None] = []
+    at = number = 0
+    last = -1
+    with open(path, "rb") as f:
+        for raw in f:
+            if entry := fai_entry(raw.decode("latin-1"), path):
+                if entry[2] < last:
+                    return [None] * len(pieces)
+                last, lines = entry[2], line_count(entry)
+                while len(out) < len(pieces) and pieces[len(out)][1] < entry[2] + lines * entry[4]:
+                    out.append((at, number))
+                number += 1 + lines  # with the header
+            at += len(raw)
+    return out + [(at, number)] * (len(pieces) - len(out))
+
+
+def entries_from(path: str, at: int) -> Iterator[Entry]:
+    with open(path, "rb") as f:
+        f.seek(at)
+        for raw in f:
+            if entry := fai_entry(raw.decode("latin-1"), path):
+                yield entry
+
+
+def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("file", pa.string()), ("name", pa.string()), ("line_no", pa.int64()), ("offset", pa.int64()), ("bases", pa.string()), ("line_len", pa.int32())])
+    while held := list(islice(rows, 4096)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
 class FastaReader(DataSourceReader):
@@ -45,27 +107,39 @@ class FastaReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        from strandframe.sources.bam import SPLIT, Split, local, plan
+        from strandframe.sources.bam import SPLIT, local, plan
 
         path = local(self.options.get("path", ""))
         if self.options.get("index"):
-            return plan([path], int(self.options.get("split_bytes", SPLIT)))
+            pieces = [x for p in plan([path], int(self.options.get("split_bytes", SPLIT))) for x in p.pieces]
+            marks, per = mark(pieces, local(self.options["index"])), -(-len(pieces) // PARTITIONS)
+            return [Marked(pieces[k : k + per], marks[k : k + per]) for k in range(0, len(pieces), per)]
         files = [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.endswith((".fa", ".fasta", ".fna"))] if os.path.isdir(path) else [path]
         return [Split([(x, 0, os.path.getsize(x), os.path.getsize(x))]) for x in files]
 
-    def read(self, partition) -> Iterator[tuple]:
-        for path, a, b, _ in partition.pieces if partition else ():
-            yield from self._indexed(path, a, b) if self.options.get("index") else self._whole(path)
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        if self.options.get("index"):
+            for (path, a, b, _), place in zip(partition.pieces, partition.marks):
+                yield from batches(self._indexed(path, a, b, place))
+        else:
+            for path, *_ in partition.pieces:
+                yield from batches(self._whole(path))
 
-    def _indexed(self, path: str, a: int, b: int) -> Iterator[tuple]:
+    def _indexed(self, path: str, a: int, b: int, place: tuple[int, int] | None) -> Iterator[tuple]:
         """The lines that start in [a, b)."""
         from strandframe.sources.bam import local
 
-        number = 0
+        index = local(self.options["index"])
+        at, number = place or (0, 0)
         with open(path, "rb") as f:
-            for name, size, offset, bases, width in load_fai(local(self.options["index"])):
+            for entry in entries_from(index, at) if place else load_fai(index):
+                name, size, offset, bases, width = entry
+                if offset >= b:
+                    return
                 number += 1  # the header
-                lines = -(-size // bases) if bases else 0
+                lines = line_count(entry)
                 first, last = max(0, -(-(a - offset) // width)) if width else 0, min(lines, max(0, -(-(b - offset) // width))) if width else 0
                 for k in range(first, last, 4096):
                     n = min(4096, last - k)
@@ -118,9 +192,18 @@ def write_fai(index: DataFrame, path: str) -> None:
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """(fai_idx, name, len, offset, line_blen, line_len). Exactly five fields are needed; the name is
-    cut at white space. A repeated name keeps its first place and takes the later values. An index
-    has a line per sequence and is numbered in one task."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\r?\n")).alias("fai_idx", "line")).filter("line <> ''")
+    cut at white space. A repeated name keeps its first place and takes the later values. Lines are
+    numbered by the pieces of the file that tasks read: a line's place in its piece, behind the lines
+    of the pieces before."""
+    near = F.monotonically_increasing_id()
+    read = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), near.alias("near"))
+    firsts, before, last = [], 0, None
+    for r in read.groupBy("file", "start").agg(F.min("near").alias("near"), F.count("*").alias("n")).orderBy("file", "start").collect():
+        before = before if r.file == last else 0
+        firsts.append((r.file, r.start, before - r.near))
+        before, last = before + r.n, r.file
+    starts = F.broadcast(spark.createDataFrame(firsts, "file string, start long, shift long"))
+    raw = read.join(starts, ["file", "start"]).select((F.col("near") + F.col("shift")).cast("int").alias("fai_idx"), "line").filter("line <> ''")
     cells = F.split("line", "\t", -1)
     checked = raw.withColumn("c", F.when(F.size(cells) == 5, cells).otherwise(F.raise_error(F.concat(F.lit("bad number of index fields: "), "line")).cast("array<string>")))
     kinds = [f.dataType for f in FAI]

@@ -420,6 +420,48 @@ def test_record_functions(spark):
     assert nul == "ab"
 
 
+def test_indexed_pieces_read_their_part_of_the_index(spark, tmp_path, monkeypatch):
+    """A piece of an indexed FASTA file reads the .fai from its first sequence on, not all of it, and many
+    pieces go to a bounded number of partitions; an index in another order gives the same lines."""
+    from strandframe.sources import fasta
+
+    path, at, index, want, number = tmp_path / "x.fa", 0, [], [], 0
+    with open(path, "w") as f:
+        for k in range(300):
+            bases = "ACGT" * (k % 9)
+            head, cut = f">s{k} made\n", [bases[i : i + 10] for i in range(0, len(bases), 10)]
+            f.write(head + "".join(x + "\n" for x in cut))
+            index.append(f"s{k}\t{len(bases)}\t{at + len(head)}\t10\t11\n")
+            want += [(f"s{k}", number + 1 + i, x) for i, x in enumerate(cut)]
+            at, number = at + len(head) + len(bases) + len(cut), number + 1 + len(cut)
+    (tmp_path / "x.fai").write_text("".join(index))
+    (tmp_path / "turned.fai").write_text("".join(reversed(index)))
+    for name in ("x.fai", "turned.fai"):
+        lines = fasta.read_fasta(spark, str(path), index=str(tmp_path / name), split_bytes="200")
+        assert sorted((r.name, r.line_no, r.bases) for r in lines.collect()) == sorted(want)
+    monkeypatch.setattr(fasta, "PARTITIONS", 7)
+    reader = fasta.FastaReader({"path": str(path), "index": str(tmp_path / "x.fai"), "split_bytes": "200"})
+    parts = reader.partitions()
+    assert len(parts) <= 7 and sum(len(p.pieces) for p in parts) > 20
+    read, real = [], fasta.fai_entry
+    monkeypatch.setattr(fasta, "fai_entry", lambda line, p: read.append(line) or real(line, p))
+    got = [(r["name"], r["line_no"], r["bases"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(got) == sorted(want) and len(read) <= 300 + 3 * sum(len(p.pieces) for p in parts)
+
+
+def test_fai_numbers_go_on_from_piece_to_piece(spark, tmp_path):
+    from strandframe.sources.fasta import read_fai
+
+    (tmp_path / "x.fai").write_text("".join(f"s{k}\t1\t{k}\t1\t2\r\n" + "\n" * (k % 50 == 0) for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        index = read_fai(spark, str(tmp_path / "x.fai"))
+        assert index.rdd.getNumPartitions() >= 1 and {r.name: r.fai_idx for r in index.collect()} == {f"s{k}": k + (k + 49) // 50 for k in range(3000)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_records_are_made_after_the_shuffle(spark, monkeypatch):
     """What is sorted to write files are the view's rows: their tags, qualities and bases come later."""
     from strandframe.plans import roundtrip

@@ -75,40 +75,26 @@ def float_text(x: float) -> str:
 def float_texts(values: Column) -> Column:
     """``float_text`` of each element of an array, without Python.
 
-    Numbers of few digits are their own shortest text. Others are rounded by format_string, which
-    rounds halves up; where the 13th digit is an exact half and the 12th even, it is cut instead.
+    One pattern for each power of ten, so that each has its formatter ready: format_number rounds the
+    exact value, an exact half to the even digit. Lambdas are interpreted, so an element takes the few
+    comparisons that find its pattern and one call.
     """
+    shown = lambda d, pattern: F.call_function("format_number", d, F.lit(pattern))
+    power = "0." + "#" * 11 + "E00"
+    #: (where its numbers begin, what prints them)
+    ranges = [(0.0, lambda d: F.when(d == 0, d.cast("string")).otherwise(F.replace(shown(d, power), F.lit("E"), F.lit("e"))))]
+    for e in range(-4, 12):
+        ranges.append((float(f"1e{e}"), lambda d, pattern="0.0" + "#" * (10 - e) if e < 11 else "0'.0'": shown(d, pattern)))
+    odd = lambda d: F.when(F.isnan(d), F.lit("nan")).when(d == float("inf"), F.lit("inf")).when(d == float("-inf"), F.lit("-inf"))
+    ranges.append((1e12, lambda d: odd(d).otherwise(F.replace(shown(d, power), F.lit("E"), F.lit("e+")))))
 
-    def number(x: Column) -> Column:
-        d = x.cast("double")
-        return F.struct(d.alias("d"), F.abs(d).alias("a"), d.cast("string").alias("plain"))
+    def found(d: Column, some: list) -> Column:
+        if len(some) == 1:
+            return some[0][1](d)
+        half = len(some) // 2
+        return F.when(F.abs(d) < some[half][0], found(d, some[:half])).otherwise(found(d, some[half:]))
 
-    def rounded(x: Column) -> Column:
-        easy = (x["a"] == 0) | (x["a"] >= 1e-3) & (x["a"] < 1e7) & (F.length(x["plain"]) <= 13)
-        odd = F.isnan(x["a"]) | (x["a"] == float("inf"))
-        special = F.when(easy, x["plain"]).when(odd, F.when(F.isnan(x["a"]), F.lit("nan")).when(x["d"] < 0, F.lit("-inf")).otherwise(F.lit("inf")))
-        return F.struct(special.alias("done"), (x["d"] < 0).alias("minus"), x["a"].alias("a"), F.when(~easy & ~odd, F.format_string("%.12e", x["a"])).alias("wide"))
-
-    def digits(x: Column) -> Column:
-        half = (F.substring(x["wide"], 14, 1) == "5") & (x["wide"].cast("double") == x["a"]) & (F.substring(x["wide"], 13, 1).cast("int") % 2 == 0)
-        text = F.when(half, F.concat(F.substring(x["wide"], 1, 13), F.substring(x["wide"], 15, 9))).otherwise(F.format_string("%.11e", x["a"]))
-        return F.struct(x["done"], x["minus"], F.when(x["done"].isNull(), text).alias("text"))
-
-    def parts(x: Column) -> Column:
-        return F.struct(x["done"], x["minus"], F.rtrim(F.concat(F.substring(x["text"], 1, 1), F.substring(x["text"], 3, 11)), F.lit("0")).alias("m"), F.substring(x["text"], 15, 9).cast("int").alias("e"))
-
-    def shown(x: Column) -> Column:
-        m, e = x["m"], x["e"]
-        whole = F.rpad(F.substring(m, F.lit(1), e + 1), e + 1, F.lit("0"))
-        rest = F.substring(m, e + 2, F.lit(12))
-        plain = F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), m)).otherwise(F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest)))
-        power = F.concat(F.substring(m, 1, 1), F.when(F.length(m) > 1, F.concat(F.lit("."), F.substring(m, 2, 11))).otherwise(F.lit("")), F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(e) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(e).cast("string"))
-        text = F.when((e >= -4) & (e < 12), plain).otherwise(power)
-        return F.coalesce(x["done"], F.concat(F.when(x["minus"], F.lit("-")).otherwise(F.lit("")), text))
-
-    for step in (number, rounded, digits, parts, shown):
-        values = F.transform(values, step)
-    return values
+    return F.transform(values, lambda x: found(x.cast("double"), ranges))
 
 
 def sam_type(kind: Column) -> Column:
@@ -123,10 +109,11 @@ def sam_aux(aux: Column, semantics: str = "compat") -> Column:
         array = a["type"] == "B"
         numbers = F.coalesce(F.array_join(F.transform(a["i"], lambda x: x.cast("string")), ","), F.array_join(float_texts(a["f"]), ","), F.lit(""))
         kind = F.when(array, sam_type(a["sub_type"]) if semantics == "compat" else F.lit("B")).otherwise(sam_type(a["type"]))
-        lead = F.lit("") if semantics == "compat" else F.when(array & (F.coalesce(F.size(a["i"]), F.size(a["f"]), F.lit(0)) > 0), F.concat(a["sub_type"], F.lit(","))).when(array, a["sub_type"]).otherwise(F.lit(""))
-        return F.concat(a["tag"], F.lit(":"), kind, F.lit(":"), lead, F.coalesce(a["s"], numbers))
+        lead = [] if semantics == "compat" else [F.when(array & (F.coalesce(F.size(a["i"]), F.size(a["f"]), F.lit(0)) > 0), F.concat(a["sub_type"], F.lit(","))).when(array, a["sub_type"]).otherwise(F.lit(""))]
+        return F.when(a["tag"] != "CG", F.concat(a["tag"], F.lit(":"), kind, F.lit(":"), *lead, F.coalesce(a["s"], numbers)))
 
-    return F.array_join(F.transform(F.filter(aux, lambda a: a["tag"] != "CG"), one), "\t")
+    # joining leaves out nulls, so CG needs no pass of its own
+    return F.array_join(F.transform(aux, one), "\t")
 
 
 def read_group(aux: Column) -> Column:

@@ -42,7 +42,7 @@ def read_name(raw: Column) -> Column:
 
 def decode_seq(packed: Column, l_seq: Column) -> Column:
     """Two bases to a byte, the first in the upper half."""
-    return F.substring(F.translate(F.hex(packed), "0123456789ABCDEF", SEQ_ALPHABET), F.lit(1), l_seq)
+    return F.translate(F.substring(F.hex(packed), F.lit(1), l_seq), "0123456789ABCDEF", SEQ_ALPHABET)
 
 
 def qual_list(qual: Column, l_seq: Column) -> Column:
@@ -133,8 +133,9 @@ def mate_name(next_ref_id: Column, ref_id: Column, name: Column) -> Column:
 def to_sam(*, read_name: Column, flag: Column, ref_name: Column, pos: Column, mapq: Column, cigar: Column, rnext: Column, next_pos: Column, t_len: Column, seq: Column, qual: Column, aux_text: Column, semantics: str = "compat") -> Column:
     """The record's text line. qual: an array, or null; aux_text: of ``sam_aux``."""
     seq = seq if semantics == "compat" else F.when(F.length(seq) == 0, F.lit("*")).otherwise(seq)
-    line = F.concat_ws("\t", read_name, flag.cast("string"), ref_name, (pos + 1).cast("string"), mapq.cast("string"), render_cigar(cigar, semantics), rnext, (next_pos + 1).cast("string"), t_len.cast("string"), seq, qual_text(qual))
-    return F.when(aux_text != "", F.concat(line, F.lit("\t"), aux_text)).otherwise(line)
+    # one mention of the tags, so that a plan need not keep them, and all else of the line, as columns before it
+    tags = F.filter(F.array(aux_text), lambda t: t != "")
+    return F.concat_ws("\t", read_name, flag.cast("string"), ref_name, (pos + 1).cast("string"), mapq.cast("string"), render_cigar(cigar, semantics), rnext, (next_pos + 1).cast("string"), t_len.cast("string"), seq, qual_text(qual), tags)
 
 
 def unpack_int(data: Column, offset: int, width: int, signed: bool = True) -> Column:

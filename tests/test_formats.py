@@ -423,6 +423,19 @@ def test_text_lines_run_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_text_lines_are_made_after_the_lookups(spark):
+    """No join copies tags, qualities, ops or bases, and nothing of a line is kept as a column before it."""
+    from strandframe.plans import queries
+
+    plan = queries.to_sam(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    line, rest = plan.split("Join", 1)
+    assert line.count("Project") == 1 and "md5" not in rest and "transform(" not in rest
+    rows = spark.createDataFrame([("a", "NM:i:1\tXZ:Z:z"), ("b", ""), ("c", None)], "name string, aux string")
+    one, ops = F.lit(1), F.array(F.struct(F.lit(2).alias("len"), F.lit(8).cast("byte").alias("op")))
+    lines = R.to_sam(read_name=F.col("name"), flag=one, ref_name=F.lit("*"), pos=one, mapq=one, cigar=ops, rnext=F.lit("="), next_pos=one, t_len=one, seq=F.lit("AC"), qual=F.lit(None).cast("array<int>"), aux_text=F.col("aux"))
+    assert [r[0].split("\t", 9)[-1] for r in rows.select(lines).collect()] == ["AC\t*\tNM:i:1\tXZ:Z:z", "AC\t*", "AC\t*"]
+
+
 def test_record_functions(spark):
     quals = spark.createDataFrame([([0, 1, 41], 3), (None, 2), ([], 0)], "q array<int>, n int").select(R.qual_text(F.col("q")), R.qual_list(F.col("q"), F.col("n"))).collect()
     assert [tuple(r) for r in quals] == [('!"J', [0, 1, 41]), ("*", [255, 255]), ("", [])]
